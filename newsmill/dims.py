@@ -63,6 +63,10 @@ BOILERPLATE_TAGS = ["script", "style", "nav", "header", "footer", "aside"]
 CONTENT_BLOCK_TAGS = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li"]
 CLEAN_SUFFIXES = ["Follow", "Sign up", "Sign in"]
 
+# one sentence; start and repeats are pinned so that text without an end mark is
+# scanned once, however long it is
+SENTENCE = r"(?<![^.!?])[^.!?]++[.!?]++"
+
 # --- fixed values: payloads and prompts ----------------------------------
 PAYLOAD_KEYS = ["body", "content", "html", "message"]
 ARTICLE_FIELDS = ["url", "title", "content", "summary", "author"]

@@ -43,16 +43,24 @@ def first_node(nodes, test):
     return F.try_element_at(F.filter(nodes, test), F.lit(1))
 
 
+def _first_accepted(candidates, render):
+    """First candidate for which ``render`` gives a value. Later ones are not
+    evaluated, and the expression is built once for all of them."""
+    return F.aggregate(
+        F.array(*candidates), F.lit(None).cast("string"),
+        lambda found, n: F.when(found.isNotNull() | n.isNull(), found).otherwise(render(n)),
+    )
+
+
 def title_of(nodes, texts):
     """First selector whose text is longer than 5, cleaned; null when none."""
+    accept = lambda t: F.when(F.length(t) > 5, clean_text(t))
+    found = [first_node(nodes, test) for test in TITLE_SELECTORS]
+    return _first_accepted(found, lambda n: let(stripped_text(texts, n), accept))
 
-    def candidate(test):
-        return let(
-            first_node(nodes, test),
-            lambda n: let(F.when(n.isNotNull(), stripped_text(texts, n)), lambda t: F.when(F.length(t) > 5, clean_text(t))),
-        )
 
-    return F.coalesce(*[candidate(test) for test in TITLE_SELECTORS])
+def _outside_boilerplate(test):
+    return lambda n: test(n) & ~n["boiler"]
 
 
 def _section_in_article(nodes):
@@ -91,29 +99,18 @@ def content_of(nodes, texts, nested="all"):
     appears for both; ``"innermost"`` takes each text once.
     """
 
-    def candidate(selector):
-        if selector == "article section":
-            container = _section_in_article(nodes)
-        else:
-            container = first_node(nodes, lambda n: selector(n) & ~n["boiler"])
-        return let(
-            container,
-            lambda c: let(
-                F.when(
-                    c.isNotNull(),
-                    _block_text(
-                        texts,
-                        F.filter(nodes, lambda n: inside(n, c) & n["tag"].isin(dims.CONTENT_BLOCK_TAGS) & ~n["boiler"]),
-                        nested, 5,
-                    ),
-                ),
-                lambda t: F.when(F.length(t) > 100, t),
-            ),
-        )
-
+    containers = [
+        _section_in_article(nodes) if s == "article section" else first_node(nodes, _outside_boilerplate(s))
+        for s in CONTENT_SELECTORS
+    ]
+    blocks_in = lambda c: F.filter(
+        nodes, lambda n: inside(n, c) & n["tag"].isin(dims.CONTENT_BLOCK_TAGS) & ~n["boiler"]
+    )
+    accept = lambda t: F.when(F.length(t) > 100, t)
+    found = _first_accepted(containers, lambda c: let(_block_text(texts, blocks_in(c), nested, 5), accept))
     paragraphs = F.filter(nodes, lambda n: (n["tag"] == "p") & ~n["boiler"])
     fallback = F.nullif(_block_text(texts, paragraphs, nested, 20), F.lit(""))
-    return F.coalesce(*[candidate(s) for s in CONTENT_SELECTORS], fallback)
+    return F.coalesce(found, fallback)
 
 
 def page_title(df, html="html", keep=("page_id",)):

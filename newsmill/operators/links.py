@@ -56,14 +56,16 @@ def own_title(text):
 
 
 def digest_title(text, parent_text, headings):
-    """Own text, else first usable line of the parent, else a block heading."""
+    """Own text, else first usable line of the parent, else the first heading
+    longer than 10 of an array (first h1, h2, h3 of the block)."""
     text, parent_text = col(text), col(parent_text)
     lines = F.filter(
         F.transform(F.split(parent_text, "\n"), strip),
         lambda line: (F.length(line) > 15) & (line != text) & ~line.rlike(dims.NOT_A_TITLE_LINE),
     )
-    heads = [F.when(F.length(h) > 10, h) for h in headings]
-    return F.coalesce(F.nullif(own_title(text), F.lit("")), F.try_element_at(lines, F.lit(1)), *heads, F.lit(""))
+    heads = F.filter(headings, lambda h: F.length(h) > 10)
+    first = lambda found: F.try_element_at(found, F.lit(1))
+    return F.coalesce(F.nullif(own_title(text), F.lit("")), first(lines), first(heads), F.lit(""))
 
 
 def by_line(text, cut_publication):
@@ -154,7 +156,7 @@ def _parent_text(nodes, texts, a, render):
 def _link(section, rank, block_id, a, title, author):
     author = F.coalesce(F.nullif(author, F.lit("")), F.lit(dims.UNKNOWN_AUTHOR))
     return F.struct(
-        F.lit(section).alias("section"), F.lit(rank).alias("section_rank"), block_id.alias("block_id"),
+        section.alias("section"), rank.alias("section_rank"), block_id.alias("block_id"),
         a["node_id"].alias("pos"), canonical_url(a["attrs"]["href"]).alias("url"),
         title.alias("title"), author.alias("author"),
     )
@@ -171,13 +173,11 @@ LINK_TYPE = (
 )
 
 
-def _one_section(nodes, texts, section, attribution):
-    name, rank, pattern = section
-
-    def links_of(c):
-        blocks = F.filter(nodes, lambda n: inside(n, c) & n["tag"].isin(dims.SECTION_BLOCKS))
-        found = F.filter(nodes, lambda n: inside(n, c) & (n["tag"] == "a") & is_article_link(n["attrs"]["href"]))
-        return let(blocks, lambda bs: F.transform(found, lambda a: pick(a, bs)))
+def _links_in(nodes, texts, section, attribution):
+    """Accepted links of a container struct(name, rank, c)."""
+    name, rank, c = section["name"], section["rank"], section["c"]
+    blocks = F.filter(nodes, lambda n: inside(n, c) & n["tag"].isin(dims.SECTION_BLOCKS))
+    found = F.filter(nodes, lambda n: inside(n, c) & (n["tag"] == "a") & is_article_link(n["attrs"]["href"]))
 
     def pick(a, blocks):
         around = F.filter(blocks, lambda b: inside(a, b))
@@ -185,10 +185,13 @@ def _one_section(nodes, texts, section, attribution):
         return let(block, lambda b: F.when(b.isNotNull(), row(a, b)))
 
     def row(a, b):
-        heads = [_heading(nodes, texts, b, tag) for tag in ("h1", "h2", "h3")]
+        heads = F.transform(F.array(*map(F.lit, ("h1", "h2", "h3"))), lambda tag: _heading(nodes, texts, b, tag))
         title = let(
-            F.struct(stripped_text(texts, a).alias("own"), _parent_text(nodes, texts, a, stripped_text).alias("up")),
-            lambda t: digest_title(t["own"], t["up"], heads),
+            F.struct(
+                stripped_text(texts, a).alias("own"), _parent_text(nodes, texts, a, stripped_text).alias("up"),
+                heads.alias("heads"),
+            ),
+            lambda t: digest_title(t["own"], t["up"], t["heads"]),
         )
         author = let(
             F.struct(_profile(nodes, texts, b).alias("profile"), raw_text(texts, b).alias("block")),
@@ -196,13 +199,21 @@ def _one_section(nodes, texts, section, attribution):
         )
         return _link(name, rank, b["node_id"], a, title, author)
 
-    links = let(_container(nodes, texts, pattern), lambda c: F.when(c.isNotNull(), links_of(c)))
+    links = let(blocks, lambda bs: F.transform(found, lambda a: pick(a, bs)))
     return _accepted(F.filter(links, lambda r: r.isNotNull()))
 
 
 def section_array(attribution="innermost"):
     """Links of both sections of one mail, as an array over ``nodes``/``texts``."""
-    return F.concat(*[_one_section(F.col("nodes"), F.col("texts"), s, attribution) for s in dims.SECTIONS])
+    nodes, texts = F.col("nodes"), F.col("texts")
+    containers = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.lit(rank).alias("rank"), _container(nodes, texts, pattern).alias("c"))
+            for name, rank, pattern in dims.SECTIONS
+        ]
+    )
+    present = F.filter(containers, lambda s: s["c"].isNotNull())
+    return F.flatten(F.transform(present, lambda s: _links_in(nodes, texts, s, attribution)))
 
 
 def general_array():
@@ -213,7 +224,7 @@ def general_array():
     def row(a):
         author = let(_parent_text(nodes, texts, a, raw_text), general_author)
         title = let(stripped_text(texts, a), own_title)
-        return _link("general", 2, F.lit(-1), a, title, author)
+        return _link(F.lit("general"), F.lit(2), F.lit(-1), a, title, author)
 
     return _accepted(F.transform(found, row))
 

@@ -28,7 +28,7 @@ def prompt_build(df, title="title", content="content"):
 
 def lead_sentences(content, n=3):
     """First n sentences of the whole text, trimmed and joined by a space."""
-    found = F.slice(F.regexp_extract_all(col(content), F.lit(r"[^.!?]+[.!?]+"), 0), 1, n)
+    found = F.slice(F.regexp_extract_all(col(content), F.lit(dims.SENTENCE), 0), 1, n)
     return F.array_join(F.transform(found, strip), " ")
 
 

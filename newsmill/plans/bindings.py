@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from newsmill import dims
 from newsmill.functions.text import SPACE
 from newsmill.operators.links import anchors_native
 from newsmill.sources.newsletters import VARIANTS, newsletter_emails
@@ -13,7 +14,13 @@ CATEGORIES = ["input_validation", "network", "rate_limit", "processing", "storag
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Text tables that come in fewer splits than there are cores
+    (small test files) are spread; a large table already has its splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("pages", "documents") and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def cycle(values, n):
@@ -69,7 +76,7 @@ def payloads(conversations):
 def mails(documents):
     """A mail per document; its articles are the document's first sentences."""
     i = F.col("doc_id")
-    found = F.slice(F.regexp_extract_all("text", F.lit(r"[^.!?]+[.!?]+"), 0), 1, 5)
+    found = F.slice(F.regexp_extract_all("text", F.lit(dims.SENTENCE), 0), 1, 5)
     title = lambda s: F.trim(F.regexp_replace(s, rf"{SPACE}+", " "))
     seed = lambda s, k: F.struct(
         title(s).alias("title"),

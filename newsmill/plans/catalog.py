@@ -212,7 +212,7 @@ def link_title(documents):
     heads = [F.when(b.every(3, "doc_id"), "A heading above"), F.when(b.every(2, "doc_id"), "Another heading")]
     rows = documents.select("doc_id", own.alias("own"), F.when(b.every(5, "doc_id"), up).otherwise("short").alias("up"),
                             heads[0].alias("h1"), heads[1].alias("h2"))
-    return rows.select("doc_id", links.digest_title("own", "up", [F.col("h1"), F.col("h2")]).alias("title"),
+    return rows.select("doc_id", links.digest_title("own", "up", F.array("h1", "h2")).alias("title"),
                        links.own_title("own").alias("general_title"))
 
 
