@@ -11,6 +11,12 @@ TRACKING_PARAMS = [
     "utm_content", "utm_term", "ref", "referrer",
 ]
 
+# schemes whose last path segment may carry ;params
+PARAM_SCHEMES = [
+    "", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtspu",
+    "rtsps", "sip", "sips", "mms", "sftp", "tel",
+]
+
 LINK_SKIP_PATTERNS = [
     r"help\.medium\.com",
     r"miro\.medium\.com",

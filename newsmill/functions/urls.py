@@ -14,12 +14,13 @@ def split_url(c):
 
     def parts(u):
         base = F.substring_index(u, "?", 1)
-        scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
+        scheme = F.lower(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
         rest = F.regexp_replace(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", "")
+        path = F.regexp_replace(rest, r"^//[^/]*", "")
         return F.struct(
-            F.lower(scheme).alias("scheme"),
+            scheme.alias("scheme"),
             F.regexp_extract(rest, r"^//([^/]*)", 1).alias("netloc"),
-            F.regexp_replace(F.regexp_replace(rest, r"^//[^/]*", ""), r";[^/]*\z", "").alias("path"),
+            F.when(scheme.isin(dims.PARAM_SCHEMES), F.regexp_replace(path, r";[^/]*\z", "")).otherwise(path).alias("path"),
             F.when(F.length(u) > F.length(base), F.substr(u, F.length(base) + 2)).otherwise("").alias("query"),
         )
 
