@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
-from newsmill.functions.text import col, let, strip
+from newsmill.functions.text import col, explode_rows, let, strip
 from newsmill.functions.urls import canonical_url, is_article_link, split_url
 from newsmill.sources.pages import html_tree, inside, raw_text, stripped_text
 
@@ -12,9 +12,9 @@ def anchors(df, html="html", keep=("page_id",)):
     """(keep..., pos, href, text) for every ``a[href]`` in document order."""
     tree = html_tree(df, html, keep)
     links = F.filter("nodes", lambda n: (n["tag"] == "a") & n["attrs"]["href"].isNotNull())
-    rows = tree.select(*keep, "texts", F.posexplode(links).alias("pos", "a"))
+    rows = explode_rows(tree, [*keep, "texts"], links, pos=True)
     return rows.select(
-        *keep, "pos", F.col("a.attrs")["href"].alias("href"), stripped_text(F.col("texts"), F.col("a")).alias("text")
+        *keep, "pos", F.col("r.attrs")["href"].alias("href"), stripped_text(F.col("texts"), F.col("r")).alias("text")
     )
 
 
@@ -24,8 +24,7 @@ def anchors_native(df, html="html", keep=("page_id",)):
     found = F.arrays_zip(
         F.regexp_extract_all(html, pattern, 1).alias("href"), F.regexp_extract_all(html, pattern, 2).alias("text")
     )
-    rows = df.select(*keep, F.posexplode(found).alias("pos", "a"))
-    return rows.select(*keep, "pos", F.col("a.href").alias("href"), F.col("a.text").alias("text"))
+    return explode_rows(df, keep, found, pos=True).select(*keep, "pos", "r.href", "r.text")
 
 
 def link_filter(df, url="url", skip=None, accept=None):
@@ -242,7 +241,7 @@ def section_links(df, html="html", keep=("email_id",), attribution="innermost"):
     a container the container's first author). One narrow pass per mail.
     """
     tree = html_tree(df, html, keep)
-    return tree.select(*keep, F.explode(section_array(attribution)).alias("r")).select(*keep, "r.*")
+    return explode_rows(tree, keep, section_array(attribution)).select(*keep, "r.*")
 
 
 def section_union_fallback(df, html="html", keep=("email_id",), attribution="innermost"):
@@ -254,5 +253,4 @@ def section_union_fallback(df, html="html", keep=("email_id",), attribution="inn
     """
     tree = html_tree(df, html, keep).withColumn("_sections", section_array(attribution))
     links = F.when(F.size("_sections") > 0, F.col("_sections")).otherwise(general_array())
-    rows = tree.select(*keep, F.explode(let(links, _first_per_url)).alias("r"))
-    return rows.select(*keep, "r.*")
+    return explode_rows(tree, keep, let(links, _first_per_url)).select(*keep, "r.*")

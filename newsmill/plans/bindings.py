@@ -14,8 +14,8 @@ CATEGORIES = ["input_validation", "network", "rate_limit", "processing", "storag
 
 
 def table(spark, sf_dir, name):
-    """A given table. Text tables that come in fewer splits than there are cores
-    (small test files) are spread; a large table already has its splits."""
+    """A given table. Those with costly row work that come in fewer splits than
+    there are cores (small test files) are spread; a large table has its splits."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in ("pages", "documents") and df.rdd.getNumPartitions() < cores:

@@ -8,7 +8,7 @@ from newsmill.functions.urls import canonical_url, host_of
 from newsmill.operators import articles, lifecycle, links, logs, messages, perf, retries, runs, summaries
 from newsmill.plans import bindings as b
 from newsmill.plans import flow
-from newsmill.session import run_dir
+from newsmill.session import run_dir, ship_package
 from newsmill.sources import events as ev
 from newsmill.sources import mime, pages as pg, payloads
 from newsmill.streaming import jobs
@@ -16,12 +16,17 @@ from newsmill.streaming import jobs
 QUERIES = {}
 
 
+def prepare(spark):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
+
+
 def query(*tables):
     """Register a query; its function receives the named tables."""
 
     def add(fn):
         def run(spark, sf_dir):
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            prepare(spark)
             return fn(*[b.table(spark, sf_dir, t) for t in tables])
 
         QUERIES[fn.__name__] = run
@@ -32,7 +37,7 @@ def query(*tables):
 
 def stream_query(fn):
     def run(spark, sf_dir):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        prepare(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run

@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +44,25 @@ def shared_dir(spark):
 def run_dir(spark, label):
     """A fresh folder below the shared one, for one run's tables."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_shipped = set()
+
+
+def ship_package(spark):
+    """Make this package importable in Python workers, once per application.
+
+    The archive goes to every executor the way ``--py-files`` does.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="newsmill-package-"), "newsmill.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
-from newsmill.functions.text import col, is_blank, lookup
+from newsmill.functions.text import col, explode_rows, is_blank, let, lookup
 from newsmill.functions.urls import decode_component
 
 
@@ -28,34 +28,43 @@ def _record(v):
     return F.struct(bucket.alias("bucket"), decode_component(key).alias("key"), reason.alias("reason"))
 
 
-def parse_events(df, event_id, event_json):
-    """One row per event: ``records`` array and the event's ``reject_reason``.
+def _parsed(event_json):
+    """struct(records, reject_reason) of one event as a single expression, so that
+    a filter on it repeats one parse at most."""
+
+    def outcome(doc):
+        is_list = _typed(doc, "$.Records", "ARRAY")
+        return let(
+            F.when(is_list, F.transform(F.try_variant_get(doc, "$.Records", "array<variant>"), _record)),
+            lambda records: F.struct(records.alias("records"), reason(doc, records).alias("reject_reason")),
+        )
+
+    def reason(doc, records):
+        bad = F.filter(records, lambda r: r["reason"].isNotNull())
+        return (
+            F.when(~F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False)), "not_json")
+            .when(F.schema_of_variant(F.try_variant_get(doc, "$.Records", "variant")).isNull(), "records_missing")
+            .when(records.isNull(), "records_not_a_list")
+            .when(F.size(records) == 0, "records_empty")
+            .otherwise(F.try_element_at(bad, F.lit(1))["reason"])
+        )
+
+    return let(F.try_parse_json(col(event_json)), outcome)
+
+
+def parse_events(df, event_id="event_id", event_json="event_json"):
+    """Adds each event's ``records`` array and ``reject_reason``.
 
     An event is one row and its records are checked inside that row, so a
     rejected record rejects the event without any shuffle.
     """
-    doc = F.try_parse_json(col(event_json))
-    raw = F.try_variant_get(F.col("_doc"), "$.Records", "array<variant>")
-    parsed = (
-        df.withColumn("_doc", doc)
-        .withColumn("_raw", F.when(_typed(F.col("_doc"), "$.Records", "ARRAY"), raw))
-        .withColumn("records", F.transform("_raw", _record))
-    )
-    first_bad = F.try_element_at(F.filter(F.transform("records", lambda r: r["reason"]), lambda r: r.isNotNull()), F.lit(1))
-    reason = (
-        F.when(~F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False)), "not_json")
-        .when(F.schema_of_variant(F.try_variant_get("_doc", "$.Records", "variant")).isNull(), "records_missing")
-        .when(F.col("_raw").isNull(), "records_not_a_list")
-        .when(F.size("_raw") == 0, "records_empty")
-        .otherwise(first_bad)
-    )
-    return parsed.withColumn("reject_reason", reason).drop("_doc", "_raw")
+    return df.withColumn("_e", _parsed(event_json)).select(*df.columns, "_e.records", "_e.reject_reason")
 
 
 def event_records(df, event_id="event_id", event_json="event_json"):
     """Valid events flattened to (event_id, pos, bucket, key)."""
-    good = parse_events(df, event_id, event_json).where("reject_reason IS NULL")
-    return good.select(event_id, F.posexplode("records").alias("pos", "r")).select(
+    good = let(_parsed(event_json), lambda e: F.when(e["reject_reason"].isNull(), e["records"]))
+    return explode_rows(df, [event_id], good, pos=True).select(
         event_id, "pos", F.col("r.bucket").alias("bucket"), F.col("r.key").alias("key")
     )
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsmill import dims
-from newsmill.functions.text import let, strip
+from newsmill.functions.text import explode_rows, strip
 
 # --- fixed values: elements that never hold children, or whose text is no text
 VOID_TAGS = set(
@@ -156,12 +156,10 @@ def html_nodes(df, html="html", keep=("page_id",), tags=None):
     """The node table: one row per element with raw and stripped text."""
     tree = html_tree(df, html, keep)
     wanted = F.col("nodes") if tags is None else F.filter("nodes", lambda n: n["tag"].isin(list(tags)))
-    rows = tree.select(*keep, "texts", F.explode(wanted).alias("n"))
-    n, texts = F.col("n"), F.col("texts")
+    rows = explode_rows(tree, [*keep, "texts"], wanted)
+    n, texts = F.col("r"), F.col("texts")
     return rows.select(
-        *keep, "n.node_id", "n.end_id", "n.parent_id", "n.depth", "n.tag", "n.classes", "n.attrs", "n.boiler",
+        *keep, "r.node_id", "r.end_id", "r.parent_id", "r.depth", "r.tag", "r.classes", "r.attrs", "r.boiler",
         raw_text(texts, n).alias("text"), stripped_text(texts, n).alias("text_strip"),
     )
 
-
-__all__ = ["html_tree", "html_nodes", "read_tree", "inside", "raw_text", "stripped_text", "let"]
