@@ -18,17 +18,6 @@ def let(value, fn):
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def explode_rows(df, keep, array, pos=False):
-    """One row per array element as ``r`` (and ``pos``); none for an empty array.
-
-    The outer form is used because for the plain one the optimizer adds a check
-    of the array's size below, which computes a costly array twice.
-    """
-    if pos:
-        return df.select(*keep, F.posexplode_outer(array).alias("pos", "r")).where("r IS NOT NULL")
-    return df.select(*keep, F.explode_outer(array).alias("r")).where("r IS NOT NULL")
-
-
 def strip(c):
     # the look-behind keeps a long inner run of blanks from being rescanned
     return F.regexp_replace(col(c), rf"^{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")

@@ -185,7 +185,7 @@ def latest_snapshot(articles, url="url", order=("fetched_at",)):
     return articles.groupBy(url).agg(newest).select(url, "s.*")
 
 
-def article_join(links, articles, order=("fetched_at",), carry=("title", "content")):
+def article_join(links, articles, order=("fetched_at",), carry=("title", "content"), canonical_links=True):
     """Links left-joined to crawled articles on the canonical URL.
 
     URL, author and section come from the link, the ``carry`` columns from the
@@ -193,7 +193,8 @@ def article_join(links, articles, order=("fetched_at",), carry=("title", "conten
     takes a large share of all links is split by the adaptive skew join.
     """
     newest = latest_snapshot(articles.select(canonical_url("url").alias("_page"), *carry, *order), "_page", order)
-    keyed = links.withColumn("url", canonical_url("url"))
+    # the canonical form decodes values, so it must be taken once only
+    keyed = links.withColumn("url", canonical_url("url")) if canonical_links else links
     kept = [c for c in keyed.columns if c not in carry]
     joined = keyed.select(*kept).join(newest, F.col("url") == F.col("_page"), "left")
     return joined.select(*kept, *carry, F.col("_page").isNotNull().alias("matched"))

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsmill import dims
+from newsmill.functions.frames import join_on
 from newsmill.functions.text import col
 
 
@@ -22,7 +23,7 @@ def next_in_order(df, keys, ts, tie, bucket_days=1):
     edges = rows.groupBy(*keys, "_b").agg(F.min(ts).alias("_first"))
     edges = edges.select(*keys, "_b", F.lead("_first").over(across).alias("_after"))
     ordered = rows.withColumn("_next", F.lead(ts).over(within))
-    return ordered.join(edges, [*keys, "_b"]).withColumn("next_ts", F.coalesce("_next", "_after")).drop("_b", "_next", "_after")
+    return join_on(ordered, edges, [*keys, "_b"]).withColumn("next_ts", F.coalesce("_next", "_after")).drop("_b", "_next", "_after")
 
 
 def retention_plan(df, as_of, key="key", version="version", ts="modified_ts"):
@@ -53,4 +54,4 @@ def type_rollup(df, type="type", item=("name",)):
     several tasks instead of being collected into one array.
     """
     sizes = df.groupBy(type).agg(F.count(F.lit(1)).alias("n_in_type"))
-    return df.select(type, *item).join(sizes, type).orderBy(type, *item)
+    return join_on(df.select(type, *item), sizes, [type]).orderBy(type, *item)

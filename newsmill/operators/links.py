@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
-from newsmill.functions.text import col, explode_rows, let, strip
+from newsmill.functions.frames import explode_rows
+from newsmill.functions.text import col, let, strip
 from newsmill.functions.urls import canonical_url, is_article_link, split_url
 from newsmill.sources.pages import html_tree, inside, raw_text, stripped_text
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
+from newsmill.functions.frames import join_on
 from newsmill.functions.text import col, ellipsis, lookup, title_words
 
 LOG_SCHEMA = (
@@ -138,7 +139,7 @@ def checkpoint_offsets(marks, runs, run_id="run_id", name="name", ts="ts", seq="
     ``runs`` holds run_id, start_ts and end_ts; ``total`` is end - start.
     """
     last = marks.groupBy(run_id, name).agg(F.max_by(ts, F.struct(seq)).alias("at"))
-    return last.join(runs, run_id).select(
+    return join_on(last, runs, [run_id]).select(
         run_id, name, F.round(_seconds(F.col("at"), F.col("start_ts")), 3).alias("offset_seconds"),
         F.round(_seconds(F.col("end_ts"), F.col("start_ts")), 3).alias("total_execution_time"),
     )
@@ -152,7 +153,7 @@ def stage_durations(marks, runs, run_id="run_id", name="name", ts="ts", seq="seq
     paired = marks.withColumn("stage", stage).withColumn("kind", kind).where(F.col("stage") != "")
     at = lambda k: F.max_by(F.when(F.col("kind") == k, F.col(ts)), F.when(F.col("kind") == k, F.struct(seq)))
     pairs = paired.groupBy(run_id, "stage").agg(at("start").alias("s"), at("complete").alias("c"))
-    return pairs.where("c IS NOT NULL").join(runs, run_id).select(
+    return join_on(pairs.where("c IS NOT NULL"), runs, [run_id]).select(
         run_id, "stage", F.round(_seconds(F.col("c"), F.coalesce("s", "start_ts")), 3).alias("seconds"),
         F.col("s").isNull().alias("from_run_start"),
     )

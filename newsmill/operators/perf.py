@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsmill import dims
+from newsmill.functions.frames import join_on
 from newsmill.functions.text import col, ratio
 from newsmill.operators.quantiles import exact_quantiles
 
@@ -30,7 +31,7 @@ def timing_summary(df, level="level", seconds="seconds"):
         _zero(F.max(s)).alias("max"), _zero(F.stddev_samp(s)).alias("stdev"),
     )
     median = exact_quantiles(df, [level], seconds, {"median": 0.5})
-    return basic.join(median, level, "left").withColumn("median", _zero(F.col("median")))
+    return join_on(basic, median, [level], "left").withColumn("median", _zero(F.col("median")))
 
 
 def throughput_success(df, level="level", start="start_ts", stop="stop_ts", ok="success"):
@@ -95,7 +96,7 @@ def execution_monitor(df, since, by, id="execution_id", status="status", start="
         _zero(F.max("seconds")).alias("max_seconds"), _zero(F.stddev_samp("seconds")).alias("stdev_seconds"),
     )
     median = exact_quantiles(once, by, "seconds", {"median_seconds": 0.5})
-    out = totals.join(median, list(by), "left").withColumn("median_seconds", _zero(F.col("median_seconds")))
+    out = join_on(totals, median, list(by), "left").withColumn("median_seconds", _zero(F.col("median_seconds")))
     return out.withColumn("success_rate", ratio("succeeded", "total"))
 
 
@@ -120,7 +121,7 @@ def max_concurrent(df, by=(), start="start_ts", stop="stop_ts", bucket_seconds=6
     running = F.sum("d").over(W.partitionBy(*by, "bucket").orderBy("t"))
     inside = points.withColumn("r", running).groupBy(*by, "bucket").agg(F.max("r").alias("r"))
     peak = F.greatest(F.lit(0), F.max(F.col("r") + F.col("opening"))).cast("long").alias("max_concurrent")
-    return inside.join(opening, [*by, "bucket"]).groupBy(*by).agg(peak)
+    return join_on(inside, opening, [*by, "bucket"]).groupBy(*by).agg(peak)
 
 
 def concurrency_stats(df, by):
@@ -133,7 +134,7 @@ def concurrency_stats(df, by):
         ratio(F.count_if(s == "SUCCEEDED"), F.count(F.lit(1))).alias("efficiency"),
         _zero(F.avg(took)).alias("mean_seconds"), _zero(F.stddev_samp(took)).alias("duration_stddev"),
     )
-    return stats.join(peak, list(by), "left")
+    return join_on(stats, peak, list(by), "left")
 
 
 def stability_band(df, test="test", ok="success", by=()):

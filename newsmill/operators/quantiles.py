@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsmill.functions.frames import join_on
 from newsmill.functions.text import col
 
 ACCURACY = 10000
@@ -25,7 +26,7 @@ def exact_quantiles(df, by, value, quantiles):
         F.percentile_approx("_v", probes, ACCURACY).alias("_cuts"), F.count(F.lit(1)).alias("_n")
     )
     counted = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = counted.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    placed = join_on(counted, cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
 
     # exact rank of the first value of every slice: a handful of rows per group
     slices = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n"))
@@ -39,7 +40,7 @@ def exact_quantiles(df, by, value, quantiles):
     wanted = slices.where(wanted).select(*by, "_b", "_before")
 
     upto = F.sum("_c").over(W.partitionBy(*by, "_b").orderBy("_v")) + F.col("_before")
-    ranked = placed.join(wanted, [*by, "_b"]).withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+    ranked = join_on(placed, wanted, [*by, "_b"]).withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
     at = lambda r: F.max(F.when((r >= F.col("_from")) & (r < F.col("_upto")), F.col("_v")))
     picks, outs = [], []
     for name, p in position.items():

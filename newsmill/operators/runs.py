@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
+from newsmill.functions.frames import join_on
 from newsmill.functions.text import col, lookup
 
 
@@ -25,7 +26,7 @@ def run_outcome(items, runs, run_id="run_id"):
         F.count_if(F.col("fetched") & F.col("summarised") & F.col("delivered")).alias("delivered"),
     )
     names = ["total_links", "fetched", "summarised", "delivered"]
-    rows = runs.join(counts, run_id, "left").fillna(0, names)
+    rows = join_on(runs, counts, [run_id], "left").fillna(0, names)
     outcome = (
         F.when(flag("parse_failed"), "parse_error").when(F.col("total_links") == 0, "no_links")
         .when(flag("fetch_critical"), "fetch_error").when(F.col("fetched") == 0, "none_fetched")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
-from newsmill.functions.text import col, explode_rows, is_blank, let, lookup
+from newsmill.functions.frames import explode_rows
+from newsmill.functions.text import col, is_blank, let, lookup
 from newsmill.functions.urls import decode_component
 
 

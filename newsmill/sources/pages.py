@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsmill import dims
-from newsmill.functions.text import explode_rows, strip
+from newsmill.functions.frames import explode_rows
+from newsmill.functions.text import strip
 
 # --- fixed values: elements that never hold children, or whose text is no text
 VOID_TAGS = set(

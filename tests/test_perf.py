@@ -131,3 +131,13 @@ def test_next_in_order_on_hot_key(spark):
     got = {r.version: r.next_ts for r in lifecycle.next_in_order(df, ["key"], "modified_ts", "version").collect()}
     want = {i: t0 + timedelta(seconds=nxt[0]) for (s, i), nxt in zip(rows, rows[1:])}
     assert got == {**want, rows[-1][1]: None}
+
+
+def test_group_without_a_name_is_kept(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, float(v), t0, t0 + timedelta(seconds=v)) for k in (None, "a") for v in (1, 2, 6)]
+    df = spark.createDataFrame(rows, "level string, seconds double, start_ts timestamp, stop_ts timestamp")
+    assert {r.level: r["median"] for r in perf.timing_summary(df).collect()} == {None: 2.0, "a": 2.0}
+    assert {r.level: r.max_concurrent for r in perf.max_concurrent(df, ["level"]).collect()} == {None: 3, "a": 3}
+    versions = df.selectExpr("level AS key", "seconds AS version", "stop_ts AS modified_ts")
+    assert lifecycle.retention_plan(versions, "2024-01-02 00:00:00").count() == 6
