@@ -60,3 +60,17 @@ def ratio(a, b):
     """a / b, and 0 where b is 0 or missing."""
     a, b = col(a).cast("double"), col(b).cast("double")
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
+
+
+def pair_map(c):
+    """``k=v; k=v`` text to a map, trimmed; the last value of a key wins and parts
+    without ``=`` are dropped."""
+    parts = F.filter(F.split(F.coalesce(col(c), F.lit("")), ";"), lambda p: p.contains("="))
+    pairs = F.transform(
+        parts,
+        lambda p: F.struct(
+            strip(F.substring_index(p, "=", 1)).alias("k"), strip(F.substr(p, F.instr(p, "=") + 1)).alias("v")
+        ),
+    )
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(let(pairs, last))

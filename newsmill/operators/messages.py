@@ -15,6 +15,17 @@ def article_message(df, title="title", summary="summary", url="url"):
     return df.withColumn("reject_reason", reason).withColumn("message", F.when(F.col("reject_reason").isNull(), text))
 
 
+def article_input(df, event="event_json"):
+    """Adds url, title, summary of an event that is the article or wraps it in
+    ``article``; '' for missing members."""
+    doc = F.try_parse_json(col(event))
+    wrapped = F.schema_of_variant(F.try_variant_get(doc, "$.article", "variant")).startswith("OBJECT")
+    member = lambda k: F.when(F.coalesce(wrapped, F.lit(False)), F.try_variant_get(doc, f"$.article.{k}", "string")).otherwise(
+        F.try_variant_get(doc, f"$.{k}", "string")
+    )
+    return df.withColumns({k: F.coalesce(member(k), F.lit("")) for k in ("url", "title", "summary")})
+
+
 def message_payload(df, message="message"):
     """Adds ``payload`` ({"summary": message}) and its size in UTF-8 bytes."""
     return df.withColumn("payload", F.to_json(F.struct(col(message).alias("summary")))).withColumn(

@@ -163,7 +163,7 @@ def load_summary(df, test="test", start="start_ts", stop="stop_ts", uploaded="up
     )
 
 
-def rate_windows(df, ts="ts", period="1 hour", target_per_second=2.0):
+def rate_windows(df, ts="ts", period="1 hour", target_per_second=dims.RATE_PROFILES[0][1]):
     """Events per period, per second, and whether the target rate was met."""
     width = F.window(col(ts), period)
     out = df.groupBy(width.alias("w")).agg(F.count(F.lit(1)).alias("n"))

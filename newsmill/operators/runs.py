@@ -11,12 +11,13 @@ def _message(key):
     return F.lit(dims.RUN_MESSAGES[key][1])
 
 
-def run_outcome(items, runs, run_id="run_id"):
+def run_outcome(items, runs=None, run_id="run_id"):
     """Per run: totals, status code, message, articles processed, error.
 
     ``items``: run_id, fetched, summarised, delivered (booleans per link).
     ``runs``: run_id, parse_failed, fetch_critical, summarize_critical; a left
-    join keeps runs without any link. Items are counted before the join.
+    join keeps runs without any link. Items are counted before the join; without
+    ``runs`` every run that has items is reported as free of critical failures.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     counts = items.groupBy(run_id).agg(
@@ -26,7 +27,11 @@ def run_outcome(items, runs, run_id="run_id"):
         F.count_if(F.col("fetched") & F.col("summarised") & F.col("delivered")).alias("delivered"),
     )
     names = ["total_links", "fetched", "summarised", "delivered"]
-    rows = join_on(runs, counts, [run_id], "left").fillna(0, names)
+    if runs is None:
+        off = {k: F.lit(False) for k in ("parse_failed", "fetch_critical", "summarize_critical")}
+        rows = counts.withColumns(off)
+    else:
+        rows = join_on(runs, counts, [run_id], "left").fillna(0, names)
     outcome = (
         F.when(flag("parse_failed"), "parse_error").when(F.col("total_links") == 0, "no_links")
         .when(flag("fetch_critical"), "fetch_error").when(F.col("fetched") == 0, "none_fetched")

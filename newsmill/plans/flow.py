@@ -45,16 +45,12 @@ def article_messages(links, pages, run_id="run_id", order=("pos",)):
 
 
 def run_report(messages, run_id="run_id"):
-    """Outcome of every run in a message table."""
+    """Outcome of every run in a message table, in one aggregate over it."""
     items = messages.select(
         run_id, (F.col("item_status") == "ok").alias("fetched"), F.col("summary").isNotNull().alias("summarised"),
         F.col("message").isNotNull().alias("delivered"),
     )
-    off = F.lit(False)
-    runs = items.select(run_id).distinct().select(
-        run_id, off.alias("parse_failed"), off.alias("fetch_critical"), off.alias("summarize_critical")
-    )
-    return run_outcome(items, runs, run_id)
+    return run_outcome(items, run_id=run_id)
 
 
 def links_from_pages(pages):

@@ -1,5 +1,6 @@
 """HTML text -> element tree as arrays, and the node table made from it."""
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -39,6 +40,7 @@ class _TreeReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes, self.texts, self.open, self.data = [], [], [], []
+        self.depth_of = Counter()  # open elements by tag; keeps deep trees linear
 
     def flush(self):
         if not self.data:
@@ -46,7 +48,7 @@ class _TreeReader(HTMLParser):
         text = "".join(self.data)
         self.data = []
         parent = self.open[-1] if self.open else None
-        if any(n["tag"] in TEXTLESS_TAGS for n in self.open):
+        if any(self.depth_of[t] for t in TEXTLESS_TAGS):
             return
         if not text.strip(" \n\t\f\r"):
             text = "\n" if "\n" in text else " "
@@ -66,6 +68,7 @@ class _TreeReader(HTMLParser):
         self.nodes.append(node)
         if tag not in VOID_TAGS:
             self.open.append(node)
+            self.depth_of[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -75,11 +78,12 @@ class _TreeReader(HTMLParser):
     def close_top(self):
         node = self.open.pop()
         node["end_id"], node["text_to"] = len(self.nodes) - 1, len(self.texts)
+        self.depth_of[node["tag"]] -= 1
         return node["tag"]
 
     def handle_endtag(self, tag):
         self.flush()
-        if any(n["tag"] == tag for n in self.open):
+        if self.depth_of[tag]:
             while self.close_top() != tag:
                 pass
 
@@ -99,10 +103,13 @@ class _TreeReader(HTMLParser):
 
 
 def read_tree(html):
-    """(nodes, texts) of one document."""
+    """(nodes, texts) of one document; markup the parser refuses gives an empty tree."""
     reader = _TreeReader()
-    reader.feed(html or "")
-    reader.finish()
+    try:
+        reader.feed(html or "")
+        reader.finish()
+    except AssertionError:
+        return [], []
     for node in reader.nodes:
         node["attrs"] = list(node["attrs"].items())
     return reader.nodes, [{"text": t, "parent_id": p, "boiler": b} for t, p, b in reader.texts]

@@ -121,3 +121,13 @@ def test_latest_snapshot_wins(spark, copies):
     found = spark.createDataFrame([("https://h/a", "me"), ("https://h/b", "you")], "url string, author string")
     rows = articles.article_join(found, crawl).orderBy("url").collect()
     assert [(r.url, r.author, r.title, r.matched) for r in rows] == [("https://h/a", "me", "v2", True), ("https://h/b", "you", None, False)]
+
+
+def test_refused_markup_is_an_empty_page(spark):
+    df = spark.createDataFrame([(1, "u", "<h1>A title here</h1><![foo bar[ x ]]>")], "page_id int, url string, html string")
+    assert articles.page_article(df).first().reject_reason in ("no_title", "no_content")
+
+
+def test_deep_trees_stay_linear():
+    nodes, texts = pages.read_tree("<p>x" * 40000)
+    assert len(nodes) == len(texts) == 40000 and nodes[0]["end_id"] == 39999

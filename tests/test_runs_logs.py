@@ -173,3 +173,9 @@ def test_trackers(spark):
 def test_merge_metrics(spark):
     df = spark.sql("SELECT map('a', 1, 'b', 2) x, map('b', 3) y")
     assert df.select(logs.merge_metrics("x", "y").alias("m")).first().m == {"a": 1, "b": 3}
+
+
+def test_article_input(spark):
+    docs = ['{"article":{"url":"u","title":"t","summary":"s"}}', '{"url":"u","title":"t"}', "broken"]
+    rows = messages.article_input(spark.createDataFrame([(d,) for d in docs], "event_json string")).collect()
+    assert [(r.url, r.title, r.summary) for r in rows] == [("u", "t", "s"), ("u", "t", ""), ("", "", "")]

@@ -102,3 +102,8 @@ LINKS = {
 
 def test_link_rules(spark):
     assert apply(spark, urls.is_article_link, list(LINKS)) == list(LINKS.values())
+
+
+def test_pair_map(spark):
+    assert apply(spark, text.pair_map, ["sid=abc; uid = 1 ;x", "a=1;a=2; b=c=d", "", None]) == [
+        {"sid": "abc", "uid": "1"}, {"a": "2", "b": "c=d"}, {}, {}]
