@@ -116,6 +116,8 @@ STAGE_ERRORS = {
     "fatal": (500, "Internal server error"),
 }
 
+AUTHENTICATION_MESSAGE = "Failed to authenticate with Medium"
+
 # error type -> root of its class family
 ERROR_ROOTS = {
     "ValidationError": "validation",

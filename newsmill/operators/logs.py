@@ -127,6 +127,17 @@ def alert_format(df, severity="severity", message="message", error_type="error_t
     return df.withColumn("alert_text", text)
 
 
+def alert_payload(df, app, ts="ts", text="alert_text"):
+    """Adds ``payload``, the chat message of an alert of ``alert_feed`` with its text."""
+    field = F.struct(F.lit("Error Details").alias("title"), col(text).alias("value"), F.lit(False).alias("short"))
+    body = F.struct(
+        col("color").alias("color"), F.array(field).alias("fields"),
+        F.lit(f"{app} Admin Notifications").alias("footer"), F.unix_timestamp(col(ts)).alias("ts"),
+    )
+    title = F.concat(col("emoji"), F.lit(" "), col("alert_severity"), F.lit(f" Alert - {app}"))
+    return df.withColumn("payload", F.to_json(F.struct(title.alias("text"), F.array(body).alias("attachments"))))
+
+
 # --- trackers -------------------------------------------------------------------
 
 def _seconds(later, earlier):

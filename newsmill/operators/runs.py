@@ -86,7 +86,7 @@ def error_response(df, kind="kind", context="context", message="message"):
     kind = F.when(col(kind).isin(list(dims.STAGE_ERRORS)), col(kind)).otherwise("fatal")
     text = (
         F.when(kind == "fatal", F.concat(F.lit("Fatal error in "), col(context), F.lit(": "), col(message)))
-        .when(kind == "authentication", "Failed to authenticate")
+        .when(kind == "authentication", dims.AUTHENTICATION_MESSAGE)
         .otherwise(col(message))
     )
     return df.withColumns(

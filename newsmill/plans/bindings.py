@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
-from newsmill.functions.text import SPACE
+from newsmill.functions.text import SPACE, let
 from newsmill.operators.links import anchors_native
 from newsmill.sources.newsletters import VARIANTS, newsletter_emails
 
@@ -83,10 +83,10 @@ def mails(documents):
         F.concat(F.lit("https://medium.com/@"), F.col("source"), F.lit("/doc"), i, F.lit("-"), k).alias("url"),
         title(s).alias("content"), F.concat(F.lit("Writer "), F.col("source")).alias("author"),
     )
-    seeds = F.transform(found, seed)
     spare = F.array(seed(F.lit("A document without a full sentence."), F.lit(0)))
     shaped = documents.select(
-        i.alias("email_id"), F.when(F.size(found) > 0, seeds).otherwise(spare).alias("seeds"),
+        i.alias("email_id"),
+        let(found, lambda f: F.when(F.size(f) > 0, F.transform(f, seed)).otherwise(spare)).alias("seeds"),
         (i % 7 + 1).cast("int").alias("n_articles"), cycle(VARIANTS, i).alias("variant"),
         cycle(["quoted-printable", "base64", "7bit"], F.floor(i / 6)).alias("encoding"),
     )

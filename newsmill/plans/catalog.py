@@ -269,8 +269,8 @@ def article_join(pages):
     made = flow.links_from_pages(pages)
     dead = made.withColumn("url", F.when(b.every(10, "pos"), F.concat("url", F.lit("-gone"))).otherwise(F.col("url")))
     crawl = pages.select("url", F.explode(F.array(F.lit(1), F.lit(2))).alias("fetched_at"), "page_id", "html")
-    crawl = crawl.select("url", "fetched_at", F.concat(F.lit("v"), "fetched_at", F.lit("-"), "page_id").alias("title"), F.length("html").cast("string").alias("content"))
-    return articles.article_join(dead, crawl)
+    crawl = crawl.select("url", "fetched_at", "page_id", F.concat(F.lit("v"), "fetched_at", F.lit("-"), "page_id").alias("title"), F.length("html").cast("string").alias("content"))
+    return articles.article_join(dead, crawl, order=("fetched_at", "page_id"))
 
 
 @query("pages")
@@ -693,7 +693,7 @@ def scalar_helpers(events):
 # --- flow --------------------------------------------------------------------------------------------
 
 def flow_messages(pages):
-    return flow.article_messages(flow.links_from_pages(pages), pages.withColumn("fetched_at", F.lit(1)))
+    return flow.article_messages(flow.links_from_pages(pages), pages.withColumn("fetched_at", F.col("page_id")))
 
 
 @query("pages")

@@ -93,6 +93,12 @@ def trigger_response(df, event_id="event_id", event_json="event_json", seconds="
     )
 
 
+def read_objects(spark, path, glob=None):
+    """Stored objects as rows: path, modificationTime, length, content."""
+    reader = spark.read.format("binaryFile")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+
+
 def raw_object_decode(df, content="content"):
     """Adds ``text`` and ``reject_reason``: UTF-8 where valid, else Latin-1
     (which accepts every byte); blank text is rejected."""

@@ -172,7 +172,7 @@ FROM pages, (VALUES (0), (1)) AS c(k)
 WITH l AS (SELECT run_id, author, pos, CASE WHEN pos % 10 = 0 THEN url || '-gone' ELSE url END AS url FROM ({{link_table}})),
 raw AS (SELECT pos AS k, url FROM l UNION ALL SELECT -1 - page_id, url FROM pages),
 c AS (SELECT k, url FROM ({{canonical}})),
-s AS (SELECT c.url, max('v2-' || page_id) AS title, max(length(html)) AS content FROM pages p JOIN c ON c.k = -1 - p.page_id GROUP BY c.url)
+s AS (SELECT c.url, arg_max('v2-' || page_id, page_id) AS title, arg_max(length(html), page_id) AS content FROM pages p JOIN c ON c.k = -1 - p.page_id GROUP BY c.url)
 SELECT l.run_id, c.url, l.author, l.pos, s.title, s.content::VARCHAR AS content, s.url IS NOT NULL AS matched
 FROM l JOIN c ON c.k = l.pos LEFT JOIN s ON s.url = c.url
 
@@ -186,9 +186,10 @@ WITH l AS ({{link_table}}),
 raw AS (SELECT pos AS k, url FROM l UNION ALL SELECT -1 - page_id, url FROM pages),
 c AS (SELECT k, url FROM ({{canonical}})),
 f AS (SELECT run_id, author, pos, url FROM (SELECT l.run_id, l.author, l.pos, c.url, row_number() OVER (PARTITION BY l.run_id, c.url ORDER BY pos) AS rn FROM l JOIN c ON c.k = l.pos) WHERE rn = 1),
-a AS (SELECT c.url, t.title, array_to_string(list_transform(list_slice(regexp_extract_all(x.content, '[^.!?]+[.!?]+'), 1, 3),
+a0 AS (SELECT c.url, t.page_id, t.title, array_to_string(list_transform(list_slice(regexp_extract_all(x.content, '[^.!?]+[.!?]+'), 1, 3),
     lambda s: regexp_replace(s, '^[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+\z', '', 'g')), ' ') AS summary
   FROM ({{titles}}) t JOIN ({{contents}}) x ON x.page_id = t.page_id JOIN c ON c.k = -1 - t.page_id WHERE t.title IS NOT NULL AND x.content IS NOT NULL),
+a AS (SELECT url, arg_max(title, page_id) AS title, arg_max(summary, page_id) AS summary FROM a0 GROUP BY url),
 m AS (SELECT f.run_id, f.url, f.author, f.pos, a.title, CASE WHEN a.url IS NULL THEN 'failed' ELSE 'ok' END AS item_status,
     CASE WHEN a.summary IS NULL OR NOT regexp_matches(a.summary, '[^\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]') THEN
       'Summary unavailable for ''' || coalesce(a.title, '') || '''. The article content could not be processed at this time.' ELSE a.summary END AS summary

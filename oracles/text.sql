@@ -93,7 +93,7 @@ SELECT source, CASE WHEN m % 2 = 0 THEN 200 ELSE 500 END::INTEGER AS status_code
 WITH k AS (SELECT event_id, event_type, user_id, ['validation','authentication','fetch','fatal','other'][event_id % 5 + 1] AS kind FROM events)
 SELECT event_id, kind, CASE kind WHEN 'validation' THEN 400 WHEN 'authentication' THEN 401 ELSE 500 END::INTEGER AS status_code,
   CASE kind WHEN 'validation' THEN 'Validation error' WHEN 'authentication' THEN 'Authentication error' WHEN 'fetch' THEN 'Fetch error' ELSE 'Internal server error' END AS error_name,
-  CASE WHEN kind = 'authentication' THEN 'Failed to authenticate' WHEN kind IN ('validation', 'fetch') THEN 'user ' || user_id
+  CASE WHEN kind = 'authentication' THEN 'Failed to authenticate with Medium' WHEN kind IN ('validation', 'fetch') THEN 'user ' || user_id
     ELSE 'Fatal error in ' || event_type || ': user ' || user_id END AS error_message,
   CASE WHEN kind IN ('fatal', 'other') THEN event_type END AS error_context FROM k
 

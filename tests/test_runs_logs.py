@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -179,3 +180,11 @@ def test_article_input(spark):
     docs = ['{"article":{"url":"u","title":"t","summary":"s"}}', '{"url":"u","title":"t"}', "broken"]
     rows = messages.article_input(spark.createDataFrame([(d,) for d in docs], "event_json string")).collect()
     assert [(r.url, r.title, r.summary) for r in rows] == [("u", "t", "s"), ("u", "t", ""), ("", "", "")]
+
+
+def test_alert_payload(spark):
+    df = spark.sql("SELECT 'ERROR' level, 'CRITICAL' severity, false suppressed, true notify, timestamp'2024-01-01 00:00:00' ts, 'body' alert_text")
+    got = json.loads(logs.alert_payload(logs.alert_feed(df), "App").first().payload)
+    assert got["text"] == "🚨 CRITICAL Alert - App"
+    assert got["attachments"] == [{"color": "danger", "fields": [{"title": "Error Details", "value": "body", "short": False}],
+                                   "footer": "App Admin Notifications", "ts": 1704067200}]

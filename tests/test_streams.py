@@ -55,3 +55,12 @@ def test_message_stream_once(spark, tmp_path):
     run()
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["u1", "u2"]
     assert messages.message_sink(df, out, 99).count() == 2
+
+
+def test_objects_in_batch(spark, tmp_path):
+    from newsmill.sources.events import raw_object_decode, read_objects
+
+    (tmp_path / "a.eml").write_bytes(b"one")
+    (tmp_path / "b.bin").write_bytes(b"two")
+    assert sorted(r.text for r in raw_object_decode(read_objects(spark, str(tmp_path))).collect()) == ["one", "two"]
+    assert read_objects(spark, str(tmp_path), "*.eml").count() == 1
