@@ -204,11 +204,8 @@ def size_profile(df, scenario="scenario", text="text", literal="<a ", seconds=No
 
 
 def perf_flags(worst_scaling, best_throughput, single_mean, memory_mb):
-    """Checks (check, value, limit, ok) from four one-column summaries.
-
-    Each argument is (frame, column, aggregate); every frame is reduced to one
-    row before they are put together.
-    """
+    """Checks (check, value, limit, ok) from four (frame, column) pairs; every
+    frame is reduced to its largest value before they are put together."""
     # no throughput below the floor, nothing else above its limit
     checks = [
         ("worst_scaling", worst_scaling, dims.SCALING_LIMIT, False),
