@@ -37,8 +37,8 @@ def shared_dir(spark):
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="newsmill-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def run_dir(spark, label):

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from newsmill.plans.catalog import QUERIES
 
 STREAMS = {"stream_ingest", "stream_dedup", "stream_rate_windows", "message_sink"}
 PYTHON = {
@@ -21,10 +21,10 @@ SUMMARY_FRAMES = {"scaling_factors", "perf_flags", "max_concurrent_overall"}
 
 
 def plan_of(spark, sf_dir, key):
-    return queries()[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(queries()) - STREAMS))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - STREAMS))
 def test_plan(spark, sf_dir, key):
     plan = plan_of(spark, sf_dir, key)
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
