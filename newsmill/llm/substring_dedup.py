@@ -147,12 +147,7 @@ def lengthen_prefixes(length):
 
     def run(batches):
         for batch in batches:
-            hot = batch.column("hot").to_numpy(zero_copy_only=False)
-            cool = batch.filter(pa.array(~hot))
-            col = cool.column
-            zero = pa.array(np.zeros(len(cool), np.int64))
-            yield pa.RecordBatch.from_arrays([col("m"), col("m"), col("t"), zero, col("n"), col("ord"), col("key"), col("a"), col("piece")], names=names)
-            for r in batch.filter(pa.array(hot)).to_pylist():
+            for r in batch.to_pylist():
                 rows = [(g, r["m"], r["t"], s, n, r["ord"], r["key"], r["a"], text) for g, s, n, text in hot_blocks(r["piece"], r["m"], length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -210,10 +205,16 @@ def later_leaves(length):
         return np.array(piece), np.array(at), np.unique(np.array(keys, "S16"), return_inverse=True)[1]
 
     def run(batches):
-        for held in group_chunks(batches, lambda r: len(r[8]), CHUNK):
+        for rows in group_chunks(batches, lambda r: len(r[8]), CHUNK):
+            # rows of one text follow each other, the earliest first; the rest go whole
+            held, out = [], []
+            for r in rows:
+                if held and r[:4] == held[-1][:4]:
+                    if r[5:8] != held[-1][5:8]:
+                        out.append((r[6], [r[7], r[7] + r[4]]))
+                else:
+                    held.append(r)
             piece, at, node = nodes(held) if sum(len(r[8]) for r in held) < 8 * CHUNK else digests(held)
-            if not len(piece):
-                continue
             ords, keys = np.array([r[5] for r in held]), np.array([r[6] for r in held])
             place = at + np.array([r[3] + r[7] for r in held])[piece]
             order = np.lexsort((place, keys[piece], ords[piece], node))
@@ -221,7 +222,6 @@ def later_leaves(length):
             head[1:] = node[order][1:] != node[order][:-1]
             later = np.zeros(len(order), bool)
             later[order] = ~head
-            out = []
             order = np.argsort(piece, kind="stable")
             cuts = np.searchsorted(piece[order], np.arange(len(held) + 1))
             for k in np.flatnonzero(np.diff(cuts)):
@@ -251,12 +251,14 @@ def later_spans(documents, length=20, hot_runs=2000, id_col="doc_id", text_col="
     listed = runs.select("key", "a", "n", "m").join(often, "m").groupBy("key").agg(F.collect_set(F.struct("a", "n", "m", "hot")).alias("runs"))
     pieces = docs.select("key", "ord", "text").join(listed, "key").mapInArrow(cut_pieces(length), PIECES)
     pieces = A.stored(pieces.withColumn("t", F.unhex(F.md5("piece"))), "tree-pieces")
-    once = pieces.groupBy("m", "hot", "t", "n", "piece").agg(F.min(F.struct("ord", "key", "a")).alias("first"))
-    once = once.select("m", "hot", "t", "n", "first.*", "piece").mapInArrow(lengthen_prefixes(length), GROUPS)
-    first = once.repartition("g").sortWithinPartitions("g").mapInArrow(later_leaves(length), FOUND)
-    copies = pieces.groupBy("m", "t").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "key", "a")).alias("first")).where("c > 1").select("m", "t", "first")
-    own = F.struct("ord", "key", "a")
-    whole = pieces.select("ord", "key", "a", "n", "m", "t").join(copies, ["m", "t"]).where(own != F.col("first"))
+    cool = pieces.where("NOT hot").selectExpr("m AS g", "m", "t", "0L AS at", "n", "ord", "key", "a", "piece")
+    popular, own = pieces.where("hot"), F.struct("ord", "key", "a")
+    once = popular.groupBy("m", "t", "n", "piece").agg(F.min(own).alias("first"))
+    once = once.select("m", "t", "n", "first.*", "piece").mapInArrow(lengthen_prefixes(length), GROUPS)
+    groups = cool.unionByName(once).repartition("g").sortWithinPartitions("g", "t", "at", "ord", "key", "a")
+    first = groups.mapInArrow(later_leaves(length), FOUND)
+    copies = popular.groupBy("m", "t").agg(F.count(F.lit(1)).alias("c"), F.min(own).alias("first")).where("c > 1").select("m", "t", "first")
+    whole = popular.select("ord", "key", "a", "n", "m", "t").join(copies, ["m", "t"]).where(own != F.col("first"))
     whole = whole.select("key", F.array(F.col("a"), F.col("a") + F.col("n")).alias("spans"))
     return first.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

@@ -24,7 +24,7 @@ from newsmill.llm import arrays as A
 RUNS = "key long, a long, n long, m long, own boolean"
 PIECES = "key long, a long, n long, m long, hot boolean, piece binary"
 GROUPS = "g long, m long, t binary, at long, n long, c long, key long, a long, piece binary"
-FOUND = "m long, t binary, key long, a long, c long, spans array<long>"
+FOUND = "key long, spans array<long>"
 BLOCK = 12
 CHUNK = 1 << 21
 
@@ -110,20 +110,15 @@ def hot_blocks(piece, m, length):
 
 def split_hot(length):
     names = [x.split()[0] for x in GROUPS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         for batch in batches:
-            hot = batch.column("hot").to_numpy(zero_copy_only=False)
-            cool = batch.filter(pa.array(~hot))
-            at = pa.array(np.zeros(len(cool), np.int64))
-            col = cool.column
-            yield pa.RecordBatch.from_arrays([col("m"), col("m"), col("t"), at, col("n"), col("c"), col("key"), col("a"), col("piece")], names=names)
-            for r in batch.filter(pa.array(hot)).to_pylist():
+            for r in batch.to_pylist():
                 rows = [
                     (g, r["m"], r["t"], s, n, r["c"], r["key"], r["a"], r["piece"][s : s + n + length - 1])
                     for g, s, n in hot_blocks(r["piece"], r["m"], length)
                 ]
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
@@ -240,24 +235,32 @@ def repeated_starts(length):
         return piece[order], at[order], same
 
     def run(batches):
-        for held in group_chunks(batches, lambda r: len(r[8]), CHUNK):
+        for rows in group_chunks(batches, lambda r: len(r[8]), CHUNK):
+            # rows of one text follow each other; c = 0 says that they are not counted yet
+            held, copies, out = [], [], []
+            for r in rows:
+                if held and r[5] == 0 and r[:3] == held[-1][:3]:
+                    copies[-1].append(r)
+                else:
+                    held.append(r)
+                    copies.append([r])
             piece, at, same = windows(held)
             twice = same.copy()
             twice[:-1] |= same[1:]
-            flags = [None] * len(held)
             order = np.argsort(piece, kind="stable")
             cuts = np.searchsorted(piece[order], np.arange(len(held) + 1))
-            out = []
             for k, r in enumerate(held):
-                mine = order[cuts[k] : cuts[k + 1]]
-                flags = np.zeros(r[4], bool)
-                flags[at[mine]] = twice[mine]
-                spans = [r[3] + x for x in spans_of(flags)]
-                if spans:
-                    out.append((r[1], r[2], r[6], r[7], r[5], spans))
+                if len(copies[k]) > 1:
+                    out += [(x[6], [x[7], x[7] + x[4]]) for x in copies[k]]
+                elif r[5] < 2:
+                    mine = order[cuts[k] : cuts[k + 1]]
+                    flags = np.zeros(r[4], bool)
+                    flags[at[mine]] = twice[mine]
+                    spans = [r[3] + r[7] + x for x in spans_of(flags)]
+                    if spans:
+                        out.append((r[6], spans))
             if out:
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["m", "t", "key", "a", "c", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["key", "spans"])
 
     return run
 
@@ -273,13 +276,15 @@ def repeated_spans(documents, length=200, hot_runs=2000, id_col="doc_id", text_c
     listed = runs.drop("own").join(often, "m").groupBy("key").agg(F.collect_set(F.struct("a", "n", "m", "hot")).alias("runs"))
     pieces = docs.select("key", "text").join(listed, "key").mapInArrow(cut_pieces(length), PIECES)
     pieces = A.stored(pieces.withColumn("t", F.unhex(F.md5("piece"))), "repeat-pieces")
-    once = pieces.groupBy("m", "hot", "t", "n", "piece").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "a")).alias("first"))
-    once = once.select("m", "hot", "t", "n", "c", "first.*", "piece").mapInArrow(split_hot(length), GROUPS)
-    # a run seen twice repeats as a whole; the suffix sort settles those seen once
-    grouped = once.repartition("g").sortWithinPartitions("g").mapInArrow(repeated_starts(length), FOUND)
-    single = grouped.where("c = 1").select("key", F.transform("spans", lambda x: x + F.col("a")).alias("spans"))
-    copies = pieces.groupBy("m", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "t")
-    whole = pieces.select("key", "a", "n", "m", "t").join(copies, ["m", "t"], "left_semi").select("key", F.array(F.col("a"), F.col("a") + F.col("n")).alias("spans"))
+    cool = pieces.where("NOT hot").selectExpr("m AS g", "m", "t", "0L AS at", "n", "0L AS c", "key", "a", "piece")
+    popular = pieces.where("hot")
+    once = popular.groupBy("m", "t", "n", "piece").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "a")).alias("first"))
+    once = once.select("m", "t", "n", "c", "first.*", "piece").mapInArrow(split_hot(length), GROUPS)
+    sorted_groups = cool.unionByName(once).repartition("g").sortWithinPartitions("g", "t", "at")
+    single = sorted_groups.mapInArrow(repeated_starts(length), FOUND)
+    # a popular run seen twice repeats as a whole
+    copies = popular.groupBy("m", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "t")
+    whole = popular.select("key", "a", "n", "m", "t").join(copies, ["m", "t"], "left_semi").select("key", F.array(F.col("a"), F.col("a") + F.col("n")).alias("spans"))
     return single.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
