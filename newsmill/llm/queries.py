@@ -1,16 +1,26 @@
 """One query per training-data operator over the given tables."""
 
+import public_tokenizers
+
+from newsmill.llm.near_dedup import near_dedup
+from newsmill.llm.packing import best_fit_packing
 from newsmill.llm.substring_dedup import substring_dedup
 from newsmill.llm.suffix_dedup import suffix_dedup
+from newsmill.llm.token_files import token_files
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def over(table, operator, **options):
+    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"), **options)
 
 
 QUERIES = {
-    "op1_suffix_array_dedup": lambda spark, sf_dir: suffix_dedup(read(spark, sf_dir, "documents")),
-    "op6_substring_dedup": lambda spark, sf_dir: substring_dedup(read(spark, sf_dir, "documents")),
+    "op1_suffix_array_dedup": over("documents", suffix_dedup),
+    "op2_best_fit_packing": over("documents", best_fit_packing, tokenizer=TOKENIZER),
+    "op3_token_files": over("documents", token_files, tokenizer=TOKENIZER),
+    "op6_substring_dedup": over("documents", substring_dedup),
+    "op9_near_dedup": over("documents", near_dedup),
 }
 
 ORACLES = {}
