@@ -59,13 +59,13 @@ def text_blocks(column, limit=2 << 20):
         i = j
 
 
-def words_of(offs, raw):
-    """(start, end, row) of the words of a block: maximal runs of bytes that are
-    not one of the six ASCII white space bytes, cut at row boundaries."""
+def words_of(offs, raw, breaks=SPACES):
+    """(start, end, row) of the words of a block: maximal runs of bytes that are not
+    breaks (the six ASCII white space bytes), cut at row boundaries."""
     if len(raw) == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~SPACES[raw]
+    inside = ~breaks[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offs[:-1][offs[:-1] < len(raw)]

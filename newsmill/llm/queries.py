@@ -2,6 +2,7 @@
 
 import public_tokenizers
 
+from newsmill.llm.mixing import mix_report
 from newsmill.llm.near_dedup import near_dedup
 from newsmill.llm.packing import best_fit_packing
 from newsmill.llm.substring_dedup import substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op2_best_fit_packing": over("documents", best_fit_packing, tokenizer=TOKENIZER),
     "op3_token_files": over("documents", token_files, tokenizer=TOKENIZER),
     "op6_substring_dedup": over("documents", substring_dedup),
+    "op7_source_mixing": over("documents", mix_report),
     "op9_near_dedup": over("documents", near_dedup),
 }
 
