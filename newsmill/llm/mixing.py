@@ -192,3 +192,12 @@ def mix_files(documents, path, **options):
     """Write the mix as one shuffled folder per shard."""
     out = mixed(documents, **options)
     out.repartition("_shard").sortWithinPartitions("_shard", "_turn").write.partitionBy("_shard").parquet(path)
+
+
+def draw(documents, **options):
+    """The mix with the documents' columns only: a row per copy. Rows without words
+    weigh nothing and stay once."""
+    rows = taken_rows(documents, **options)
+    times = F.when(F.col("_size") == 0, F.lit(1).cast("long")).otherwise(F.col("_copies"))
+    copies = rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return copies.select(*documents.columns)

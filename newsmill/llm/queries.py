@@ -2,12 +2,16 @@
 
 import public_tokenizers
 
+from newsmill.llm.fingerprints import fingerprints
+from newsmill.llm.html_text import main_text
 from newsmill.llm.mixing import mix_report
 from newsmill.llm.near_dedup import near_dedup
 from newsmill.llm.packing import best_fit_packing
 from newsmill.llm.substring_dedup import substring_dedup
 from newsmill.llm.suffix_dedup import suffix_dedup
 from newsmill.llm.token_files import token_files
+from newsmill.llm.topk_search import topk_search
+from newsmill.llm.toxicity import score_toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,13 +20,43 @@ def over(table, operator, **options):
     return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"), **options)
 
 
+def toxicity(spark, sf_dir):
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return score_toxicity(read("documents"), read("labels"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_suffix_array_dedup": over("documents", suffix_dedup),
     "op2_best_fit_packing": over("documents", best_fit_packing, tokenizer=TOKENIZER),
     "op3_token_files": over("documents", token_files, tokenizer=TOKENIZER),
+    "op4_html_extraction": over("pages", main_text),
+    "op5_topk_search": over("embeddings", topk_search),
     "op6_substring_dedup": over("documents", substring_dedup),
     "op7_source_mixing": over("documents", mix_report),
+    "op8_toxicity": toxicity,
     "op9_near_dedup": over("documents", near_dedup),
+    "op10_fingerprints": over("documents", fingerprints),
+    "pipeline": pipeline,
 }
 
-ORACLES = {}
+# brute force; the other operators are tested against brute force in tests/llm
+ORACLES = {
+    "op5_topk_search": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+    """,
+}

@@ -335,3 +335,46 @@ def suffix_dedup(documents, length=200, hot_runs=2000, id_col="doc_id", text_col
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     docs = A.keyed_texts(documents, id_col, text_col)
     return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(removal(length, with_text), schema)
+
+
+def kept_text(text, spans, length):
+    """The rest of a text; a character that a cut splits goes whole."""
+    pairs = np.array(spans, np.int64).reshape(-1, 2)
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(edge, pairs[:, 0], 1)
+    np.add.at(edge, pairs[:, 1] - 1 + length, -1)
+    gone = np.cumsum(edge)[:-1] > 0
+    letter = np.cumsum((raw & 0xC0) != 0x80) - 1
+    cut = np.bincount(letter, gone) > 0
+    return raw[~cut[letter]].tobytes().decode("utf-8")
+
+
+def without_repeats(documents, length=200, hot_runs=2000, id_col="doc_id", text_col="text", size_col="n_chars"):
+    """The documents, all columns, without bytes of strings of ``length`` bytes that
+    also start elsewhere; ``size_col``, where present, follows the text. A text that
+    keeps everything is unchanged, null included."""
+    spans = repeated_spans(documents, length, hot_runs, id_col, text_col)
+    key = F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))
+    rows = documents.withColumn("_key", key).join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").drop("_key")
+
+    def run(batches):
+        for batch in batches:
+            texts, lists = batch.column(text_col), batch.column("_spans").to_pylist()
+            hit = [k for k, s in enumerate(lists) if s]
+            if hit:
+                new = texts.to_pylist()
+                for k in hit:
+                    new[k] = kept_text(new[k].encode("utf-8"), lists[k], length)
+                texts = pa.array(new, texts.type)
+            columns = [texts if c == text_col else batch.column(c) for c in documents_columns]
+            if hit and size_col in documents_columns:
+                at = documents_columns.index(size_col)
+                sizes = columns[at].to_pylist()
+                for k in hit:
+                    sizes[k] = len(new[k])
+                columns[at] = pa.array(sizes, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=documents_columns)
+
+    documents_columns = documents.columns
+    return rows.mapInArrow(run, documents.schema)
