@@ -5,9 +5,10 @@ the token with the smallest value). Every tree sends a document down the paths o
 selected minwise tokens: a node looks at ``BRANCHES`` of the functions, and a
 document goes to one child for each, named by its token there; two sets meet in a
 child with a chance equal to their similarity. A node with one document is dropped,
-one of at most ``SMALL`` is compared in full, a larger one branches on. Trees are
-independent; ``TREES`` of them miss a pair at 0.75 with a chance of about 1e-8 where
-nodes get small at once and 1e-5 on the deepest paths.
+one of at most ``SMALL`` is compared in full, a larger one branches on, down to
+``DEPTH``. Trees are independent; ``TREES`` of them miss a pair at 0.75 with a chance
+of (1 - 0.75)^(2 * 10), about 1e-12, where nodes get small at once, and of about 1e-8
+where they do not.
 
 * Documents with equal sets are one class before the join.
 * Links are needed for components only: each document first confirms its likeliest
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from newsmill.llm import arrays as A
 from newsmill.llm.graph import components
 
-TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 64, 10, 2, 5, 128, 128
-LIKELY = TOKENS // 2
+TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 128, 10, 2, 2, 256, 256
+# of 128 tokens a pair at 0.75 shares 96 +- 5; fewer than this with a chance of 1e-4
+LIKELY = 78
 FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, TOKENS, dtype=np.uint64) * A.U(2) + A.U(1)
 CHOICE = np.random.Generator(np.random.PCG64(11)).integers(0, TOKENS, (TREES, BRANCHES ** (DEPTH + 1) * 2))
 SETS = "key long, n_shingles long, s1 long, s2 long, mins binary, sketch binary"
@@ -127,13 +129,15 @@ def whole_groups(batches, column):
         yield pa.Table.from_batches(held)
 
 
-def likely_pairs(group, key, sketch, usable, limit=1 << 18):
-    """(i, j, agreement) of rows of one group that may be linked; blocks of pairs."""
+def likely_pairs(group, key, size, sketch, share, usable, limit=1 << 17):
+    """(i, j, agreement) of rows of one group that may be linked; blocks of pairs. Sets
+    whose sizes differ more than the similarity allows are never linked."""
     for d in range(1, len(group)):
         i = np.flatnonzero(group[:-d] == group[d:])
         if not len(i):
             return
-        i = i[usable(i, i + d) & (key[i] != key[i + d])]
+        low, high = np.minimum(size[i], size[i + d]), np.maximum(size[i], size[i + d])
+        i = i[usable(i, i + d) & (key[i] != key[i + d]) & (low >= share * high)]
         for s in range(0, len(i), limit):
             a = i[s : s + limit]
             same = (sketch[a] == sketch[a + d]).sum(1)
@@ -141,36 +145,42 @@ def likely_pairs(group, key, sketch, usable, limit=1 << 18):
             yield a[hit], a[hit] + d, same[hit]
 
 
-def likeliest(batches):
+def likeliest(similarity):
     """For each document of a node the likeliest link to one with a smaller key."""
-    for table in whole_groups(batches, "node"):
-        group, key = table.column("node").to_numpy(), table.column("key").to_numpy()
-        sketch = matrix(table.column("sketch"), np.uint8, TOKENS)
-        best, other = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        for i, j, same in likely_pairs(group, key, sketch, lambda i, j: np.ones(len(i), bool)):
-            hi, lo = np.where(key[i] > key[j], i, j), np.where(key[i] > key[j], j, i)
-            better = (same > best[hi]) | ((same == best[hi]) & (key[lo] < other[hi]))
-            # a row is the larger side of at most two pairs at one distance
-            for part in (hi == i, hi == j):
-                w = better & part
-                w = w & ((same > best[hi]) | ((same == best[hi]) & (key[lo] < other[hi])))
-                best[hi[w]], other[hi[w]] = same[w], key[lo[w]]
-        x = best > 0
-        yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(other[x]), pa.array(best[x])], names=["x", "y", "same"])
-
-
-def between_components(batches):
+
+    def run(batches):
+        for table in whole_groups(batches, "node"):
+            group, key, size = (table.column(c).to_numpy() for c in ("node", "key", "n_shingles"))
+            sketch = matrix(table.column("sketch"), np.uint8, TOKENS)
+            best, other = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            for i, j, same in likely_pairs(group, key, size, sketch, similarity, lambda i, j: np.ones(len(i), bool)):
+                hi, lo = np.where(key[i] > key[j], i, j), np.where(key[i] > key[j], j, i)
+                # a row is the larger side of at most two pairs at one distance
+                for part in (hi == i, hi == j):
+                    w = part & ((same > best[hi]) | ((same == best[hi]) & (key[lo] < other[hi])))
+                    best[hi[w]], other[hi[w]] = same[w], key[lo[w]]
+            x = best > 0
+            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(other[x]), pa.array(best[x])], names=["x", "y", "same"])
+
+    return run
+
+
+def between_components(similarity):
     """Likely pairs of one group whose documents are in different components; where
     a group has guests, only pairs with a guest."""
-    for table in whole_groups(batches, "node"):
-        group, key, root = (table.column(c).to_numpy() for c in ("node", "key", "root"))
-        guest = table.column("guest").to_numpy().astype(np.int8)
-        sketch = matrix(table.column("sketch"), np.uint8, TOKENS)
-        # 0: an ordinary node; 1: a member of a visited block; 2: its guest
-        usable = lambda i, j: (root[i] != root[j]) & (guest[i] + guest[j] != 2)
-        for i, j, same in likely_pairs(group, key, sketch, usable):
-            x, y = np.maximum(key[i], key[j]), np.minimum(key[i], key[j])
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+    def run(batches):
+        for table in whole_groups(batches, "node"):
+            group, key, size, root = (table.column(c).to_numpy() for c in ("node", "key", "n_shingles", "root"))
+            guest = table.column("guest").to_numpy().astype(np.int8)
+            sketch = matrix(table.column("sketch"), np.uint8, TOKENS)
+            # 0: an ordinary node; 1: a member of a visited block; 3: its guest
+            usable = lambda i, j: (root[i] != root[j]) & (guest[i] + guest[j] != 2)
+            for i, j, _ in likely_pairs(group, key, size, sketch, similarity, usable):
+                x, y = np.maximum(key[i], key[j]), np.minimum(key[i], key[j])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+    return run
 
 
 def full_sets(words):
@@ -242,7 +252,7 @@ def nodes_to_compare(reps):
 def visits(nodes):
     """Groups for the second pass: nodes as they are, and for each large node its
     blocks, visited by those outside the node's largest component."""
-    plain = nodes.where("blocks = 1").select("node", "key", "root", "sketch", F.lit(0).alias("guest"))
+    plain = nodes.where("blocks = 1").select("node", "key", "n_shingles", "root", "sketch", F.lit(0).alias("guest"))
     large = nodes.where("blocks > 1")
     main = large.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     strays = large.join(main, "node").where("root <> main").drop("main")
@@ -250,9 +260,9 @@ def visits(nodes):
     block = F.pmod(F.xxhash64("key", "node"), F.col("blocks"))
     group = lambda b, c: F.xxhash64("node", b, c).alias("node")
     hosts = large.join(crowd, "node").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)))
-    hosts = hosts.select(group(block, F.col("c")), "key", "root", "sketch", F.lit(1).alias("guest"))
+    hosts = hosts.select(group(block, F.col("c")), "key", "n_shingles", "root", "sketch", F.lit(1).alias("guest"))
     guests = strays.join(crowd, "node").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    guests = guests.select(group(F.col("b"), F.pmod(F.xxhash64("node", "key"), F.col("crowds"))), "key", "root", "sketch", F.lit(3).alias("guest"))
+    guests = guests.select(group(F.col("b"), F.pmod(F.xxhash64("node", "key"), F.col("crowds"))), "key", "n_shingles", "root", "sketch", F.lit(3).alias("guest"))
     return plain.unionByName(hosts).unionByName(guests)
 
 
@@ -272,18 +282,18 @@ def near_components(documents, words=5, similarity=0.75, id_col="doc_id", text_c
     reps = described.where("n_shingles > 0").groupBy(*same).agg(F.min_by(F.struct("key", "mins", "sketch"), "key").alias("r"), F.min("doc_id").alias("low"))
     reps = A.stored(reps.select(*same, "low", "r.*"), "set-classes")
 
-    nodes = nodes_to_compare(reps).join(reps.select("key", "sketch"), "key")
-    nodes = A.stored(nodes.select("node", "key", "blocks", "sketch"), "path-nodes")
+    nodes = nodes_to_compare(reps).join(reps.select("key", "n_shingles", "sketch"), "key")
+    nodes = A.stored(nodes.select("node", "key", "n_shingles", "blocks", "sketch"), "path-nodes")
     block = F.when(F.col("blocks") > 1, F.xxhash64("node", F.pmod(F.xxhash64("key", "node"), F.col("blocks")))).otherwise(F.col("node"))
-    first = nodes.select(block.alias("node"), "key", "sketch").repartition("node").sortWithinPartitions("node")
-    first = A.stored(first.mapInArrow(likeliest, "x long, y long, same long").groupBy("x").agg(F.max_by("y", F.struct("same", "y")).alias("y")), "likeliest")
+    first = nodes.select(block.alias("node"), "key", "n_shingles", "sketch").repartition("node").sortWithinPartitions("node")
+    first = A.stored(first.mapInArrow(likeliest(similarity), "x long, y long, same long").groupBy("x").agg(F.max_by("y", F.struct("same", "y")).alias("y")), "likeliest")
     involved = nodes.select("key").distinct()
     linked = A.stored(docs.select("key", "text").join(involved, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(full_sets(words), "key long, tokens binary"), "full-sets")
     links = A.stored(confirmed(first, linked, similarity), "confirmed")
     roots = components(links)
 
     named = nodes.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    again = visits(named).repartition("node").sortWithinPartitions("node").mapInArrow(between_components, "x long, y long")
+    again = visits(named).repartition("node").sortWithinPartitions("node").mapInArrow(between_components(similarity), "x long, y long")
     more = A.stored(confirmed(again.distinct(), linked, similarity), "confirmed")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
