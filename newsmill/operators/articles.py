@@ -162,16 +162,17 @@ def page_title_native(html):
 def response_class(df, status="status"):
     """HTTP status -> kind, retryable, category, status code of the stage."""
     s = col(status)
+    # no status: a timeout or a refused connection, which may pass
     kind = (
-        F.when(s == 429, "rate_limit").when(s.isin(401, 403), "authentication")
+        F.when(s.isNull(), "network").when(s == 429, "rate_limit").when(s.isin(401, 403), "authentication")
         .when(s >= 500, "server").when(s != 200, "http_error").otherwise("ok")
     )
     category = (
-        F.when(s == 429, "rate_limit").when(s.isin(401, 403), "authentication").when(s != 200, "external_service")
+        F.when(s == 429, "rate_limit").when(s.isin(401, 403), "authentication").when(s.isNull() | (s != 200), "external_service")
     )
     return (
         df.withColumn("kind", kind)
-        .withColumn("retryable", (s != 200) & ~s.isin(401, 403))
+        .withColumn("retryable", s.isNull() | ((s != 200) & ~s.isin(401, 403)))
         .withColumn("category", category)
         .withColumn("stage_status", F.when(s == 200, 200).when(s.isin(401, 403), 401).otherwise(500))
     )

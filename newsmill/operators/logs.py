@@ -72,7 +72,7 @@ def alert_feed(df, level="level", severity="severity", suppressed="suppressed",
 
     CRITICAL records alert unless suppressed; others only when flagged.
     """
-    critical = col(level) == "CRITICAL"
+    critical = F.coalesce(col(level), F.lit("")) == "CRITICAL"
     wanted = (critical & ~F.coalesce(col(suppressed), F.lit(False))) | (~critical & F.coalesce(col(notify), F.lit(False)))
     name = F.when(critical, "CRITICAL").otherwise(F.coalesce(col(severity), F.lit("ERROR")))
     return (

@@ -34,9 +34,9 @@ def message_payload(df, message="message"):
 
 
 def delivery_class(df, status="status"):
-    """Adds ``delivery``: ok, retryable (429, 5xx) or fatal."""
+    """Adds ``delivery``: ok, retryable (429, 5xx, no answer) or fatal."""
     s = col(status)
-    return df.withColumn("delivery", F.when(s == 200, "ok").when((s == 429) | (s >= 500), "retryable").otherwise("fatal"))
+    return df.withColumn("delivery", F.when(s == 200, "ok").when(s.isNull() | (s == 429) | (s >= 500), "retryable").otherwise("fatal"))
 
 
 def webhook_allowed(url, prefix):
@@ -53,22 +53,36 @@ def with_message_key(df, url="url", message="message"):
 
 
 def undelivered(df, delivered=None):
-    """Messages whose key is not yet in the ``delivered`` table, once per key."""
+    """Messages whose key has no final delivery (ok, fatal) in the ``delivered`` table,
+    once per key; where that table has no deliveries, a recorded key is final."""
     keyed = with_message_key(df)
     rest = [c for c in keyed.columns if c != "message_key"]
     once = keyed.groupBy("message_key").agg(F.min(F.struct(*rest)).alias("m")).select("message_key", "m.*")
     if delivered is None:
         return once
+    if "delivery" in delivered.columns:
+        delivered = delivered.where("delivery IN ('ok', 'fatal')")
     return once.join(delivered.select("message_key"), "message_key", "left_anti")
 
 
+def outcomes(sent):
+    """One row per message of the attempts on record: the final one, else any."""
+    if "delivery" not in sent.columns:
+        return sent
+    rest = [c for c in sent.columns if c != "message_key"]
+    rank = F.struct((F.col("delivery") != "ok").alias("a"), (F.col("delivery") != "fatal").alias("b"), *rest)
+    return sent.groupBy("message_key").agg(F.min_by(F.struct(*rest), rank).alias("m")).select("message_key", "m.*")
+
+
 def _exists(spark, path):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def message_sink(df, path, batch_id=None, sender=None):
-    """Append messages not delivered before; running it again writes nothing.
+    """Append messages without a final delivery; once all have one, running it again
+    writes nothing. Returns one row per message. A retryable failure is sent again, so
+    delivery is at least once.
 
     ``sender`` is an optional mapInPandas function that sends and returns the
     rows with a ``delivery`` column; the schema is the input plus that column.
@@ -87,4 +101,4 @@ def message_sink(df, path, batch_id=None, sender=None):
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields)
         new = new.mapInPandas(sender, f"{fields}, delivery string")
     new.write.mode("append" if batch_id is None else "overwrite").parquet(target)
-    return spark.read.parquet(path)
+    return outcomes(spark.read.parquet(path))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsmill import dims
 from newsmill.functions.frames import join_on
-from newsmill.functions.text import col, ratio
+from newsmill.functions.text import col, ratio, strip
 from newsmill.operators.quantiles import exact_quantiles
 
 
@@ -250,7 +250,7 @@ def test_log_counts(df, output="output", strict=False):
     """
     lines = F.split(col(output), "\n")
     full = lambda l: l.contains("passed") & (l.contains("failed") | l.contains("error") | l.contains("skipped"))
-    simple = lambda l: F.rtrim(l).endswith("passed")
+    simple = lambda l: strip(l).endswith("passed")
     line = F.try_element_at(F.filter(lines, lambda l: full(l) | simple(l)), F.lit(1))
     rows = df.withColumn("_line", line)
 

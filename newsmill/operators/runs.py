@@ -49,11 +49,12 @@ def run_outcome(items, runs=None, run_id="run_id"):
 
 
 def partial_failures(items, run_id="run_id", status="item_status"):
-    """Per run: number of items in every status and number of failures."""
+    """Per run: number of items in every status and number of failures; an item without
+    a status has failed."""
     s = col(status)
     return items.groupBy(run_id).agg(
         *[F.count_if(s == name).alias(name) for name in dims.ITEM_STATUSES],
-        F.count_if(s != "ok").alias("n_failed"),
+        F.count_if(~s.eqNullSafe(F.lit("ok"))).alias("n_failed"),
         F.count(F.lit(1)).alias("n_items"),
     )
 
@@ -63,7 +64,7 @@ def partial_failure_errors(items, run_id="run_id", status="item_status", error="
 
     Rows, not a collected array, so a run with very many failures stays spread.
     """
-    failed = items.where(col(status) != "ok")
+    failed = items.where(~col(status).eqNullSafe(F.lit("ok")))
     return failed.groupBy(run_id, status, error).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -104,7 +104,7 @@ def stream_ingest(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     source = jobs.table_stream(spark, sf_dir, "events.parquet")
     twice = source.withColumn("read", F.explode(F.array(F.lit(1), F.lit(2))))
-    out = jobs.stream_dedup(spark, twice, ["event_id"], "ts", "1 day")
+    out = jobs.stream_dedup(spark, twice, ["event_id"], "ts")
     return out.select("event_id", "user_id", "event_type")
 
 

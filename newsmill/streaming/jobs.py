@@ -18,11 +18,13 @@ def object_stream(spark, path, max_files=1000, glob=None):
     return reader.load(path)
 
 
-def table_stream(spark, folder, glob, max_files=100):
-    """Parquet files as a stream, with the schema of what is there already."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+def table_stream(spark, folder, name, max_files=100):
+    """A Parquet table (a file, a folder of parts, or a pattern) as a stream, with the
+    schema of what is there already."""
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    # the source wants a folder or a pattern, so a single file is named by a pattern
+    path = f"{folder}/{name[:-1]}[{name[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def run_available(stream, out, label="stream", mode="append"):
@@ -42,19 +44,40 @@ def stream_ingest(spark, source, out=None, content="content"):
     return run_available(raw_object_decode(source, content).drop(content), out, "ingest")
 
 
-def stream_dedup(spark, source, ids=("id",), ts="ts", delay="10 minutes", out=None):
-    """Each id once although reads overlap; state is dropped after the delay."""
-    out = out or run_dir(spark, "dedup")
-    timed = source.withColumn(ts, col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return run_available(timed.dropDuplicatesWithinWatermark(list(ids)), out, "dedup")
+def land_batches(stream, out, label, shape):
+    """Every micro-batch of a stream, shaped, in a folder of its own, which a replay
+    overwrites; returns all of them. No watermark, so no row is ever too late."""
+    spark, path = stream.sparkSession, f"{out}/{label}"
+    empty = shape(spark.createDataFrame([], stream.schema))
+    empty.write.mode("overwrite").parquet(f"{path}/batch=-1")
+    write = lambda batch, batch_id: shape(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/_state_{label}")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(empty.schema).parquet(path).select(*empty.columns)
+
+
+def stream_dedup(spark, source, ids=("id",), ts="ts", out=None):
+    """Each id once although reads overlap: the earliest row, whatever the number and
+    the order of the files. Batches are reduced before they are written."""
+    ids, rest = list(ids), [c for c in source.columns if c not in ids]
+
+    def first(df):
+        order = F.struct(ts, *[c for c in rest if c != ts])
+        return df.groupBy(*ids).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*ids, "r.*").select(*source.columns)
+
+    return first(land_batches(source, out or run_dir(spark, "dedup"), "dedup", first))
+
+
+def stream_rate_windows(spark, source, ts="ts", period="1 hour", out=None):
+    """Events per tumbling period, equal to the batch result: each batch writes its
+    counts per period, and the counts are added up."""
 
+    def counts(df):
+        window = F.window(col(ts).cast("timestamp"), period)["start"].alias("period_start")
+        return df.groupBy(window).agg(F.count(F.lit(1)).alias("n"))
 
-def stream_rate_windows(spark, source, ts="ts", period="1 hour", delay="10 minutes", out=None):
-    """Events per tumbling period; a period is written once the watermark passed it."""
-    out = out or run_dir(spark, "rates")
-    timed = source.withColumn(ts, col(ts).cast("timestamp")).withWatermark(ts, delay)
-    counts = timed.groupBy(F.window(ts, period).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return run_available(counts.select(F.col("w.start").alias("period_start"), "n"), out, "rates")
+    landed = land_batches(source, out or run_dir(spark, "rates"), "rates", counts)
+    return landed.groupBy("period_start").agg(F.sum("n").alias("n"))
 
 
 def stream_messages(source, path, checkpoint, sender=None):

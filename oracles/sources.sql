@@ -67,31 +67,31 @@ SELECT doc_id AS email_id, source, doc_id % 6 AS kind,
   CASE WHEN doc_id % 6 IN (2, 3) THEN 0 ELSE doc_id % 7 + 1 END AS n_articles,
   list_transform(CASE WHEN len(s) > 0 THEN s ELSE ['A document without a full sentence.'] END,
     lambda x: trim(regexp_replace(x, '[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))) AS seeds
-FROM (SELECT *, list_slice(regexp_extract_all(text, '[^.!?]+[.!?]+'), 1, 5) AS s FROM documents)
+FROM (SELECT *, regexp_extract_all(text, '[^.!?]+[.!?]+') AS s FROM documents)
 
 -- part: mail_articles
 SELECT email_id, source, kind, variant, n_articles, i,
-  seeds[(i % len(seeds)) + 1] || ' - Part ' || (i + 1) AS title,
-  'https://medium.com/@' || source || '/doc' || email_id || '-' || (i % len(seeds)) || '-part-' || (i + 1) AS url,
+  seeds[(i % len(seeds)) + 1] || ' / no. ' || (i + 1) AS title,
+  'https://medium.com/@' || source || '/doc' || email_id || '-' || (i % len(seeds)) || '-no-' || (i + 1) AS url,
   seeds[(i % len(seeds)) + 1] AS content, 'Writer ' || source AS author
 FROM ({{seeds}}), unnest(range(n_articles)) AS u(i)
 
 -- part: mails
 SELECT s.email_id, s.variant, s.encoding, s.n_articles, s.kind,
-  '<html><head><title>Your daily digest</title></head><body><div class="digest-container"><h1>Daily digest</h1>' || chr(10)
-  || CASE s.kind WHEN 2 THEN '<p>No articles today!</p>'
-     WHEN 3 THEN '<p>Some content with <a href=''not-an-article-link''>invalid link</a></p>'
+  '<html><head><title>Morning issue</title></head><body><div class="issue"><h1>Issue of the day</h1>' || chr(10)
+  || CASE s.kind WHEN 2 THEN '<p>Nothing new in this issue.</p>'
+     WHEN 3 THEN '<p>More on <a href=''no-address-here''>another page</a> soon.</p>'
      WHEN 1 THEN '<div class="part"><div class="head"><h2>Today&#x27;s highlights</h2></div><table>' || chr(10) || coalesce(a.first, '')
        || '</table></div>' || chr(10) || '<div class="part"><div class="head"><h2>From your following</h2></div><table>' || chr(10)
        || coalesce(a.second, '') || '</table></div>' || chr(10)
      ELSE a.items END
-  || '<footer><p>Happy reading!</p></footer></div></body></html>' AS html,
-  'Your daily digest' || chr(10) || chr(10) || coalesce(a.listing, 'No articles today!' || chr(10)) AS text
+  || '<footer><p>Until the next issue.</p></footer></div></body></html>' AS html,
+  'Morning issue' || chr(10) || chr(10) || coalesce(a.listing, 'Nothing new in this issue.' || chr(10)) AS text
 FROM ({{seeds}}) s LEFT JOIN (
   SELECT email_id,
-    string_agg('<div class="article-item"><h3><a href="' || url || '">' ||
-      CASE kind WHEN 4 THEN repeat(et || ': a long survey ', 3) WHEN 5 THEN 'Testing Unicode: 中文, العربية, Русский, 日本語' ELSE et END
-      || '</a></h3>' || chr(10) || '<p>' || ec || '...</p></div>' || chr(10), '' ORDER BY i) AS items,
+    string_agg('<div class="entry"><h3><a href="' || url || '">' ||
+      CASE kind WHEN 4 THEN repeat(et || ': a long survey ', 3) WHEN 5 THEN 'Many scripts at once: ελληνικά, 한국어, हिन्दी, עברית' ELSE et END
+      || '</a></h3>' || chr(10) || '<blockquote>' || ec || '</blockquote></div>' || chr(10), '' ORDER BY i) AS items,
     string_agg(row_html, '' ORDER BY i) FILTER (WHERE i < ceil(n_articles / 2.0)) AS first,
     string_agg(row_html, '' ORDER BY i) FILTER (WHERE i >= ceil(n_articles / 2.0)) AS second,
     string_agg('* ' || title || chr(10) || '  ' || url || chr(10), chr(10) ORDER BY i) AS listing
@@ -99,7 +99,7 @@ FROM ({{seeds}}) s LEFT JOIN (
     SELECT *, '<tr><td><h3><a href="' || url || '?source=email-digest">' || et || '</a></h3>' || chr(10) || '<p>by ' || author
       || ' in Weekly Notes, 5 min</p></td></tr>' || chr(10) AS row_html
     FROM (SELECT *, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS et,
-      replace(replace(replace(replace(left(content, 100), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS ec
+      replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS ec
       FROM ({{mail_articles}})))
   GROUP BY email_id) a ON a.email_id = s.email_id
 
@@ -131,7 +131,7 @@ g AS (
   FROM (
     SELECT *, trim(regexp_extract(h, '(?i)by\s+([^,\n|]+)', 1), E' \t\n\r\x0b\x0c') AS name
     FROM (SELECT *, trim(h) AS t FROM (
-      SELECT *, CASE kind WHEN 4 THEN repeat(title || ': a long survey ', 3) WHEN 5 THEN 'Testing Unicode: 中文, العربية, Русский, 日本語' ELSE title END AS h
+      SELECT *, CASE kind WHEN 4 THEN repeat(title || ': a long survey ', 3) WHEN 5 THEN 'Many scripts at once: ελληνικά, 한국어, हिन्दी, עברית' ELSE title END AS h
       FROM ({{mail_articles}}) WHERE kind <> 2 AND kind <> 3))
     WHERE length(t) > 15 AND email_id NOT IN (SELECT email_id FROM s)))
 SELECT * FROM s UNION ALL SELECT * FROM g

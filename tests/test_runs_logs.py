@@ -8,12 +8,12 @@ from newsmill.operators import logs, messages, retries, runs, summaries
 
 def test_messages(spark):
     df = spark.createDataFrame(
-        [(0, "Test Article Title", "A summary.", "https://example.org/t"), (1, "  Test Title  ", "  Test Summary  ", "  https://example.org/t  "),
+        [(0, "Rivers in spring", "A summary.", "https://example.org/t"), (1, "  Lake  ", "  About a lake  ", "  https://example.org/t  "),
          (2, "", "s", "u"), (3, "   ", "s", "u"), (4, "t", "", "u"), (5, "t", None, "u"), (6, "t", "s", " "), (7, None, None, None)],
         "i int, title string, summary string, url string")
     rows = messages.article_message(df).orderBy("i").collect()
-    assert rows[0].message == "📌 *Test Article Title*\n\n📝 A summary.\n\n🔗 link：https://example.org/t"
-    assert rows[1].message == "📌 *Test Title*\n\n📝 Test Summary\n\n🔗 link：https://example.org/t"
+    assert rows[0].message == "📌 *Rivers in spring*\n\n📝 A summary.\n\n🔗 link：https://example.org/t"
+    assert rows[1].message == "📌 *Lake*\n\n📝 About a lake\n\n🔗 link：https://example.org/t"
     assert [r.reject_reason for r in rows] == [None, None, "title", "title", "summary", "summary", "url", "title"]
 
 
@@ -39,6 +39,32 @@ def test_sink_with_sender_and_batches(spark, tmp_path):
     assert sorted((r.url, r.delivery) for r in messages.delivery_records(out).collect()) == [("u1", "ok"), ("u2", "retryable")]
 
 
+def test_failed_delivery_is_sent_again(spark, tmp_path):
+    def send(outcome):
+        def run(batches):
+            for pdf in batches:
+                yield pdf.assign(delivery=[outcome] * len(pdf))
+
+        return run
+
+    path, df = str(tmp_path / "again"), spark.createDataFrame([("u1", "m1")], "url string, message string")
+    assert [r.delivery for r in messages.message_sink(df, path, 0, send("retryable")).collect()] == ["retryable"]
+    assert [r.delivery for r in messages.message_sink(df, path, 1, send("ok")).collect()] == ["ok"]
+    assert [r.delivery for r in messages.message_sink(df, path, 2, send("fatal")).collect()] == ["ok"]
+
+
+def test_missing_status_and_level(spark):
+    from newsmill.operators import articles
+
+    df = spark.createDataFrame([(None,), (200,)], "status int")
+    assert [tuple(r) for r in articles.response_class(df).collect()] == [(None, "network", True, "external_service", 500), (200, "ok", False, None, 200)]
+    assert [r.delivery for r in messages.delivery_class(df).collect()] == ["retryable", "ok"]
+    items = spark.createDataFrame([("r", None, "e"), ("r", "ok", None)], "run_id string, item_status string, error string")
+    assert runs.partial_failures(items).first().n_failed == 1 and runs.partial_failure_errors(items).count() == 1
+    feed = spark.createDataFrame([(None, None, None, True)], "level string, severity string, suppressed boolean, notify boolean")
+    assert logs.alert_feed(feed).count() == 1
+
+
 def test_responses(spark):
     docs = ['{"output":{"message":{"content":[{"text":"  hi \\n"}]}}}', '{"output":{"message":{"content":[]}}}', '{"output":{}}', "{}",
             '{"output":{"message":{"content":"x"}}}', '{"output":{"message":{"content":[{"text":5}]}}}', "broken", None]
@@ -141,9 +167,9 @@ def test_alert_text(spark):
         "*Severity:* ERROR", "*Message:* Validation failed", "*Error Type:* ValidationError", "*Error Details:* Invalid input data",
         "*Category:* Input Validation", "*Timestamp:* 2024-01-02T03:04:05Z", "*Suggested Actions:* Check input data format and required fields"]
     lines = alert(spark, severity="CRITICAL", category="network", error_type="NetworkError", error_message="x",
-                  context=[("function_name", "fetch_articles"), ("request_id", "req-123"), ("additional_info", "Extra context data"), ("url", "https://h/t"), ("level", "no")])
-    assert "*Key Details:* Function Name: fetch_articles, Request Id: req-123, Url: https://h/t" in lines
-    assert "*Additional Context:* Additional Info: Extra context data" in lines
+                  context=[("function_name", "read_pages"), ("request_id", "r-77"), ("hint", "see the log"), ("url", "https://h/t"), ("level", "no")])
+    assert "*Key Details:* Function Name: read_pages, Request Id: r-77, Url: https://h/t" in lines
+    assert "*Additional Context:* Hint: see the log" in lines
     assert alert(spark, context=[("content", "x" * 150)])[-1] == "*Additional Context:* Content: " + "x" * 97 + "..."
     assert alert(spark) == ["*Severity:* ERROR", "*Message:* m", "*Timestamp:* 2024-01-02T03:04:05Z"]
 
