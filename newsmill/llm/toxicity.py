@@ -35,7 +35,7 @@ def list_terms(batches):
         for i, offs, raw in A.text_blocks(batch.column("text")):
             bucket, row = term_sets(offs, raw)
             n = len(offs) - 1
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(bucket))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(bucket.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([ids.slice(i, n), label.slice(i, n), lists], names=["doc_id", "label", "terms"])
 
 
@@ -62,7 +62,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows, labels, features=1024, least=10, steps=250, decay=(0.0, 1e-4, 5e-3), seed=1):
+def fit(rows, labels, features=768, least=10, steps=250, decay=(0.0, 1e-4, 5e-3), seed=1):
     """Fit by Adam on the logistic loss with decay; deterministic."""
     y = np.asarray(labels, np.float64)
     n = len(y)
@@ -72,7 +72,7 @@ def fit(rows, labels, features=1024, least=10, steps=250, decay=(0.0, 1e-4, 5e-3
     if not n or y.min() == y.max():
         return none
     row = np.repeat(np.arange(n), [len(r) for r in rows])
-    bucket = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    bucket = np.concatenate([np.asarray(r, np.int32) for r in rows])
     kinds, at = np.unique(bucket, return_inverse=True)
     seen, bad = np.bincount(at), np.bincount(at, y[row])
     # how far a term's share of toxic rows is from the prior, in standard errors
@@ -101,10 +101,10 @@ def fit(rows, labels, features=1024, least=10, steps=250, decay=(0.0, 1e-4, 5e-3
             s[k] = 0.99 * s[k] + 0.01 * g * g
             theta[k] = theta[k] - 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
     b, w, v = theta
-    return Machine(kinds[telling], float(b[0]), w, v)
+    return Machine(kinds[telling].astype(np.int64), float(b[0]), w, v)
 
 
-def train(documents, labels, sample=20000, id_col="doc_id", text_col="text", label_col="toxic"):
+def train(documents, labels, sample=12000, id_col="doc_id", text_col="text", label_col="toxic"):
     """Machine from at most ``sample`` labelled rows that are not held out."""
     A.ready(documents.sparkSession)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL")
@@ -115,8 +115,12 @@ def train(documents, labels, sample=20000, id_col="doc_id", text_col="text", lab
     rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     # repeated ids count once, so the sample is what reaches the driver at most
-    rows = rows.mapInArrow(list_terms, f"doc_id {kind}, label int, terms array<long>").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    return fit(list(rows["terms"]), list(rows["label"]))
+    rows = rows.mapInArrow(list_terms, f"doc_id {kind}, label int, terms array<int>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    if not len(rows):
+        return fit([], [])
+    terms = rows.column("terms").combine_chunks()
+    values, ends = terms.values.to_numpy(), terms.offsets.to_numpy()
+    return fit([values[a:b] for a, b in zip(ends[:-1], ends[1:])], rows.column("label").to_numpy())
 
 
 def score_texts(machine):
@@ -130,7 +134,7 @@ def score_texts(machine):
     return run
 
 
-def score_toxicity(documents, labels, sample=20000, id_col="doc_id", text_col="text", label_col="toxic"):
+def score_toxicity(documents, labels, sample=12000, id_col="doc_id", text_col="text", label_col="toxic"):
     """One row per input row: doc_id, held_out, score, predicted.
 
     Null and empty texts get the score of a text without terms; rows without an id are
@@ -144,7 +148,7 @@ def score_toxicity(documents, labels, sample=20000, id_col="doc_id", text_col="t
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def drop_toxic(documents, labels, sample=20000, id_col="doc_id", text_col="text", label_col="toxic"):
+def drop_toxic(documents, labels, sample=12000, id_col="doc_id", text_col="text", label_col="toxic"):
     """The documents, all columns, without those predicted toxic."""
     machine = train(documents, labels, sample, id_col, text_col, label_col)
 
