@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from newsmill.llm import arrays as A
 from newsmill.llm.graph import components
 
-TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 128, 10, 2, 2, 256, 256
-# of 128 tokens a pair at 0.75 shares 96 +- 5; fewer than this with a chance of 1e-4
-LIKELY = 78
+TOKENS, PATH_TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 256, 64, 10, 2, 2, 256, 256
+# a sketch has 4 bits of each token; of 256 a pair at 0.75 shares 196 +- 7, fewer than
+# this with a chance of 3e-4, a pair at 0.8 with one of 1e-7
+LIKELY = 173
 FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, TOKENS, dtype=np.uint64) * A.U(2) + A.U(1)
-CHOICE = np.random.Generator(np.random.PCG64(11)).integers(0, TOKENS, (TREES, BRANCHES ** (DEPTH + 1) * 2))
+CHOICE = np.random.Generator(np.random.PCG64(11)).integers(0, PATH_TOKENS, (TREES, BRANCHES ** (DEPTH + 1) * 2))
 SETS = "key long, n_shingles long, s1 long, s2 long, mins binary, sketch binary"
 
 
@@ -56,6 +57,12 @@ def shingle_sets(offs, raw, words):
     return grams[new], r[new]
 
 
+def nibbles(mins):
+    """Four bits of each token, two tokens a byte."""
+    v = ((mins ^ (mins >> 13)) & 15).astype(np.uint8)
+    return v[:, ::2] | (v[:, 1::2] << 4)
+
+
 def describe_sets(words):
     def run(batches):
         for batch in batches:
@@ -75,7 +82,7 @@ def describe_sets(words):
                         v = grams * FACTORS[t]
                         mins[full, t] = (np.minimum.reduceat(v ^ (v >> A.U(32)), at) >> A.U(16)).astype(np.uint32)
                 flat = lambda m: pa.Array.from_buffers(pa.binary(m.shape[1] * m.itemsize), n_rows, [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
-                columns = [pa.array(keys[i : i + n_rows]), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), flat(mins), flat((mins ^ (mins >> 13)).astype(np.uint8))]
+                columns = [pa.array(keys[i : i + n_rows]), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), flat(mins[:, :PATH_TOKENS]), flat(nibbles(mins))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "n_shingles", "s1", "s2", "mins", "sketch"])
 
     return run
@@ -95,7 +102,7 @@ def descend(level):
         for batch in batches:
             if not len(batch):
                 continue
-            mins = matrix(batch.column("mins"), np.uint32, TOKENS)
+            mins = matrix(batch.column("mins"), np.uint32, PATH_TOKENS)
             keys = batch.column("key").to_numpy()
             if level:
                 starts = [(batch.column("node").to_numpy().view(np.uint64), batch.column("path").to_numpy())]
@@ -140,7 +147,8 @@ def likely_pairs(group, key, size, sketch, share, usable, limit=1 << 17):
         i = i[usable(i, i + d) & (key[i] != key[i + d]) & (low >= share * high)]
         for s in range(0, len(i), limit):
             a = i[s : s + limit]
-            same = (sketch[a] == sketch[a + d]).sum(1)
+            apart = sketch[a] ^ sketch[a + d]
+            same = ((apart & 15) == 0).sum(1) + (apart < 16).sum(1)
             hit = same >= LIKELY
             yield a[hit], a[hit] + d, same[hit]
 
@@ -151,7 +159,7 @@ def likeliest(similarity):
     def run(batches):
         for table in whole_groups(batches, "node"):
             group, key, size = (table.column(c).to_numpy() for c in ("node", "key", "n_shingles"))
-            sketch = matrix(table.column("sketch"), np.uint8, TOKENS)
+            sketch = matrix(table.column("sketch"), np.uint8, TOKENS // 2)
             best, other = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
             for i, j, same in likely_pairs(group, key, size, sketch, similarity, lambda i, j: np.ones(len(i), bool)):
                 hi, lo = np.where(key[i] > key[j], i, j), np.where(key[i] > key[j], j, i)
@@ -173,7 +181,7 @@ def between_components(similarity):
         for table in whole_groups(batches, "node"):
             group, key, size, root = (table.column(c).to_numpy() for c in ("node", "key", "n_shingles", "root"))
             guest = table.column("guest").to_numpy().astype(np.int8)
-            sketch = matrix(table.column("sketch"), np.uint8, TOKENS)
+            sketch = matrix(table.column("sketch"), np.uint8, TOKENS // 2)
             # 0: an ordinary node; 1: a member of a visited block; 3: its guest
             usable = lambda i, j: (root[i] != root[j]) & (guest[i] + guest[j] != 2)
             for i, j, _ in likely_pairs(group, key, size, sketch, similarity, usable):
