@@ -12,8 +12,10 @@ where they do not.
 
 * Documents with equal sets are one class before the join.
 * Links are needed for components only: each document first confirms its likeliest
-  link, then every remaining likely pair between different components is confirmed.
-  Pairs inside a component are not emitted, so a group of copies costs one link each.
+  link. Then the documents with a likely pair between different components bring their
+  full sets to the first node where that pair meets, and the node compares them there.
+  Pairs are never rows: a document is at most one row of each of its nodes, so a group
+  costs the same for each document whatever its size.
 * A node that is still large at the last level is cut into blocks; those outside the
   node's largest component then meet every block, so no link is lost there either.
 * Every link is confirmed on the full sets (48-bit shingle hashes).
@@ -173,20 +175,84 @@ def likeliest(similarity):
     return run
 
 
-def between_components(similarity):
-    """Likely pairs of one group whose documents are in different components; where
-    a group has guests, only pairs with a guest."""
+def met_before(table):
+    """Whether two rows also share a node that comes before the one they are in."""
+    path, met = table.column("path").to_numpy(), table.column("met").combine_chunks()
+    slots, names = np.asarray(met.flatten().field("path")), np.asarray(met.flatten().field("name"))
+    used, column = np.unique(slots, return_inverse=True)
+    seen = np.zeros((len(path), len(used)), np.int32)
+    seen[np.repeat(np.arange(len(path)), np.diff(np.asarray(met.offsets))), column] = names
+
+    def test(i, j, limit=1 << 17):
+        out = np.zeros(len(i), bool)
+        for s in range(0, len(i), limit):
+            a, b = i[s : s + limit], j[s : s + limit]
+            out[s : s + limit] = ((seen[a] == seen[b]) & (seen[a] != 0) & (used < path[a][:, None])).any(1)
+        return out
+
+    return test
+
+
+def undecided(similarity):
+    """Rows of documents that have a likely pair between different components in this
+    node and in none before it; where a group has guests, only pairs with a guest."""
 
     def run(batches):
         for table in whole_groups(batches, "node"):
             group, key, size, root = (table.column(c).to_numpy() for c in ("node", "key", "n_shingles", "root"))
             guest = table.column("guest").to_numpy().astype(np.int8)
-            sketch = matrix(table.column("sketch"), np.uint8, TOKENS // 2)
+            sketch, before = matrix(table.column("sketch"), np.uint8, TOKENS // 2), met_before(table)
             # 0: an ordinary node; 1: a member of a visited block; 3: its guest
             usable = lambda i, j: (root[i] != root[j]) & (guest[i] + guest[j] != 2)
+            open_ = np.zeros(len(key), bool)
             for i, j, _ in likely_pairs(group, key, size, sketch, similarity, usable):
-                x, y = np.maximum(key[i], key[j]), np.minimum(key[i], key[j])
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+                new = ~before(i, j)
+                open_[i[new]] = open_[j[new]] = True
+            yield from table.select(["node", "key", "root", "guest"]).filter(pa.array(open_)).to_batches()
+
+    return run
+
+
+def links_of_node(tokens, root, guest, similarity):
+    """Links of one group between different components, as (i, j): enough of them to
+    join the components that links join. Counts are exact."""
+    sets = [unpacked(t) for t in tokens]
+    size = np.array([len(x) for x in sets])
+    at = np.cumsum(size) - size
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own, root, percent = np.zeros(len(names), np.int64), root.copy(), round(100 * similarity)
+    for i in range(len(sets) - 1):
+        small, large = np.minimum(size, size[i]), np.maximum(size, size[i])
+        likely = (root != root[i]) & (guest + guest[i] != 2) & (100 * small >= percent * large)
+        likely[: i + 1] = False
+        j = np.flatnonzero(likely)
+        if not len(j):
+            continue
+        mine = ids[at[i] : at[i] + size[i]]
+        own[mine] = 1
+        if 4 * len(j) > len(sets) - i:
+            both = np.add.reduceat(own[ids], at)[j]
+        else:
+            both = np.array([own[ids[at[k] : at[k] + size[k]]].sum() for k in j])
+        own[mine] = 0
+        for k in j[100 * both >= percent * (size[i] + size[j] - both)]:
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                yield i, k
+
+
+def decide(similarity):
+    """Confirmed links between the components of each group, on the full sets."""
+
+    def run(batches):
+        for table in whole_groups(batches, "node"):
+            group, key, root = (table.column(c).to_numpy() for c in ("node", "key", "root"))
+            guest, tokens = table.column("guest").to_numpy().astype(np.int8), table.column("tokens")
+            cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                found = list(links_of_node(tokens.slice(a, b - a).to_pylist(), root[a:b], guest[a:b], similarity))
+                i, j = np.array(found, np.int64).reshape(-1, 2).T + a
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(key[i], key[j])), pa.array(np.minimum(key[i], key[j]))], names=["x", "y"])
 
     return run
 
@@ -237,18 +303,18 @@ def confirmed(pairs, sets, similarity):
 
 
 def nodes_to_compare(reps):
-    """(node, key, blocks): nodes with two documents or more; ``blocks`` above 1 says
-    that the node is still large at the last level."""
+    """(node, path, key, blocks): nodes with two documents or more; ``blocks`` above 1
+    says that the node is still large at the last level."""
     found, rows = [], reps.select("key", "mins").mapInArrow(descend(0), "node long, path long, key long")
     for level in range(1, DEPTH + 1):
         rows = A.stored(rows, "paths")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = A.stored(rows.join(sizes, "node"), "paths")
         small = rows.where(F.col("n") <= SMALL)
-        found.append(small.select("node", "key", F.lit(1).cast("long").alias("blocks")))
+        found.append(small.select("node", "path", "key", F.lit(1).cast("long").alias("blocks")))
         large = rows.where(F.col("n") > SMALL)
         if level == DEPTH or large.isEmpty():
-            found.append(large.select("node", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+            found.append(large.select("node", "path", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
             break
         rows = large.join(reps.select("key", "mins"), "key").select("node", "path", "key", "mins").mapInArrow(descend(level), "node long, path long, key long")
     out = found[0]
@@ -260,7 +326,8 @@ def nodes_to_compare(reps):
 def visits(nodes):
     """Groups for the second pass: nodes as they are, and for each large node its
     blocks, visited by those outside the node's largest component."""
-    plain = nodes.where("blocks = 1").select("node", "key", "n_shingles", "root", "sketch", F.lit(0).alias("guest"))
+    carried = ["path", "met", "key", "n_shingles", "root", "sketch"]
+    plain = nodes.where("blocks = 1").select("node", *carried, F.lit(0).alias("guest"))
     large = nodes.where("blocks > 1")
     main = large.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     strays = large.join(main, "node").where("root <> main").drop("main")
@@ -268,9 +335,9 @@ def visits(nodes):
     block = F.pmod(F.xxhash64("key", "node"), F.col("blocks"))
     group = lambda b, c: F.xxhash64("node", b, c).alias("node")
     hosts = large.join(crowd, "node").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)))
-    hosts = hosts.select(group(block, F.col("c")), "key", "n_shingles", "root", "sketch", F.lit(1).alias("guest"))
+    hosts = hosts.select(group(block, F.col("c")), *carried, F.lit(1).alias("guest"))
     guests = strays.join(crowd, "node").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    guests = guests.select(group(F.col("b"), F.pmod(F.xxhash64("node", "key"), F.col("crowds"))), "key", "n_shingles", "root", "sketch", F.lit(3).alias("guest"))
+    guests = guests.select(group(F.col("b"), F.pmod(F.xxhash64("node", "key"), F.col("crowds"))), *carried, F.lit(3).alias("guest"))
     return plain.unionByName(hosts).unionByName(guests)
 
 
@@ -290,8 +357,11 @@ def near_components(documents, words=5, similarity=0.75, id_col="doc_id", text_c
     reps = described.where("n_shingles > 0").groupBy(*same).agg(F.min_by(F.struct("key", "mins", "sketch"), "key").alias("r"), F.min("doc_id").alias("low"))
     reps = A.stored(reps.select(*same, "low", "r.*"), "set-classes")
 
-    nodes = nodes_to_compare(reps).join(reps.select("key", "n_shingles", "sketch"), "key")
-    nodes = A.stored(nodes.select("node", "key", "n_shingles", "blocks", "sketch"), "path-nodes")
+    # one row for each document: at most one node for each path
+    nodes = nodes_to_compare(reps).groupBy("key").agg(F.collect_list(F.struct("path", "node", "blocks")).alias("nodes"))
+    met = F.transform(F.filter("nodes", lambda n: n["blocks"] == 1), lambda n: F.struct(n["path"].alias("path"), n["node"].bitwiseAND(0x7FFFFFFF).cast("int").alias("name")))
+    nodes = nodes.withColumn("met", met).join(reps.select("key", "n_shingles", "sketch"), "key")
+    nodes = A.stored(nodes.select("key", "n_shingles", "sketch", "met", F.inline("nodes")), "path-nodes")
     block = F.when(F.col("blocks") > 1, F.xxhash64("node", F.pmod(F.xxhash64("key", "node"), F.col("blocks")))).otherwise(F.col("node"))
     first = nodes.select(block.alias("node"), "key", "n_shingles", "sketch").repartition("node").sortWithinPartitions("node")
     first = A.stored(first.mapInArrow(likeliest(similarity), "x long, y long, same long").groupBy("x").agg(F.max_by("y", F.struct("same", "y")).alias("y")), "likeliest")
@@ -301,8 +371,9 @@ def near_components(documents, words=5, similarity=0.75, id_col="doc_id", text_c
     roots = components(links)
 
     named = nodes.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    again = visits(named).repartition("node").sortWithinPartitions("node").mapInArrow(between_components(similarity), "x long, y long")
-    more = A.stored(confirmed(again.distinct(), linked, similarity), "confirmed")
+    again = visits(named).repartition("node").sortWithinPartitions("node").mapInArrow(undecided(similarity), "node long, key long, root long, guest int")
+    again = again.join(linked, "key").repartition("node").sortWithinPartitions("node")
+    more = A.stored(again.mapInArrow(decide(similarity), "x long, y long"), "confirmed")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 

@@ -76,6 +76,26 @@ def test_large_nodes(table, monkeypatch):
     assert sorted((tuple(r) for r in N.near_dedup(table(rows)).collect()), key=repr) == brute(rows)
 
 
+def family(seed, size=150):
+    """Edits of one text: most pairs lie a little below the similarity, some above."""
+    rnd = random.Random(seed)
+    base, rows = [f"w{rnd.randrange(10**6)}" for _ in range(200)], []
+    for i in range(size):
+        w = list(base)
+        for k in rnd.sample(range(200), rnd.choice([2, 3, 4, 5, 6])):
+            w[k] = f"e{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("small", [16, 256])
+def test_family_below_the_similarity(table, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
+    monkeypatch.setattr(N, "BLOCK", small)
+    rows = family(3) + [(1000 + i, t + " and more") for i, t in family(3)[::3]] + [(2000 + i, t) for i, t in family(4, 40)]
+    assert sorted((tuple(r) for r in N.near_dedup(table(rows)).collect()), key=repr) == brute(rows)
+
+
 def test_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert sorted((tuple(r) for r in N.near_dedup(docs).collect()), key=repr) == brute([(r.doc_id, r.text) for r in docs.collect()])
