@@ -5,8 +5,10 @@ the token with the smallest value). Every tree sends a document down the paths o
 selected minwise tokens: a node looks at ``BRANCHES`` of the functions, and a
 document goes to one child for each, named by its token there; two sets meet in a
 child with a chance equal to their similarity. A node with one document is dropped,
-one of at most ``SMALL`` is compared in full, a larger one branches on, down to
-``DEPTH``. Trees are independent; ``TREES`` of them miss a pair at 0.75 with a chance
+one of at most ``SMALL`` is compared in full, a larger one branches on, down to ``DEPTH``
+or until it keeps ``DENSE`` of its parent's documents, which then are near copies.
+Branching goes on where documents share but a passage: they part at every level, while
+a pair at 0.75 stays together on 1.5 paths of 2 at each, so depth costs no recall. Trees are independent; ``TREES`` of them miss a pair at 0.75 with a chance
 of (1 - 0.75)^(2 * 10), about 1e-12, where nodes get small at once, and of about 1e-8
 where they do not.
 
@@ -16,7 +18,7 @@ where they do not.
   full sets to the first node where that pair meets, and the node compares them there.
   Pairs are never rows: a document is at most one row of each of its nodes, so a group
   costs the same for each document whatever its size.
-* A node that is still large at the last level is cut into blocks; those outside the
+* A node that is large and branches no more is cut into blocks; those outside the
   node's largest component then meet every block, so no link is lost there either.
 * Every link is confirmed on the full sets (48-bit shingle hashes).
 """
@@ -28,12 +30,30 @@ from pyspark.sql import functions as F
 from newsmill.llm import arrays as A
 from newsmill.llm.graph import components
 
-TOKENS, PATH_TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 256, 64, 10, 2, 2, 256, 256
+TOKENS, PATH_TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 256, 64, 10, 2, 6, 256, 256
+# a node with this share of its parent's documents holds near copies; more levels would not part them
+DENSE = 0.8
 # a sketch has 4 bits of each token; of 256 a pair at 0.75 shares 196 +- 7, fewer than
 # this with a chance of 3e-4, a pair at 0.8 with one of 1e-7
 LIKELY = 173
 FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, TOKENS, dtype=np.uint64) * A.U(2) + A.U(1)
-CHOICE = np.random.Generator(np.random.PCG64(11)).integers(0, PATH_TOKENS, (TREES, BRANCHES ** (DEPTH + 1) * 2))
+
+
+def choices(seed=11):
+    """Token of each child of each tree; children of a node take different tokens and
+    no token returns on a path, as each level has tokens of its own."""
+    rnd, share = np.random.Generator(np.random.PCG64(seed)), PATH_TOKENS // DEPTH
+    out = np.zeros((TREES, sum(BRANCHES**level for level in range(DEPTH + 1))), np.int64)
+    for tree in range(TREES):
+        order, child = rnd.permutation(PATH_TOKENS), 1
+        for level in range(DEPTH):
+            for _ in range(BRANCHES**level):
+                out[tree, child : child + BRANCHES] = order[level * share + rnd.permutation(share)[:BRANCHES]]
+                child += BRANCHES
+    return out
+
+
+CHOICE = choices()
 SETS = "key long, n_shingles long, s1 long, s2 long, mins binary, sketch binary"
 
 
@@ -107,16 +127,17 @@ def descend(level):
             mins = matrix(batch.column("mins"), np.uint32, PATH_TOKENS)
             keys = batch.column("key").to_numpy()
             if level:
-                starts = [(batch.column("node").to_numpy().view(np.uint64), batch.column("path").to_numpy())]
+                starts = [(batch.column("node").to_numpy().view(np.uint64), batch.column("path").to_numpy(), batch.column("n"))]
             else:
-                starts = [(np.full(len(keys), t + 1, np.uint64), np.full(len(keys), t * CHOICE.shape[1], np.int64)) for t in range(TREES)]
-            for node, path in starts:
+                none = pa.nulls(len(keys), pa.int64())
+                starts = [(np.full(len(keys), t + 1, np.uint64), np.full(len(keys), t * CHOICE.shape[1], np.int64), none) for t in range(TREES)]
+            for node, path, parent in starts:
                 tree, place = path // CHOICE.shape[1], path % CHOICE.shape[1]
                 for b in range(BRANCHES):
                     child = place * BRANCHES + b + 1
                     token = mins[np.arange(len(keys)), CHOICE[tree, child]]
                     name = A.mix(A.mix(node * A.STEP + child.astype(np.uint64)) + token.astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(tree * CHOICE.shape[1] + child), pa.array(keys)], names=["node", "path", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(tree * CHOICE.shape[1] + child), pa.array(keys), parent], names=["node", "path", "key", "parent"])
 
     return run
 
@@ -304,19 +325,21 @@ def confirmed(pairs, sets, similarity):
 
 def nodes_to_compare(reps):
     """(node, path, key, blocks): nodes with two documents or more; ``blocks`` above 1
-    says that the node is still large at the last level."""
-    found, rows = [], reps.select("key", "mins").mapInArrow(descend(0), "node long, path long, key long")
+    says that the node is large and branches no more."""
+    schema = "node long, path long, key long, parent long"
+    found, rows = [], reps.select("key", "mins").mapInArrow(descend(0), schema)
     for level in range(1, DEPTH + 1):
         rows = A.stored(rows, "paths")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = A.stored(rows.join(sizes, "node"), "paths")
-        small = rows.where(F.col("n") <= SMALL)
-        found.append(small.select("node", "path", "key", F.lit(1).cast("long").alias("blocks")))
-        large = rows.where(F.col("n") > SMALL)
-        if level == DEPTH or large.isEmpty():
-            found.append(large.select("node", "path", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+        large = F.col("n") > SMALL
+        stop = F.lit(True) if level == DEPTH else F.coalesce(F.col("n") >= DENSE * F.col("parent"), F.lit(False))
+        blocks = F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("long").alias("blocks")
+        found.append(rows.where(~large | stop).select("node", "path", "key", blocks))
+        rows = rows.where(large & ~stop)
+        if level == DEPTH or rows.isEmpty():
             break
-        rows = large.join(reps.select("key", "mins"), "key").select("node", "path", "key", "mins").mapInArrow(descend(level), "node long, path long, key long")
+        rows = rows.join(reps.select("key", "mins"), "key").select("node", "path", "key", "mins", "n").mapInArrow(descend(level), schema)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

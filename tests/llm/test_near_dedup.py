@@ -68,10 +68,11 @@ def test_against_brute_force(table, seed):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
-def test_large_nodes(table, monkeypatch):
+@pytest.mark.parametrize("depth", [2, 6])
+def test_large_nodes(table, monkeypatch, depth):
     monkeypatch.setattr(N, "SMALL", 8)
     monkeypatch.setattr(N, "BLOCK", 8)
-    monkeypatch.setattr(N, "DEPTH", 2)
+    monkeypatch.setattr(N, "DEPTH", depth)
     rows = corpus(5)
     assert sorted((tuple(r) for r in N.near_dedup(table(rows)).collect()), key=repr) == brute(rows)
 
