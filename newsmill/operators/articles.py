@@ -145,18 +145,6 @@ def strip_boilerplate(c):
     return out
 
 
-def page_title_native(html):
-    """Heading or title by pattern alone, for pages without nested markup."""
-    candidates = [
-        let(
-            F.trim(F.regexp_extract(col(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)),
-            lambda t: F.when(F.length(t) > 5, clean_text(t)),
-        )
-        for tag in ("h1", "title")
-    ]
-    return F.coalesce(*candidates)
-
-
 # --- resolving ---------------------------------------------------------------
 
 def response_class(df, status="status"):
@@ -191,9 +179,12 @@ def article_join(links, articles, order=("fetched_at",), carry=("title", "conten
 
     URL, author and section come from the link, the ``carry`` columns from the
     page. Join the extracted article texts, never raw HTML. A link target that
-    takes a large share of all links is split by the adaptive skew join.
+    takes a large share of all links is split by the adaptive skew join: the key
+    of the snapshots is written anew after their aggregate, so that a shuffle
+    stands directly under both sides, without which no partition is split.
     """
     newest = latest_snapshot(articles.select(canonical_url("url").alias("_page"), *carry, *order), "_page", order)
+    newest = newest.withColumn("_page", F.concat("_page", F.lit("")))
     # the canonical form decodes values, so it must be taken once only
     keyed = links.withColumn("url", canonical_url("url")) if canonical_links else links
     kept = [c for c in keyed.columns if c not in carry]

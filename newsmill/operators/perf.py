@@ -203,40 +203,37 @@ def size_profile(df, scenario="scenario", text="text", literal="<a ", seconds=No
     return out if seconds is None else out.withColumn("items_per_second", ratio("n_items", "seconds"))
 
 
-def perf_flags(worst_scaling, best_throughput, single_mean, memory_mb):
-    """Checks (check, value, limit, ok) from four (frame, column) pairs; every
-    frame is reduced to its largest value before they are put together."""
-    # no throughput below the floor, nothing else above its limit
-    checks = [
-        ("worst_scaling", worst_scaling, dims.SCALING_LIMIT, False),
-        ("best_throughput", best_throughput, dims.THROUGHPUT_FLOOR, True),
-        ("single_item_mean", single_mean, dims.SINGLE_ITEM_LIMIT, False),
-        ("memory_increase", memory_mb, dims.MEMORY_LIMIT_MB, False),
-    ]
+FLAG_LIMITS = {
+    "worst_scaling": dims.SCALING_LIMIT, "best_throughput": dims.THROUGHPUT_FLOOR,
+    "single_item_mean": dims.SINGLE_ITEM_LIMIT, "memory_increase": dims.MEMORY_LIMIT_MB,
+}
+FLAG_FLOORS = {"best_throughput"}  # the others must not exceed their limit
+
+
+def perf_flags(*frames):
+    """Checks (check, value, limit, ok) from (frame, {check: column}) pairs. One
+    aggregate per frame takes the largest value of each of its checks."""
+    def flag(check):
+        v, limit = F.col(check), F.lit(FLAG_LIMITS[check])
+        ok = v >= limit if check in FLAG_FLOORS else v <= limit
+        return F.struct(F.lit(check).alias("check"), v.alias("value"), limit.alias("limit"), ok.alias("ok"))
+
     rows = []
-    for name, (frame, value), limit, floor in checks:
-        v = F.max(value).cast("double")
-        rows.append(
-            frame.agg(v.alias("value")).select(
-                F.lit(name).alias("check"), "value", F.lit(limit).alias("limit"),
-                ((F.col("value") >= limit) if floor else (F.col("value") <= limit)).alias("ok"),
-            )
-        )
+    for frame, checks in frames:
+        largest = frame.agg(*[F.max(col(c)).cast("double").alias(name) for name, c in checks.items()])
+        rows.append(largest.select(F.inline(F.array(*map(flag, checks)))))
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 def suite_report(df, suite="suite", category="category", ok="success", seconds="seconds", tests="tests_run", passed="tests_passed"):
     """Per category and for all (null category): suites, tests, pass rates, mean
     time, slowest suite; zero where nothing ran."""
-    def report(keys):
-        return df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_suites"), F.count_if(ok).alias("passed_suites"),
-            F.sum(tests).alias("tests_run"), F.sum(passed).alias("tests_passed"),
-            F.avg(seconds).alias("mean_seconds"), F.sum(seconds).alias("total_seconds"),
-            F.min_by(suite, F.struct((-col(seconds)).alias("s"), col(suite).alias("n"))).alias("slowest_suite"),
-        )
-
-    out = report([category]).unionByName(report([]).withColumn(category, F.lit(None).cast("string")))
+    out = df.rollup(category).agg(
+        F.count(F.lit(1)).alias("n_suites"), F.count_if(ok).alias("passed_suites"),
+        F.sum(tests).alias("tests_run"), F.sum(passed).alias("tests_passed"),
+        F.avg(seconds).alias("mean_seconds"), F.sum(seconds).alias("total_seconds"),
+        F.min_by(suite, F.struct((-col(seconds)).alias("s"), col(suite).alias("n"))).alias("slowest_suite"),
+    )
     return out.withColumn("suite_pass_rate", ratio("passed_suites", "n_suites")).withColumn(
         "test_pass_rate", ratio("tests_passed", "tests_run")
     )

@@ -61,7 +61,7 @@ def payloads(conversations):
     doc = (
         F.when(every(7, "conv_id"), '{"data":1}').when(every(11, "conv_id"), '{"payload":{}}')
         .when(every(13, "conv_id"), '{"payload":"  "}').when(every(17, "conv_id"), "{broken")
-        .when(every(19, "conv_id"), F.concat(F.lit('{"payload":{"n":'), F.col("turn"), F.lit("}}")))
+        .when(every(19, "conv_id"), F.concat(F.lit('{"payload":{"zeta":'), F.col("turn"), F.lit(',"alpha":[{"y":1,"x":2}]}}')))
         .when(kind == 0, body).when(kind == 1, wrapped("content")).when(kind == 2, wrapped("html")).when(kind == 3, wrapped("message"))
         .otherwise(F.to_json(F.struct(F.col("text").alias("payload"))))
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
-from newsmill.functions.text import clean_text, title_words
+from newsmill.functions.text import clean_text, ratio, title_words
 from newsmill.functions.urls import canonical_url, host_of
 from newsmill.operators import articles, lifecycle, links, logs, messages, perf, retries, runs, summaries
 from newsmill.plans import bindings as b
@@ -79,7 +79,7 @@ def raw_object_decode(documents):
 
 @query("events")
 def object_errors(events):
-    coded = events.select("event_id", b.cycle(["NoSuchKey", "NoSuchBucket", "AccessDenied", "SlowDown"], F.col("event_id")).alias("error_code"))
+    coded = events.select("event_id", b.cycle(["NoSuchKey", "NoSuchBucket", "AccessDenied", "SlowDown"], F.floor("value")).alias("error_code"))
     return ev.object_errors(coded)
 
 
@@ -212,8 +212,8 @@ def section_links(documents):
 
 @query("documents")
 def link_title(documents):
-    own = F.left("text", (F.col("doc_id") % 24).cast("int"))
-    up = F.concat(own, F.lit("\n by someone else entirely\n"), F.left(F.substr("text", F.lit(30)), F.lit(40)))
+    own = F.when(b.every(2, "doc_id"), "Read more").otherwise(F.col("text"))
+    up = F.concat(own, F.lit("\n by someone else entirely\n"), F.substr("text", F.lit(30)))
     heads = [F.when(b.every(3, "doc_id"), "A heading above"), F.when(b.every(2, "doc_id"), "Another heading")]
     rows = documents.select("doc_id", own.alias("own"), F.when(b.every(5, "doc_id"), up).otherwise("short").alias("up"),
                             heads[0].alias("h1"), heads[1].alias("h2"))
@@ -256,12 +256,16 @@ def article_defaults(documents):
 
 # --- resolving ------------------------------------------------------------------------
 
-STATUSES = [200, 200, 429, 401, 403, 500, 503, 404, 301]
+STATUSES = [200, 200, 429, 401, 403, 500, 503, 404, 301, None]  # null: no answer
+
+
+def answered(pages):
+    return pages.select("page_id", b.cycle(STATUSES, F.length("html") % 17).alias("status"))
 
 
 @query("pages")
 def response_class(pages):
-    return articles.response_class(pages.select("page_id", b.cycle(STATUSES, F.col("page_id") % 17).alias("status")))
+    return articles.response_class(answered(pages))
 
 
 @query("pages")
@@ -318,7 +322,7 @@ def response_text(conversations):
 
 @query("documents")
 def fallback_summary(documents):
-    rows = titled(documents).select("doc_id", "title", F.when(b.every(3, "doc_id"), "  \n").when(b.every(5, "doc_id"), F.lit(None)).otherwise(F.left("content", F.lit(80))).alias("summary"),
+    rows = titled(documents).select("doc_id", "title", F.when(b.every(3, "doc_id"), "  \n").when(b.every(5, "doc_id"), F.lit(None)).otherwise(F.col("content")).alias("summary"),
                                     b.every(7, "doc_id").alias("failed"))
     return summaries.fallback_summary(rows).select("doc_id", "summary", "summary_source")
 
@@ -326,13 +330,13 @@ def fallback_summary(documents):
 @query("events")
 def service_error_class(events):
     codes = [*dims.SERVICE_ERRORS, "SomethingElse"]
-    return summaries.service_error_class(events.select("event_id", b.cycle(codes, F.col("event_id")).alias("error_code")))
+    return summaries.service_error_class(events.select("event_id", b.cycle(codes, F.floor("value")).alias("error_code")))
 
 
 @query("documents")
 def slim_projection(documents):
     rows = documents.select(F.concat(F.lit("u"), "doc_id").alias("url"), F.concat("source", F.lit(" "), "doc_id").alias("title"),
-                            F.col("lang").alias("author"), F.left("text", F.lit(40)).alias("summary"), F.col("text").alias("content"))
+                            F.col("lang").alias("author"), F.col("text").alias("summary"), F.upper("text").alias("content"))
     return summaries.slim_projection(rows)
 
 
@@ -341,7 +345,7 @@ def slim_projection(documents):
 def message_inputs(documents):
     return documents.select(
         "doc_id", F.when(b.every(9, "doc_id"), "  ").otherwise(F.concat(F.lit("  "), "source", F.lit(" *"), "doc_id", F.lit("*\n"))).alias("title"),
-        F.when(b.every(6, "doc_id"), F.lit(None)).otherwise(F.concat(F.lit("\t"), F.left("text", F.lit(200)))).alias("summary"),
+        F.when(b.every(6, "doc_id"), F.lit(None)).otherwise(F.concat(F.lit("\t"), "text")).alias("summary"),
         F.when(b.every(5, "doc_id"), "").otherwise(F.concat(F.lit("https://example.org/"), F.col("doc_id") % 50)).alias("url"),
     )
 
@@ -359,8 +363,7 @@ def message_payload(documents):
 
 @query("pages")
 def delivery_class(pages):
-    rows = pages.select("page_id", b.cycle(STATUSES, F.col("page_id") % 17).alias("status"))
-    return messages.delivery_records(messages.delivery_class(rows))
+    return messages.delivery_records(messages.delivery_class(answered(pages)))
 
 
 @query("documents")
@@ -390,9 +393,9 @@ def run_outcome(documents):
 
 
 def failing_items(documents):
-    status = b.cycle(["ok", "ok", "failed", "failed_summary", "summary_success_slack_failed"], F.col("doc_id"))
+    status = b.cycle(["ok", "ok", "failed", "failed_summary", "summary_success_slack_failed", None], F.col("doc_id"))
     return documents.select(F.col("source").alias("run_id"), status.alias("item_status"),
-                            F.when(status != "ok", F.concat(F.lit("error "), F.col("doc_id") % 4)).alias("error"))
+                            F.when(~status.eqNullSafe("ok"), F.concat(F.lit("error "), F.col("doc_id") % 4)).alias("error"))
 
 
 @query("documents")
@@ -426,7 +429,7 @@ def error_response(events):
 
 @query("events")
 def retry_schedule(events):
-    named = events.select("event_id", b.cycle([p[0] for p in dims.RETRY_POLICIES], F.col("event_id")).alias("policy"))
+    named = events.select("event_id", b.cycle([p[0] for p in dims.RETRY_POLICIES], F.floor("value")).alias("policy"))
     out = retries.retry_schedule(retries.with_policy(named))
     waits = F.array_join(F.transform("delays", lambda d: d.cast("int").cast("string")), ",")
     return out.select("event_id", "policy", waits.alias("delays"), "total_wait")
@@ -555,6 +558,12 @@ def execution_monitor(events):
     return rounded(out, *[c for c in out.columns if c.endswith("_seconds") or c == "success_rate"])
 
 
+@query("events")
+def execution_monitor_overall(events):
+    out = perf.execution_monitor(b.executions(events), "2024-01-10 00:00:00", [])
+    return rounded(out, *[c for c in out.columns if c.endswith("_seconds") or c == "success_rate"])
+
+
 @query("events")
 def max_concurrent(events):
     return perf.max_concurrent(b.timed(events), ["event_type"])
@@ -570,6 +579,11 @@ def concurrency_stats(events):
     return rounded(perf.concurrency_stats(b.executions(events), ["test"]), "efficiency", "mean_seconds", "duration_stddev")
 
 
+@query("events")
+def concurrency_stats_overall(events):
+    return rounded(perf.concurrency_stats(b.executions(events), []), "efficiency", "mean_seconds", "duration_stddev")
+
+
 @query("events")
 def stability_band(events):
     return rounded(perf.stability_band(b.timed(events), "user_id", by=["level"]), "mean_rate", "min_rate")
@@ -614,11 +628,12 @@ def size_profile(pages):
 
 @query("events", "documents")
 def perf_flags(events, documents):
-    timed = b.timed(events)
-    scaling = perf.scaling_factors(timed.groupBy("level").agg(F.avg("value").alias("mean")))
-    memory = documents.select((F.col("n_chars") / 1024.0).cast("double").alias("mb"))
-    single = timed.where("level = 1").agg(F.avg("value").alias("mean"))
-    return rounded(perf.perf_flags((scaling, "factor"), (level_throughput(events), "throughput"), (single, "mean"), (memory, "mb")), "value")
+    wall = perf.seconds_between(F.min("start_ts"), F.max("stop_ts"))
+    summary = b.timed(events).groupBy("level").agg(F.avg("value").alias("mean"), ratio(F.count(F.lit(1)), wall).alias("throughput"))
+    single = F.when(F.col("level") == 1, F.col("mean"))
+    levels = {"worst_scaling": "factor", "best_throughput": "throughput", "single_item_mean": single}
+    memory = {"memory_increase": F.col("n_chars") / 1024.0}
+    return rounded(perf.perf_flags((perf.scaling_factors(summary), levels), (documents, memory)), "value")
 
 
 @query("orders")
@@ -634,21 +649,21 @@ def suite_report(orders):
 def test_log_counts(lineitem):
     n = lambda c: F.col(c).cast("int").cast("string")
     full = F.concat(n("l_quantity"), F.lit(" passed, "), n("l_linenumber"), F.lit(" failed, "), F.col("l_suppkey") % 7, F.lit(" skipped in 1.5s"))
-    line = F.when(b.every(3, "l_partkey"), full).when(b.every(3, "l_partkey", 1), F.concat(n("l_quantity"), F.lit(" passed"))).otherwise("no summary")
-    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("collected\n"), line, F.lit("\ndone")).alias("output"))
-    loose = perf.test_log_counts(rows)
-    token = perf.test_log_counts(rows.select("l_orderkey", "output"), strict=True)
+    line = F.when(b.every(3, "l_partkey"), full).when(b.every(3, "l_partkey", 1), F.concat(n("l_quantity"), F.lit(" passed"), b.cycle(["", "\r", "\t "], F.col("l_suppkey")))).otherwise("no summary")
+    rows = lineitem.select(F.concat(F.lit("collected\n"), line, F.lit("\ndone")).alias("output"))
     kinds = ["tests_passed", "tests_failed", "tests_skipped", "tests_run"]
-    sums = lambda df, mode: df.groupBy(F.lit(mode).alias("mode")).agg(*[F.sum(k).alias(k) for k in kinds])
-    return sums(loose, "tolerant").unionByName(sums(token, "strict"))
+    named = lambda df, mode: df.withColumnsRenamed({k: f"{mode}_{k}" for k in [*kinds, "tests_error"]})
+    both = named(perf.test_log_counts(named(perf.test_log_counts(rows), "tolerant"), strict=True), "strict")
+    modes = ["tolerant", "strict"]
+    sums = both.agg(*[F.sum(f"{m}_{k}").alias(f"{m}_{k}") for m in modes for k in kinds])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), *[F.col(f"{m}_{k}").alias(k) for k in kinds]) for m in modes])))
 
 
 @query("events")
 def report_rows(events):
     timed = b.timed(events).withColumn("test", F.col("user_id"))
-    per = timed.groupBy("test", "level").agg(F.avg(F.col("success").cast("double")).alias("success_rate"), F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_seconds"))
-    out = perf.report_rows(per, figures=("success_rate", "n", "mean_seconds"))
-    return rounded(out, "success_rate", "mean_seconds")
+    per = timed.groupBy("test", "level").agg(F.avg(F.col("success").cast("double")).alias("success_rate"), ratio(F.count(F.lit(1)), perf.seconds_between(F.min("start_ts"), F.max("stop_ts"))).alias("throughput"), F.avg("value").alias("mean_seconds"))
+    return rounded(perf.report_rows(per), "success_rate", "throughput", "mean_seconds")
 
 
 @query("events")
@@ -656,6 +671,11 @@ def latency_percentiles(events):
     return rounded(perf.latency_percentiles(events, ["event_type"], "value"), "p50", "p90", "p95", "p99")
 
 
+@query("events")
+def latency_percentiles_overall(events):
+    return rounded(perf.latency_percentiles(events, [], "value"), "p50", "p90", "p95", "p99")
+
+
 @query("lineitem")
 def price_percentiles(lineitem):
     return rounded(perf.latency_percentiles(lineitem, ["l_returnflag"], "l_extendedprice"), "p50", "p90", "p95", "p99")

@@ -6,15 +6,16 @@ from newsmill import dims
 from newsmill.functions.text import col, is_blank
 
 
-def _truthy_text(v):
-    """Text of a JSON value that counts as present: no '', 0, false, null, [], {}."""
+def _truthy_text(v, source):
+    """Text of a JSON value that counts as present: no '', 0, false, null, [], {}.
+    Arrays and objects keep the order they have in ``source``, the text of the value."""
     kind = F.schema_of_variant(v)
     text = F.try_variant_get(v, "$", "string")
     return (
         F.when(kind == "STRING", F.nullif(text, F.lit("")))
         .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), "True"))
-        .when(kind.startswith("ARRAY"), F.nullif(F.to_json(v), F.lit("[]")))
-        .when(kind.startswith("OBJECT"), F.nullif(F.to_json(v), F.lit("{}")))
+        .when(kind.startswith("ARRAY"), F.nullif(source, F.lit("[]")))
+        .when(kind.startswith("OBJECT"), F.nullif(source, F.lit("{}")))
         .when(F.try_variant_get(v, "$", "double") != 0, text)
     )
 
@@ -23,19 +24,21 @@ def payload_normalize(df, event_json="event_json"):
     """Adds ``content`` and ``reject_reason`` (invalid, missing, empty).
 
     A string stays as it is; of an object the first usable member of
-    body, content, html, message; any other object becomes its (compact) JSON
-    text; other scalars become their text.
+    body, content, html, message; any other object becomes its compact JSON
+    text with its members in the given order; other scalars become their text.
     """
     doc, p = F.col("_doc"), F.col("_p")
     kind = F.schema_of_variant(p)
-    members = F.coalesce(*[_truthy_text(F.try_variant_get(p, f"$.{k}", "variant")) for k in dims.PAYLOAD_KEYS])
+    source = lambda path: F.get_json_object(col(event_json), path)
+    member = lambda k: _truthy_text(F.try_variant_get(p, f"$.{k}", "variant"), source(f"$.payload.{k}"))
+    members = F.coalesce(*map(member, dims.PAYLOAD_KEYS))
     content = (
         F.when(kind == "STRING", F.try_variant_get(p, "$", "string"))
         .when(kind == "OBJECT<>", F.lit(None))
-        .when(kind.startswith("OBJECT"), F.coalesce(members, F.to_json(p)))
+        .when(kind.startswith("OBJECT"), F.coalesce(members, source("$.payload")))
         .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(p, "$", "string")))
         .when(kind == "VOID", "None")
-        .when(kind.startswith("ARRAY"), F.to_json(p))
+        .when(kind.startswith("ARRAY"), source("$.payload"))
         .otherwise(F.try_variant_get(p, "$", "string"))
     )
     reason = (

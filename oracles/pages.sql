@@ -127,9 +127,9 @@ regexp_replace(x, '^[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x0b\x{1c}-\x{1f}\x{85}
 
 -- name: link_title
 WITH d AS (
-  SELECT doc_id, own, CASE WHEN doc_id % 5 = 0 THEN own || chr(10) || ' by someone else entirely' || chr(10) || left(substr(text, 30), 40) ELSE 'short' END AS up,
+  SELECT doc_id, own, CASE WHEN doc_id % 5 = 0 THEN own || chr(10) || ' by someone else entirely' || chr(10) || substr(text, 30) ELSE 'short' END AS up,
     CASE WHEN doc_id % 3 = 0 THEN 'A heading above' END AS h1, CASE WHEN doc_id % 2 = 0 THEN 'Another heading' END AS h2
-  FROM (SELECT doc_id, text, left(text, (doc_id % 24)::INTEGER) AS own FROM documents)),
+  FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'Read more' ELSE text END AS own FROM documents)),
 g AS (SELECT *, CASE WHEN length(own) > 15 AND NOT regexp_matches(own, '(?i)^(read\s+more|continue\s+reading|view\s+story|medium\.com)$') THEN own ELSE '' END AS general_title FROM d)
 SELECT doc_id, coalesce(nullif(general_title, ''),
   list_filter(list_transform(string_split(up, chr(10)), lambda l: regexp_replace(l, '^[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+\z', '', 'g')),
@@ -152,13 +152,13 @@ SELECT doc_id, 'u' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE sourc
 FROM documents
 
 -- part: statuses
-SELECT page_id, [200, 200, 429, 401, 403, 500, 503, 404, 301][(page_id % 17) % 9 + 1]::INTEGER AS status FROM pages
+SELECT page_id, [200, 200, 429, 401, 403, 500, 503, 404, 301, NULL][(length(html) % 17) % 10 + 1]::INTEGER AS status FROM pages
 
 -- name: response_class
 SELECT page_id, status,
-  CASE WHEN status = 429 THEN 'rate_limit' WHEN status IN (401, 403) THEN 'authentication' WHEN status >= 500 THEN 'server' WHEN status <> 200 THEN 'http_error' ELSE 'ok' END AS kind,
-  status <> 200 AND status NOT IN (401, 403) AS retryable,
-  CASE WHEN status = 429 THEN 'rate_limit' WHEN status IN (401, 403) THEN 'authentication' WHEN status <> 200 THEN 'external_service' END AS category,
+  CASE WHEN status IS NULL THEN 'network' WHEN status = 429 THEN 'rate_limit' WHEN status IN (401, 403) THEN 'authentication' WHEN status >= 500 THEN 'server' WHEN status <> 200 THEN 'http_error' ELSE 'ok' END AS kind,
+  status IS NULL OR (status <> 200 AND status NOT IN (401, 403)) AS retryable,
+  CASE WHEN status = 429 THEN 'rate_limit' WHEN status IN (401, 403) THEN 'authentication' WHEN status IS NULL OR status <> 200 THEN 'external_service' END AS category,
   CASE WHEN status = 200 THEN 200 WHEN status IN (401, 403) THEN 401 ELSE 500 END::INTEGER AS stage_status
 FROM ({{statuses}})
 

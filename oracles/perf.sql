@@ -41,6 +41,12 @@ SELECT test, count(*) AS total, count(*) FILTER (WHERE status = 'SUCCEEDED') AS
   round(coalesce(stddev_samp(s), 0), 6) AS stdev_seconds, round(coalesce(median(s), 0), 6) AS median_seconds, round(count(*) FILTER (WHERE status = 'SUCCEEDED') / count(*), 6) AS success_rate
 FROM ({{final_executions}}) WHERE ts >= TIMESTAMP '2024-01-09 23:59:50' GROUP BY test
 
+-- name: execution_monitor_overall
+SELECT count(*) AS total, count(*) FILTER (WHERE status = 'SUCCEEDED') AS succeeded, count(*) FILTER (WHERE status IN ('FAILED','TIMED_OUT','ABORTED')) AS failed,
+  count(*) FILTER (WHERE status = 'RUNNING') AS running, round(coalesce(avg(s), 0), 6) AS mean_seconds, round(coalesce(min(s), 0), 6) AS min_seconds, round(coalesce(max(s), 0), 6) AS max_seconds,
+  round(coalesce(stddev_samp(s), 0), 6) AS stdev_seconds, round(coalesce(median(s), 0), 6) AS median_seconds, round(count(*) FILTER (WHERE status = 'SUCCEEDED') / count(*), 6) AS success_rate
+FROM ({{final_executions}}) WHERE ts >= TIMESTAMP '2024-01-09 23:59:50'
+
 -- name: max_concurrent
 SELECT event_type, max(r)::BIGINT AS max_concurrent FROM (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS r
   FROM (SELECT event_type, a AS t, 1 AS d FROM ({{timed}}) UNION ALL SELECT event_type, z, -1 FROM ({{timed}}))) GROUP BY event_type
@@ -55,6 +61,13 @@ p AS (SELECT test, max(r)::BIGINT AS max_concurrent FROM (SELECT test, sum(d) OV
 SELECT test, round(count(*) FILTER (WHERE status = 'SUCCEEDED') / count(*), 6) AS efficiency, round(coalesce(avg(s), 0), 6) AS mean_seconds,
   round(coalesce(stddev_samp(s), 0), 6) AS duration_stddev, any_value(max_concurrent) AS max_concurrent FROM f JOIN p USING (test) GROUP BY test
 
+-- name: concurrency_stats_overall
+WITH f AS ({{final_executions}}),
+p AS (SELECT max(r)::BIGINT AS max_concurrent FROM (SELECT sum(d) OVER (ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS r
+  FROM (SELECT a AS t, 1 AS d FROM f UNION ALL SELECT z, -1 FROM f WHERE z IS NOT NULL)))
+SELECT round(count(*) FILTER (WHERE status = 'SUCCEEDED') / count(*), 6) AS efficiency, round(coalesce(avg(s), 0), 6) AS mean_seconds,
+  round(coalesce(stddev_samp(s), 0), 6) AS duration_stddev, (SELECT max_concurrent FROM p) AS max_concurrent FROM f
+
 -- name: stability_band
 WITH r AS (SELECT level, user_id, count(*) FILTER (WHERE success) / count(*) AS rate FROM ({{timed}}) GROUP BY level, user_id)
 SELECT level, count(*) AS n_tests, round(avg(rate), 6) AS mean_rate, round(min(rate), 6) AS min_rate,
@@ -110,12 +123,15 @@ SELECT 'tolerant' AS mode, sum(q) FILTER (WHERE k < 2)::BIGINT AS tests_passed,
 UNION ALL SELECT 'strict', sum(q) FILTER (WHERE k = 1)::BIGINT, sum(0) FILTER (WHERE k = 1)::BIGINT, sum(s) FILTER (WHERE k = 0)::BIGINT, sum(q) FILTER (WHERE k = 1)::BIGINT FROM l
 
 -- name: report_rows
-WITH g AS (SELECT user_id AS test, level, count(*) FILTER (WHERE success) / count(*) AS r, count(*) AS n, avg(value) AS m FROM ({{timed}}) GROUP BY ALL)
-SELECT test, level, round(r, 6) AS success_rate, n, round(m, 6) AS mean_seconds FROM (SELECT *, row_number() OVER (PARTITION BY test ORDER BY level DESC) AS rn FROM g) WHERE rn = 1
+WITH g AS (SELECT user_id AS test, level, count(*) FILTER (WHERE success) / count(*) AS r, coalesce(count(*) / nullif((max(z) - min(a)) / 1e6, 0), 0) AS n, avg(value) AS m FROM ({{timed}}) GROUP BY ALL)
+SELECT test, level, round(r, 6) AS success_rate, round(n, 6) AS throughput, round(m, 6) AS mean_seconds FROM (SELECT *, row_number() OVER (PARTITION BY test ORDER BY level DESC) AS rn FROM g) WHERE rn = 1
 
 -- name: latency_percentiles
 SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type
 
+-- name: latency_percentiles_overall
+SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events
+
 -- name: price_percentiles
 SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY l_returnflag
 

@@ -31,7 +31,7 @@ SELECT doc_id, length(t)::INTEGER AS n, md5(t) AS digest,
 FROM t
 
 -- name: object_errors
-WITH c AS (SELECT event_id, ['NoSuchKey','NoSuchBucket','AccessDenied','SlowDown'][event_id % 4 + 1] AS error_code FROM events)
+WITH c AS (SELECT event_id, ['NoSuchKey','NoSuchBucket','AccessDenied','SlowDown'][floor(value)::BIGINT % 4 + 1] AS error_code FROM events)
 SELECT event_id, error_code,
   CASE error_code WHEN 'NoSuchKey' THEN 'object not found' WHEN 'NoSuchBucket' THEN 'bucket not found'
     WHEN 'AccessDenied' THEN 'access denied' ELSE 'storage error' END AS reason,
@@ -56,7 +56,7 @@ WITH p AS (
   SELECT *, CASE WHEN conv_id % 7 = 0 THEN 'missing' WHEN conv_id % 11 = 0 OR conv_id % 13 = 0 THEN 'empty'
     WHEN conv_id % 17 = 0 THEN 'invalid' END AS reason FROM conversations),
 q AS (
-  SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN conv_id % 19 = 0 THEN '{"n":' || turn || '}'
+  SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN conv_id % 19 = 0 THEN '{"zeta":' || turn || ',"alpha":[{"y":1,"x":2}]}'
     WHEN turn % 5 = 0 AND text = '' THEN 'x' ELSE text END AS content FROM p)
 SELECT conv_id, turn, md5(content) AS digest, reason AS reject_reason FROM q
 

@@ -23,21 +23,21 @@ SELECT conv_id, turn, md5(CASE WHEN turn % 5 = 0 THEN regexp_replace(text, '^[\s
 FROM conversations
 
 -- name: fallback_summary
-WITH r AS (SELECT doc_id, title, doc_id % 7 = 0 AS failed, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN NULL ELSE left(content, 80) END AS s FROM ({{titled}})),
+WITH r AS (SELECT doc_id, title, doc_id % 7 = 0 AS failed, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN NULL ELSE content END AS s FROM ({{titled}})),
 k AS (SELECT *, CASE WHEN failed THEN 'failed' WHEN s IS NULL OR NOT regexp_matches(s, '[^\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]') THEN 'fallback' ELSE 'model' END AS summary_source FROM r)
 SELECT doc_id, CASE summary_source WHEN 'failed' THEN 'Summary could not be generated due to processing error'
   WHEN 'fallback' THEN 'Summary unavailable for ''' || title || '''. The article content could not be processed at this time.' ELSE s END AS summary, summary_source FROM k
 
 -- name: service_error_class
-WITH c AS (SELECT event_id, ['ThrottlingException','ServiceUnavailableException','InternalServerException','ValidationException','AccessDeniedException','SomethingElse'][event_id % 6 + 1] AS error_code FROM events)
+WITH c AS (SELECT event_id, ['ThrottlingException','ServiceUnavailableException','InternalServerException','ValidationException','AccessDeniedException','SomethingElse'][floor(value)::BIGINT % 6 + 1] AS error_code FROM events)
 SELECT event_id, error_code, CASE WHEN error_code IN ('ValidationException','AccessDeniedException') THEN 'fatal' ELSE 'retryable' END AS error_class FROM c
 
 -- name: slim_projection
-SELECT 'u' || doc_id AS url, source || ' ' || doc_id AS title, lang AS author, left(text, 40) AS summary FROM documents
+SELECT 'u' || doc_id AS url, source || ' ' || doc_id AS title, lang AS author, text AS summary FROM documents
 
 -- part: message_inputs
 SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source || ' *' || doc_id || '*' END AS title,
-  CASE WHEN doc_id % 6 = 0 THEN NULL ELSE nullif((SELECT {{strip}} FROM (SELECT left(text, 200) AS x)), '') END AS summary,
+  CASE WHEN doc_id % 6 = 0 THEN NULL ELSE nullif((SELECT {{strip}} FROM (SELECT text AS x)), '') END AS summary,
   CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'https://example.org/' || doc_id % 50 END AS url FROM documents
 
 -- part: made_messages
@@ -51,7 +51,7 @@ SELECT doc_id, message, reject_reason FROM ({{made_messages}})
 SELECT doc_id, '{"summary":"note ' || doc_id || ' ' || source || ' 🔗："}' AS payload, strlen('{"summary":"note ' || doc_id || ' ' || source || ' 🔗："}') AS payload_bytes FROM documents
 
 -- name: delivery_class
-SELECT page_id, status, CASE WHEN status = 200 THEN 'ok' WHEN status = 429 OR status >= 500 THEN 'retryable' ELSE 'fatal' END AS delivery,
+SELECT page_id, status, CASE WHEN status = 200 THEN 'ok' WHEN status IS NULL OR status = 429 OR status >= 500 THEN 'retryable' ELSE 'fatal' END AS delivery,
   CASE WHEN status = 200 THEN 'ok' ELSE 'summary_success_slack_failed' END AS item_status FROM ({{statuses}})
 
 -- name: message_sink
@@ -74,15 +74,15 @@ SELECT *, CASE outcome WHEN 'parse_error' THEN 400 WHEN 'none_fetched' THEN 206
 FROM o
 
 -- part: failing_items
-SELECT source AS run_id, ['ok','ok','failed','failed_summary','summary_success_slack_failed'][doc_id % 5 + 1] AS item_status, 'error ' || doc_id % 4 AS error FROM documents
+SELECT source AS run_id, ['ok','ok','failed','failed_summary','summary_success_slack_failed',NULL][doc_id % 6 + 1] AS item_status, 'error ' || doc_id % 4 AS error FROM documents
 
 -- name: partial_failures
 SELECT run_id, count(*) FILTER (WHERE item_status = 'ok') AS ok, count(*) FILTER (WHERE item_status = 'failed') AS failed,
   count(*) FILTER (WHERE item_status = 'failed_summary') AS failed_summary, count(*) FILTER (WHERE item_status = 'summary_success_slack_failed') AS summary_success_slack_failed,
-  count(*) FILTER (WHERE item_status <> 'ok') AS n_failed, count(*) AS n_items FROM ({{failing_items}}) GROUP BY run_id
+  count(*) FILTER (WHERE item_status IS DISTINCT FROM 'ok') AS n_failed, count(*) AS n_items FROM ({{failing_items}}) GROUP BY run_id
 
 -- name: partial_failure_errors
-SELECT run_id, item_status, error, count(*) AS n FROM ({{failing_items}}) WHERE item_status <> 'ok' GROUP BY ALL
+SELECT run_id, item_status, error, count(*) AS n FROM ({{failing_items}}) WHERE item_status IS DISTINCT FROM 'ok' GROUP BY ALL
 
 -- name: result_response
 WITH g AS (SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS c, min(doc_id) AS m FROM documents GROUP BY source)
@@ -100,7 +100,7 @@ SELECT event_id, kind, CASE kind WHEN 'validation' THEN 400 WHEN 'authentication
 -- name: retry_schedule
 WITH p(i, policy, n, base, cap) AS (VALUES (0, 'article', 3, 1, 60), (1, 'model', 3, 2, 60), (2, 'webhook', 3, 1, 60), (3, 'parse_service', 3, 2, NULL), (4, 'parse_task', 2, 1, NULL),
   (5, 'fetch_service', 3, 2, NULL), (6, 'fetch_task', 5, 10, NULL), (7, 'summarize_service', 3, 3, NULL), (8, 'summarize_task', 2, 5, NULL), (9, 'deliver_service', 3, 2, NULL), (10, 'deliver_task', 3, 1, NULL)),
-d AS (SELECT event_id, policy, list_transform(range(n), lambda k: least(base * (2 ** k), coalesce(cap, 1000000000))::INTEGER) AS ds FROM events JOIN p ON p.i = event_id % 11)
+d AS (SELECT event_id, policy, list_transform(range(n), lambda k: least(base * (2 ** k), coalesce(cap, 1000000000))::INTEGER) AS ds FROM events JOIN p ON p.i = floor(value)::BIGINT % 11)
 SELECT event_id, policy, array_to_string(ds, ',') AS delays, list_sum(ds)::DOUBLE AS total_wait FROM d
 
 -- name: retry_outcome

@@ -17,7 +17,9 @@ NARROW = {
     "section_union_fallback", "anchors", "url_canonicalize", "link_filter", "summarize", "article_message", "alert_format",
 }
 # frames over one row per level, never over facts
-SUMMARY_FRAMES = {"scaling_factors", "perf_flags", "max_concurrent_overall"}
+SUMMARY_FRAMES = {
+    "scaling_factors", "perf_flags", "max_concurrent_overall", "execution_monitor_overall", "concurrency_stats_overall", "latency_percentiles_overall",
+}
 
 
 def plan_of(spark, sf_dir, key):
