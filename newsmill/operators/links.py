@@ -131,17 +131,20 @@ def _container(nodes, texts, pattern):
     return let(let(heading, around), parent)
 
 
-def _heading(nodes, texts, block, tag):
-    node = F.try_element_at(F.filter(nodes, lambda n: inside(n, block) & (n["tag"] == tag)), F.lit(1))
+def _below(nodes, block):
+    """Elements inside a block; they follow it without a gap."""
+    return F.slice(nodes, block["node_id"] + 2, block["end_id"] - block["node_id"])
+
+
+def _heading(below, texts, tag):
+    node = F.try_element_at(F.filter(below, lambda n: n["tag"] == tag), F.lit(1))
     return let(node, lambda n: F.when(n.isNotNull(), stripped_text(texts, n)))
 
 
-def _profile(nodes, texts, block):
+def _profile(below, texts):
     """Text of the first profile link in a block."""
     found = F.filter(
-        nodes,
-        lambda n: inside(n, block) & (n["tag"] == "a") & n["attrs"]["href"].contains("@")
-        & ~is_article_link(n["attrs"]["href"]),
+        below, lambda n: (n["tag"] == "a") & n["attrs"]["href"].contains("@") & ~is_article_link(n["attrs"]["href"])
     )
     return F.try_element_at(F.filter(F.transform(found, lambda n: stripped_text(texts, n)), lambda t: t != ""), F.lit(1))
 
@@ -173,34 +176,52 @@ LINK_TYPE = (
 )
 
 
-def _links_in(nodes, texts, section, attribution):
+def _block_facts(nodes, texts, block):
+    """What every link of a block shares: its headings and its author."""
+    def facts(below):
+        heads = F.transform(F.array(*map(F.lit, ("h1", "h2", "h3"))), lambda tag: _heading(below, texts, tag))
+        author = let(
+            F.struct(_profile(below, texts).alias("profile"), raw_text(texts, block).alias("block")),
+            lambda t: digest_author(t["profile"], t["block"]),
+        )
+        return F.struct(
+            block["node_id"].alias("node_id"), block["end_id"].alias("end_id"), heads.alias("heads"), author.alias("author")
+        )
+
+    return let(_below(nodes, block), facts)
+
+
+def _all_blocks(nodes, texts, attribution):
+    """Facts of all blocks of one mail in document order. Where only the innermost
+    block of a link counts, blocks without links of their own stay null."""
+    blocks = F.filter(nodes, lambda n: n["tag"].isin(dims.SECTION_BLOCKS))
+    if attribution == "innermost":
+        return F.transform(blocks, lambda b: F.when(b["own_links"] > 0, _block_facts(nodes, texts, b)))
+    return F.transform(blocks, lambda b: _block_facts(nodes, texts, b))
+
+
+def _links_in(nodes, texts, section, blocks, attribution):
     """Accepted links of a container struct(name, rank, c)."""
     name, rank, c = section["name"], section["rank"], section["c"]
-    blocks = F.filter(nodes, lambda n: inside(n, c) & n["tag"].isin(dims.SECTION_BLOCKS))
     found = F.filter(nodes, lambda n: inside(n, c) & (n["tag"] == "a") & is_article_link(n["attrs"]["href"]))
 
-    def pick(a, blocks):
-        around = F.filter(blocks, lambda b: inside(a, b))
-        block = _last(around) if attribution == "innermost" else F.try_element_at(around, F.lit(1))
-        return let(block, lambda b: F.when(b.isNotNull(), row(a, b)))
+    def pick(a):
+        if attribution == "innermost":
+            block = F.when(a["block_no"] >= 0, F.get(blocks, a["block_no"]))
+        else:
+            block = F.try_element_at(F.filter(blocks, lambda b: inside(b, c) & inside(a, b)), F.lit(1))
+        return let(block, lambda b: F.when(inside(b, c), row(a, b)))
 
     def row(a, b):
-        heads = F.transform(F.array(*map(F.lit, ("h1", "h2", "h3"))), lambda tag: _heading(nodes, texts, b, tag))
+        # the parent's text is read only for links without a title of their own
+        up = lambda own: F.when(own_title(own) == "", _parent_text(nodes, texts, a, stripped_text)).otherwise("")
         title = let(
-            F.struct(
-                stripped_text(texts, a).alias("own"), _parent_text(nodes, texts, a, stripped_text).alias("up"),
-                heads.alias("heads"),
-            ),
-            lambda t: digest_title(t["own"], t["up"], t["heads"]),
-        )
-        author = let(
-            F.struct(_profile(nodes, texts, b).alias("profile"), raw_text(texts, b).alias("block")),
-            lambda t: digest_author(t["profile"], t["block"]),
+            stripped_text(texts, a),
+            lambda own: let(up(own), lambda parent: digest_title(own, parent, b["heads"])),
         )
-        return _link(name, rank, b["node_id"], a, title, author)
+        return _link(name, rank, b["node_id"], a, title, b["author"])
 
-    links = let(blocks, lambda bs: F.transform(found, lambda a: pick(a, bs)))
-    return _accepted(F.filter(links, lambda r: r.isNotNull()))
+    return _accepted(F.filter(F.transform(found, pick), lambda r: r.isNotNull()))
 
 
 def section_array(attribution="innermost"):
@@ -213,7 +234,8 @@ def section_array(attribution="innermost"):
         ]
     )
     present = F.filter(containers, lambda s: s["c"].isNotNull())
-    return F.flatten(F.transform(present, lambda s: _links_in(nodes, texts, s, attribution)))
+    links = lambda blocks: F.flatten(F.transform(present, lambda s: _links_in(nodes, texts, s, blocks, attribution)))
+    return let(_all_blocks(nodes, texts, attribution), links)
 
 
 def general_array():
@@ -230,16 +252,18 @@ def general_array():
 
 
 def _first_per_url(links):
-    """Keep the first link of every URL of one mail."""
-    urls = F.transform(links, lambda r: r["url"])
-    return let(urls, lambda us: F.filter(links, lambda r, i: F.array_position(us, r["url"]) == i + 1))
+    """Keep the first link of every URL of one mail, found among sorted neighbours."""
+    ordered = F.array_sort(F.transform(links, lambda r, i: F.struct(r["url"].alias("url"), i.alias("i"))))
+    firsts = let(ordered, lambda o: F.filter(o, lambda s, j: (j == 0) | (F.get(o, j - 1)["url"] != s["url"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda s: s["i"])), lambda i: F.get(links, i))
 
 
 def section_links(df, html="html", keep=("email_id",), attribution="innermost"):
     """Article links of the named sections of a mail, in document order.
 
     Each link belongs to its innermost block (``outermost`` gives every link of
-    a container the container's first author). One narrow pass per mail.
+    a container the container's first author). One narrow pass per mail, in which
+    headings and author are found once per block, so time grows with the mail's size.
     """
     tree = html_tree(df, html, keep)
     return explode_rows(tree, keep, section_array(attribution)).select(*keep, "r.*")

@@ -19,7 +19,7 @@ TEXTLESS_TAGS = {"script", "style", "template", "rt", "rp"}
 
 NODE = (
     "struct<node_id int, end_id int, parent_id int, depth int, tag string, classes array<string>, "
-    "attrs map<string,string>, text_from int, text_to int, boiler boolean>"
+    "attrs map<string,string>, text_from int, text_to int, boiler boolean, block_no int, own_links int>"
 )
 TEXT = "struct<text string, parent_id int, boiler boolean>"
 TREE_SCHEMA = f"nodes array<{NODE}>, texts array<{TEXT}>"
@@ -28,18 +28,23 @@ _NODE_ARROW = pa.list_(
     pa.struct(
         [("node_id", pa.int32()), ("end_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()),
          ("tag", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
-         ("text_from", pa.int32()), ("text_to", pa.int32()), ("boiler", pa.bool_())]
+         ("text_from", pa.int32()), ("text_to", pa.int32()), ("boiler", pa.bool_()), ("block_no", pa.int32()), ("own_links", pa.int32())]
     )
 )
 _TEXT_ARROW = pa.list_(pa.struct([("text", pa.string()), ("parent_id", pa.int32()), ("boiler", pa.bool_())]))
 
 
 class _TreeReader(HTMLParser):
-    """Pre-order numbering of elements with the interval each one covers."""
+    """Pre-order numbering of elements with the interval each one covers.
+
+    ``block_no`` is the place of the innermost block around an element among all
+    blocks (-1: none), ``own_links`` how many anchors have a block as innermost one.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes, self.texts, self.open, self.data = [], [], [], []
+        self.blocks, self.open_blocks = [], []
         self.depth_of = Counter()  # open elements by tag; keeps deep trees linear
 
     def flush(self):
@@ -64,7 +69,13 @@ class _TreeReader(HTMLParser):
             "classes": values.get("class", "").split(), "attrs": values,
             "text_from": len(self.texts), "text_to": len(self.texts),
             "boiler": bool(parent and parent["boiler"]) or tag in dims.BOILERPLATE_TAGS,
+            "block_no": self.open_blocks[-1] if self.open_blocks else -1, "own_links": 0,
         }
+        if tag == "a" and self.open_blocks:
+            self.blocks[self.open_blocks[-1]]["own_links"] += 1
+        if tag in dims.SECTION_BLOCKS:
+            self.open_blocks.append(len(self.blocks))
+            self.blocks.append(node)
         self.nodes.append(node)
         if tag not in VOID_TAGS:
             self.open.append(node)
@@ -79,6 +90,8 @@ class _TreeReader(HTMLParser):
         node = self.open.pop()
         node["end_id"], node["text_to"] = len(self.nodes) - 1, len(self.texts)
         self.depth_of[node["tag"]] -= 1
+        if node["tag"] in dims.SECTION_BLOCKS:
+            self.open_blocks.pop()
         return node["tag"]
 
     def handle_endtag(self, tag):
