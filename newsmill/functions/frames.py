@@ -18,9 +18,11 @@ def explode_rows(df, keep, array, pos=False):
 
 def join_on(left, right, keys, how="inner"):
     """Equi-join on same-named keys in which a null key meets a null key, so the
-    group without a name is not lost. Other columns must not share names."""
-    if not keys:  # both sides are one group; a constant key keeps it an equi-join
-        return join_on(left.withColumn("_all", F.lit(1)), right.withColumn("_all", F.lit(1)), ["_all"], how).drop("_all")
+    group without a name is not lost. Other columns must not share names. Without
+    keys ``right`` is the single row of an aggregate, and only then sent to all."""
+    if not keys:  # one key for all rows, from a column so that it is not folded away
+        one = lambda df: df.withColumn("_all", F.pmod(F.hash(df.columns[0]), F.lit(1)))
+        return join_on(one(left), F.broadcast(one(right)), ["_all"], how).drop("_all")
     other = lambda k: f"_other_{k}"
     renamed = right.select(*[F.col(k).alias(other(k)) for k in keys], *[c for c in right.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(other(k))) for k in keys])
