@@ -19,6 +19,7 @@ from newsmill.llm.arrays import stored
 BLOCKS = 256
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
+SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,8 +85,9 @@ def quotas(rows, weights, repeats, seed):
     return blocks.select("source", "block", "source_size", "target", "passes", "state", "left")
 
 
-def taken_rows(documents, weights=WEIGHTS, repeats=REPEATS, seed=0, id_col="doc_id", text_col="text", source_col="source"):
-    """The rows with _copies (how often the mix takes each), _source_size and _target.
+def placed_rows(documents, weights=WEIGHTS, repeats=REPEATS, shards=SHARDS, seed=0, id_col="doc_id", text_col="text", source_col="source"):
+    """The rows with _copies (how often the mix wants each), _placed (the copies and
+    shards that the splitting tree gave them), _source_size and _target.
 
     A source's last pass takes whole blocks in permuted order; in the block that would
     exceed the target, whole parts; in the part that would, rows in permuted order
@@ -113,13 +115,26 @@ def taken_rows(documents, weights=WEIGHTS, repeats=REPEATS, seed=0, id_col="doc_
     # blocks and parts are at most 256 rows per source each
     named = lambda df, **names: df.select(*[F.col(c).alias(n) for c, n in names.items()])
     b = named(blocks, source="_bs", block="_bb", source_size="_source_size", target="_target", passes="_passes", state="_state")
-    rows = all_rows.join(b, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb"))).drop("_bs", "_bb")
     p = named(parts, _source="_ps", _block="_pb", _part="_pp", part_state="_part_state")
-    rows = rows.join(p, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_block") == F.col("_pb")) & (F.col("_part") == F.col("_pp")), "left").drop("_ps", "_pb", "_pp")
     k = named(some, _source="_ks", _key="_kk").withColumn("_some", F.lit(True))
-    rows = rows.join(k, F.col("_source").eqNullSafe(F.col("_ks")) & (F.col("_key") == F.col("_kk")), "left").drop("_ks", "_kk")
-    once_more = (F.col("_state") == "whole") | F.coalesce(F.col("_part_state") == "whole", F.lit(False)) | F.coalesce(F.col("_some"), F.lit(False))
-    return rows.withColumn("_copies", F.col("_passes") + F.when(once_more, 1).otherwise(0)).drop("_passes", "_state", "_part_state", "_some")
+
+    def counted(rows, b):
+        rows = rows.join(b, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb"))).drop("_bs", "_bb")
+        rows = rows.join(p, F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_block") == F.col("_pb")) & (F.col("_part") == F.col("_pp")), "left").drop("_ps", "_pb", "_pp")
+        rows = rows.join(k, F.col("_source").eqNullSafe(F.col("_ks")) & (F.col("_key") == F.col("_kk")), "left").drop("_ks", "_kk")
+        once_more = (F.col("_state") == "whole") | F.coalesce(F.col("_part_state") == "whole", F.lit(False)) | F.coalesce(F.col("_some"), F.lit(False))
+        return rows.withColumn("_copies", F.col("_passes") + F.when(once_more, 1).otherwise(0)).drop("_passes", "_state", "_part_state", "_some")
+
+    # a block has the copies of its most taken row
+    units = counted(rows, b).groupBy("_source", "_block").agg(F.max("_copies").alias("n")).where("n > 0")
+    units = units.select("_source", "_block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_copy"))
+    dealt = dealt_units(stored(units, "mix-units"), shards, seed)
+    dealt = dealt.groupBy("_source", "_block").agg(F.sort_array(F.collect_list(F.struct("_copy", "_shard"))).alias("_dealt"))
+    dealt = named(dealt, _source="_ds", _block="_db", _dealt="_dealt")
+    b = b.join(dealt, F.col("_bs").eqNullSafe(F.col("_ds")) & (F.col("_bb") == F.col("_db")), "left").drop("_ds", "_db")
+    out = counted(all_rows, b)
+    placed = F.filter("_dealt", lambda d: d["_copy"] <= F.col("_copies"))
+    return out.withColumn("_placed", F.coalesce(placed, F.array().cast("array<struct<_copy:bigint,_shard:bigint>>"))).drop("_dealt")
 
 
 def draw_left(seed, level):
@@ -157,35 +172,44 @@ def shard_quotas(units, shards, seed=0):
     return nodes.withColumnRenamed("node", "shard")
 
 
-def mixed(documents, weights=WEIGHTS, repeats=REPEATS, shards=16, seed=0, id_col="doc_id", text_col="text", source_col="source"):
-    """The mix itself: the documents' columns, a row per copy, with _copy, _shard and
-    _turn (the shuffled order inside the shard). ``shards`` is rounded up to a power
-    of two. Same input and seed, same mix."""
-    rows = taken_rows(documents, weights, repeats, seed, id_col, text_col, source_col).where("_copies > 0")
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    unit = copies.select("_source", "_block", "_copy").distinct()
+def dealt_units(unit, shards, seed):
+    """Blocks' copies (_source, _block, _copy) with their _shard: in permuted order each
+    source's units fill the quotas that the splitting tree gave its shards."""
     turn = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 2), "_block", "_copy"), "_block", "_copy")
     unit = unit.withColumn("_rank", F.row_number().over(turn))
     dealt = shard_quotas(unit.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("quota")), shards, seed)
     upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = dealt.withColumn("hi", F.sum("quota").over(upto)).where("quota > 0").select(F.col("source").alias("_s"), "shard", (F.col("hi") - F.col("quota")).alias("lo"), "hi")
+    dealt = dealt.withColumn("hi", F.sum("quota").over(upto)).where("quota > 0").select(F.col("source").alias("_s"), "shard", "hi")
     ranges = dealt.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("hi", "shard"))).alias("_ranges"))
-    shard = F.element_at(F.filter("_ranges", lambda r: r["hi"] >= F.col("_rank")), 1)["shard"]
-    unit = unit.join(ranges, F.col("_source").eqNullSafe(F.col("_s"))).select(F.col("_source").alias("_us"), F.col("_block").alias("_ub"), F.col("_copy").alias("_uc"), shard.alias("_shard"))
-    same = F.col("_source").eqNullSafe(F.col("_us")) & (F.col("_block") == F.col("_ub")) & (F.col("_copy") == F.col("_uc"))
-    out = copies.join(unit, same).withColumn("_turn", F.xxhash64(F.lit(seed + 3), "_key", "_copy"))
-    return out.select(*documents.columns, "_copy", "_shard", "_turn")
+    shard = F.get(F.filter("_ranges", lambda r: r["hi"] >= F.col("_rank")), F.lit(0))["shard"]
+    unit = unit.join(ranges, F.col("_source").eqNullSafe(F.col("_s")))
+    return unit.select("_source", "_block", "_copy", shard.alias("_shard")).where("_shard IS NOT NULL")
+
+
+def copies_of(rows, placed, seed):
+    """A row per placed copy, with _copy, _shard and _turn (the shuffled order inside
+    the shard)."""
+    rows = rows.withColumn("_place", F.explode(placed)).withColumn("_copy", F.col("_place._copy")).withColumn("_shard", F.col("_place._shard"))
+    return rows.withColumn("_turn", F.xxhash64(F.lit(seed + 3), "_key", "_copy"))
+
+
+def mixed(documents, weights=WEIGHTS, repeats=REPEATS, shards=SHARDS, seed=0, id_col="doc_id", text_col="text", source_col="source"):
+    """The mix itself: the documents' columns, a row per copy, with _copy, _shard and
+    _turn. ``shards`` is rounded up to a power of two. Same input and seed, same mix."""
+    rows = placed_rows(documents, weights, repeats, shards, seed, id_col, text_col, source_col)
+    return copies_of(rows, F.col("_placed"), seed).select(*documents.columns, "_copy", "_shard", "_turn")
 
 
-def mix_report(documents, weights=WEIGHTS, repeats=REPEATS, seed=0, id_col="doc_id", text_col="text", source_col="source"):
-    """One row per input row: doc_id, size, source_size, target, taken.
+def mix_report(documents, weights=WEIGHTS, repeats=REPEATS, shards=SHARDS, seed=0, id_col="doc_id", text_col="text", source_col="source"):
+    """One row per input row: doc_id, size, source_size, target, taken (the words of the
+    copies that are in shards).
 
     Null text has size 0 and is taken without effect; a null source is a source, the
     last; rows that repeat are taken alike; a source of size 0 has target 0; other
     columns are ignored; an empty table gives an empty table.
     """
-    rows = taken_rows(documents.select(*dict.fromkeys((id_col, text_col, source_col))), weights, repeats, seed, id_col, text_col, source_col)
-    return rows.select(F.col(id_col).alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    rows = placed_rows(documents.select(*dict.fromkeys((id_col, text_col, source_col))), weights, repeats, shards, seed, id_col, text_col, source_col)
+    return rows.select(F.col(id_col).alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_placed")).alias("taken"))
 
 
 def mix_files(documents, path, **options):
@@ -194,10 +218,12 @@ def mix_files(documents, path, **options):
     out.repartition("_shard").sortWithinPartitions("_shard", "_turn").write.partitionBy("_shard").parquet(path)
 
 
-def draw(documents, **options):
-    """The mix with the documents' columns only: a row per copy. Rows without words
-    weigh nothing and stay once."""
-    rows = taken_rows(documents, **options)
-    times = F.when(F.col("_size") == 0, F.lit(1).cast("long")).otherwise(F.col("_copies"))
-    copies = rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return copies.select(*documents.columns)
+def draw(documents, shards=SHARDS, seed=0, **options):
+    """The mix with the documents' columns only: a row per copy, shard after shard, each
+    in its shuffled order. Rows without words weigh nothing and stay once, in a shard
+    by their hash."""
+    rows = placed_rows(documents, shards=shards, seed=seed, **options)
+    anywhere = F.pmod(F.shiftrightunsigned("_key", 40), F.lit(1 << max(shards - 1, 0).bit_length()))
+    alone = F.array(F.struct(F.lit(1).cast("long").alias("_copy"), anywhere.alias("_shard")))
+    copies = copies_of(rows, F.when(F.col("_size") == 0, alone).otherwise(F.col("_placed")), seed)
+    return copies.orderBy("_shard", "_turn").select(*documents.columns)

@@ -87,3 +87,24 @@ def test_mix_rows_follow_the_report(table, tmp_path, spark):
     assert {r["_shard"] for r in out} == {0, 1, 2, 3}
     M.mix_files(df, str(tmp_path / "mix"), shards=4)
     assert spark.read.parquet(str(tmp_path / "mix")).count() == len(out)
+
+
+def test_report_and_stage_take_what_the_shards_hold(table, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.randint(0, 30), rnd.choice("aab")) for i in range(600)]
+    df = table(rows, schema=SCHEMA)
+    placed = sorted(M.mixed(df).collect(), key=lambda r: (r["_shard"], r["_turn"]))
+    want = [r.doc_id for r in placed if r.text]
+    assert [r.doc_id for r in M.draw(df).collect() if r.text] == want != sorted(want)
+    assert sorted(r.doc_id for r in M.draw(df).collect() if not r.text) == [i for i, t, _ in rows if not t]
+    whole, tree = M.shard_quotas, {}
+    monkeypatch.setattr(M, "shard_quotas", lambda *a: whole(*a).where("shard < 15"))  # the last shard is lost
+    for r in placed:
+        if r["_shard"] < 15:
+            tree[r.doc_id] = tree.get(r.doc_id, 0) + words_in(r.text)
+    assert {r.doc_id: r.taken for r in M.mix_report(df).collect() if r.taken} == {i: n for i, n in tree.items() if n}
+    assert sorted(r.doc_id for r in M.draw(df).collect() if r.text) == sorted(r.doc_id for r in placed if r.text and r["_shard"] < 15)
+
+
+def words_in(text):
+    return len(WORD.findall(text))
