@@ -1,12 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a run of letters, lower-cased; a document is the set of its terms' hashes.
-The machine scores every term and, by inner products of short vectors, every pair of
-terms, so two terms may say together what neither says alone.
+A term is a run of letters, lower-cased, or the first few bytes of one, so that
+compounds of known stems are known; a document is the set of its terms' hashes. The
+machine scores every term and, by inner products of short vectors, every pair of terms,
+so two terms may say together what neither says alone.
 
-It is fitted on a bounded sample of labelled rows (``sample``, by a hash of the id),
-whose most telling hashes (``features``) are kept; scoring reads every whole text and
-needs no shuffle.
+It is fitted on a bounded sample of labelled rows (``sample``, by a hash of the id) with
+every term of their texts; scoring reads every whole text and needs no shuffle.
 """
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from newsmill.llm import arrays as A
 
 BUCKET_BITS, RANK = 24, 6
+PREFIXES = (3, 4, 5, 6, 8)
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 
@@ -24,11 +25,19 @@ def term_sets(offs, raw):
     """(bucket, row) of the distinct hashed terms of each row, sorted by row."""
     raw = A.LOWER[raw]
     starts, ends, row = A.words_of(offs, raw, NO_LETTER)
-    bucket = (A.word_hashes(raw, starts, ends) >> A.U(64 - BUCKET_BITS)).astype(np.int64)
-    both = np.unique((row << BUCKET_BITS) | bucket)
+    both = [(row << BUCKET_BITS) | bucket_of(A.word_hashes(raw, starts, ends))]
+    for k in PREFIXES:
+        longer = ends - starts > k
+        first, r = starts[longer], row[longer]
+        both.append((r << BUCKET_BITS) | bucket_of(A.mix(A.word_hashes(raw, first, first + k) + A.U(k))))
+    both = np.unique(np.concatenate(both))
     return both & ((1 << BUCKET_BITS) - 1), both >> BUCKET_BITS
 
 
+def bucket_of(hashes):
+    return (hashes >> A.U(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def list_terms(batches):
     for batch in batches:
         ids, label = batch.column("doc_id"), batch.column("label")
@@ -62,49 +71,70 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows, labels, features=768, least=10, steps=250, decay=(0.0, 1e-4, 5e-3), seed=1):
-    """Fit by Adam on the logistic loss with decay; deterministic."""
+def slices(n, step=1 << 20):
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
+def weighed(at, ends, y, prior, kinds):
+    """How much each term can tell: how far its share of toxic rows is from the prior,
+    in standard errors, smoothed; 1 from four errors on. Rare terms that are pure
+    weigh as much as frequent ones, and none is dropped."""
+    seen, bad = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
+    for s in slices(len(at)):
+        seen += np.bincount(at[s], minlength=kinds)
+    for i in np.flatnonzero(y == 1):
+        bad[at[ends[i] : ends[i + 1]]] += 1  # terms of a row are distinct
+    z = np.abs(bad - seen * prior) / np.sqrt(seen * prior * (1 - prior) + 0.2)
+    return np.minimum(z / 4, 1) ** 1.5
+
+
+def fit(rows, labels, passes=10, steps=400, batch=128, rates=(0.1, 0.03), seed=1):
+    """Fit by Adagrad on the logistic loss; deterministic. A step takes ``batch`` sparse
+    rows and touches only their terms; there are at least ``steps`` of them."""
     y = np.asarray(labels, np.float64)
     n = len(y)
     prior = (y.sum() + 0.5) / (n + 1)
     bias = float(np.log(prior / (1 - prior)))
-    none = Machine(np.zeros(0, np.int64), bias if n else -30.0, np.zeros(0), np.zeros((0, RANK)))
-    if not n or y.min() == y.max():
-        return none
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    ends = np.cumsum([0, *[len(r) for r in rows]])
+    if not n or y.min() == y.max() or not ends[-1]:
+        return Machine(np.zeros(0, np.int64), bias if n else -30.0, np.zeros(0), np.zeros((0, RANK)))
     bucket = np.concatenate([np.asarray(r, np.int32) for r in rows])
-    kinds, at = np.unique(bucket, return_inverse=True)
-    seen, bad = np.bincount(at), np.bincount(at, y[row])
-    # how far a term's share of toxic rows is from the prior, in standard errors
-    z = (bad - seen * prior) / np.sqrt(seen * prior * (1 - prior))
-    telling = np.flatnonzero(seen >= least)
-    telling = np.sort(telling[np.lexsort((kinds[telling], -np.abs(z[telling])))][:features])
-    if not len(telling):
-        return none
-    place = np.full(len(kinds), -1)
-    place[telling] = np.arange(len(telling))
-    keep = place[at] >= 0
-    x = np.zeros((n, len(telling)), np.float32)
-    x[row[keep], place[at[keep]]] = 1
+    kinds, at = np.unique(bucket), np.empty(len(bucket), np.int32)
+    for s in slices(len(at)):
+        at[s] = np.searchsorted(kinds, bucket[s])
+    del bucket
+    scale = weighed(at, ends, y, prior, len(kinds))
     rng = np.random.default_rng(seed)
-    theta = [np.array([bias]), np.zeros(len(telling)), rng.normal(0, 0.01, (len(telling), RANK))]
-    m, s = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    for step in range(1, steps + 1):
-        b, w, v = theta
-        xv = x @ v.astype(np.float32)
-        score = b[0] + x @ w.astype(np.float32) + ((xv * xv).sum(1) - x @ (v * v).sum(1).astype(np.float32)) / 2
-        e = ((1 / (1 + np.exp(-np.clip(score, -30, 30)))) - y).astype(np.float32) / n
-        slope = [np.array([e.sum()]), x.T @ e, x.T @ (e[:, None] * xv) - (x.T @ e)[:, None] * v]
-        for k in range(3):
-            g = slope[k] + decay[k] / len(telling) * theta[k]
-            m[k] = 0.9 * m[k] + 0.1 * g
-            s[k] = 0.99 * s[k] + 0.01 * g * g
-            theta[k] = theta[k] - 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
-    b, w, v = theta
-    return Machine(kinds[telling].astype(np.int64), float(b[0]), w, v)
-
-
-def train(documents, labels, sample=12000, id_col="doc_id", text_col="text", label_col="toxic"):
+    # row k holds the k-th place of every term's vector; row 0 its weight
+    theta = np.zeros((RANK + 1, len(kinds)), np.float32)
+    theta[1:] = rng.normal(0, 0.02, (RANK, len(kinds)))
+    power, bias_power = np.full(theta.shape, 1e-4, np.float32), 1e-4
+    rate = np.array([rates[0]] + [rates[1]] * RANK)[:, None]
+    for _ in range(max(passes, -(-steps * batch // max(n, batch)))):
+        order = rng.permutation(n)
+        for some in (order[i : i + batch] for i in range(0, n, batch)):
+            m, r = len(some), np.repeat(np.arange(len(some)), ends[some + 1] - ends[some])
+            if not len(r):
+                continue
+            terms, t = np.unique(np.concatenate([at[ends[i] : ends[i + 1]] for i in some]), return_inverse=True)
+            x, old = scale[terms], theta[:, terms]
+            told = old * x
+            sums = np.stack([np.bincount(r, u[t], m) for u in told])
+            squares = np.bincount(r, (told[1:] ** 2).sum(0)[t], m)
+            score = bias + sums[0] + ((sums[1:] ** 2).sum(0) - squares) / 2
+            e = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[some]
+            plain = np.bincount(t, e[r], len(terms))
+            slope = [plain, *[np.bincount(t, (e * u)[r], len(terms)) - plain * v for u, v in zip(sums[1:], told[1:])]]
+            slope = np.stack(slope) * x / m
+            power[:, terms] += slope**2
+            theta[:, terms] = old - rate * slope / np.sqrt(power[:, terms])
+            bias_power += e.mean() ** 2
+            bias -= rates[0] * e.mean() / np.sqrt(bias_power)
+    theta *= scale
+    return Machine(kinds, float(bias), theta[0], theta[1:].T)
+
+
+def train(documents, labels, sample=20000, id_col="doc_id", text_col="text", label_col="toxic"):
     """Machine from at most ``sample`` labelled rows that are not held out."""
     A.ready(documents.sparkSession)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL")
@@ -134,7 +164,7 @@ def score_texts(machine):
     return run
 
 
-def score_toxicity(documents, labels, sample=12000, id_col="doc_id", text_col="text", label_col="toxic"):
+def score_toxicity(documents, labels, sample=20000, id_col="doc_id", text_col="text", label_col="toxic"):
     """One row per input row: doc_id, held_out, score, predicted.
 
     Null and empty texts get the score of a text without terms; rows without an id are
@@ -148,7 +178,7 @@ def score_toxicity(documents, labels, sample=12000, id_col="doc_id", text_col="t
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def drop_toxic(documents, labels, sample=12000, id_col="doc_id", text_col="text", label_col="toxic"):
+def drop_toxic(documents, labels, sample=20000, id_col="doc_id", text_col="text", label_col="toxic"):
     """The documents, all columns, without those predicted toxic."""
     machine = train(documents, labels, sample, id_col, text_col, label_col)
 

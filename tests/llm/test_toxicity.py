@@ -55,3 +55,29 @@ def test_edges(table):
     nothing = table([], schema="doc_id long, toxic int")
     assert {r.predicted for r in T.score_toxicity(docs, nothing).collect()} == {0}
     assert T.score_toxicity(table([]), labels).count() == 0
+
+
+def test_recall_of_each_language(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    known = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL").collect()}
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = T.score_toxicity(docs, labels).collect()
+    for x in sorted(set(lang.values())):
+        hit, false, _ = rates(rows, {i: y for i, y in known.items() if lang.get(i) == x})
+        print(x, hit, false)
+        assert hit > 0.8 and false < 0.02, x
+
+
+def test_rare_terms_are_learned():
+    rng = np.random.default_rng(0)
+    noise = lambda: list(set(rng.integers(100, 300, 8).tolist()))
+    # a tenth is toxic, told by one of 40 terms of 5 rows each
+    rows = [[i // 10 % 40] * (i % 10 == 0) + noise() for i in range(2000)]
+    m = T.fit(rows, [int(i % 10 == 0) for i in range(2000)])
+    assert len(m.buckets) == len({b for r in rows for b in r})
+    median = {}
+    for toxic in (True, False):
+        new = [[i % 40] * toxic + noise() for i in range(200)]
+        median[toxic] = np.median(m.scores(np.concatenate(new), np.repeat(np.arange(200), [len(r) for r in new]), 200))
+    assert median[True] > 3 * median[False]
