@@ -34,8 +34,8 @@ TOKENS, PATH_TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 256, 64, 10, 2, 6, 2
 # a node with this share of its parent's documents holds near copies; more levels would not part them
 DENSE = 0.8
 # a sketch has 4 bits of each token; of 256 a pair at 0.75 shares 196 +- 7, fewer than
-# this with a chance of 3e-4, a pair at 0.8 with one of 1e-7
-LIKELY = 173
+# this with a chance of 4e-9 if tokens are independent, a pair at 0.8 with one of 4e-15
+LIKELY = 155
 FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**62, TOKENS, dtype=np.uint64) * A.U(2) + A.U(1)
 
 

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from newsmill.llm import near_dedup as N
@@ -104,3 +106,14 @@ def test_given_table(spark):
 
 def test_empty_table(table):
     assert N.near_dedup(table([])).count() == 0
+
+
+def test_sketch_bound_loses_no_link():
+    share = 0.75 + 0.25 / 16  # of a sketch's tokens, at exactly the similarity
+    miss = sum(math.comb(N.TOKENS, k) * share**k * (1 - share) ** (N.TOKENS - k) for k in range(N.LIKELY))
+    assert miss < 1e-8
+    sketch = np.zeros((2, N.TOKENS // 2), np.uint8)
+    sketch[1, 80:] = 0x11  # 160 of 256 agree
+    group, key, size = np.zeros(2, np.int64), np.arange(2), np.full(2, 100)
+    found = list(N.likely_pairs(group, key, size, sketch, 0.75, lambda i, j: np.ones(len(i), bool)))
+    assert [(a.tolist(), b.tolist(), n.tolist()) for a, b, n in found] == [([0], [1], [160])]
