@@ -7,6 +7,7 @@ from newsmill.llm.html_text import main_text
 from newsmill.llm.mixing import mix_report
 from newsmill.llm.near_dedup import near_dedup
 from newsmill.llm.packing import best_fit_packing
+from newsmill.llm.simhash_dedup import simhash_dedup
 from newsmill.llm.substring_dedup import substring_dedup
 from newsmill.llm.suffix_dedup import suffix_dedup
 from newsmill.llm.token_files import token_files
@@ -42,6 +43,7 @@ QUERIES = {
     "op8_toxicity": toxicity,
     "op9_near_dedup": over("documents", near_dedup),
     "op10_fingerprints": over("documents", fingerprints),
+    "op11_simhash_dedup": over("documents", simhash_dedup),
     "pipeline": pipeline,
 }
 
