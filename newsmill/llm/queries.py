@@ -2,6 +2,7 @@
 
 import public_tokenizers
 
+from newsmill.llm.conversation_repair import conversation_repair
 from newsmill.llm.fingerprints import fingerprints
 from newsmill.llm.html_text import main_text
 from newsmill.llm.mixing import mix_report
@@ -51,6 +52,7 @@ QUERIES = {
     "op10_fingerprints": over("documents", fingerprints),
     "op11_simhash_dedup": over("documents", simhash_dedup),
     "op12_ranked_search": search,
+    "op13_conversation_repair": over("conversations", conversation_repair),
     "pipeline": pipeline,
 }
 
