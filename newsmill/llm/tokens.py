@@ -8,6 +8,7 @@ piece goes through the tokenizers library once and is remembered, up to a bound.
 import os
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -20,6 +21,9 @@ OTHER, LETTER, NUMBER, SPACE, END = range(5)
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # fixed values of the vocabulary's split pattern
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
+# and its sign for each byte: printable ones stand for themselves, the others from 256 on
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - PRINTABLE))}
 MEMO = 1 << 20
 _kinds = None
 
@@ -81,15 +85,16 @@ class Encoder:
     def _learn(self, keys, checks, pieces):
         if len(self.keys) + len(keys) > MEMO:
             return False
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        # the pieces are split already, so the vocabulary's merges are all that is left
+        tokenize = self.tokenizer.model.tokenize
+        found = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_SIGNS))] for p in pieces]
         count = np.array([len(x) for x in found], np.int64)
         first = np.cumsum(count) - count + len(self.pool)
-        self.pool = np.concatenate((self.pool, np.array([i for x in found for i in x], np.uint32)))
-        order = np.argsort(merged := np.concatenate((self.keys, keys)))
-        self.keys = merged[order]
-        self.checks = np.concatenate((self.checks, checks))[order]
-        self.first = np.concatenate((self.first, first))[order]
-        self.count = np.concatenate((self.count, count))[order]
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))))
+        # new keys come in order, so the remembered ones stay so without a sort
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
         return True
 
     def encode(self, texts):
@@ -126,7 +131,7 @@ class Encoder:
         if missed.any():
             new, where = np.unique(keys[missed], return_index=True)
             where = np.flatnonzero(missed)[where]
-            if not self._learn(new, checks[where], [joined[starts[i] : stops[i]] for i in where]):
+            if not self._learn(new, checks[where], [joined[i:j] for i, j in zip(starts[where].tolist(), stops[where].tolist())]):
                 half = len(texts) // 2
                 if not half:
                     ids = np.array(self.tokenizer.encode(texts[0], add_special_tokens=False).ids, np.uint32)

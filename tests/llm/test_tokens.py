@@ -28,6 +28,15 @@ def test_any_text(texts):
     same(texts)
 
 
+def test_every_code_point():
+    """Each by itself, after a letter, and between blanks."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for k in range(0, len(points), 1 << 16):
+        some = points[k : k + (1 << 16)]
+        for texts in (["".join(f"a{c} {c}b" for c in some[i : i + 4096]) for i in range(0, len(some), 4096)], ["".join(some)]):
+            same(texts)
+
+
 def test_given_texts(spark, sf_dir):
     texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     same(texts)
