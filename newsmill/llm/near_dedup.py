@@ -31,6 +31,8 @@ from newsmill.llm import arrays as A
 from newsmill.llm.graph import components
 
 TOKENS, PATH_TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 256, 64, 10, 2, 6, 256, 256
+# documents of a block of the second pass; a row there is a document, never a pair
+CROWD = 4096
 # a node with this share of its parent's documents holds near copies; more levels would not part them
 DENSE = 0.8
 # a sketch has 4 bits of each token; of 256 a pair at 0.75 shares 196 +- 7, fewer than
@@ -354,12 +356,13 @@ def visits(nodes):
     large = nodes.where("blocks > 1")
     main = large.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     strays = large.join(main, "node").where("root <> main").drop("main")
-    crowd = strays.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("crowds"))
-    block = F.pmod(F.xxhash64("key", "node"), F.col("blocks"))
+    crowd = strays.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("crowds"))
+    many = F.ceil(F.col("blocks") * BLOCK / CROWD)
+    block = F.pmod(F.xxhash64("key", "node"), many)
     group = lambda b, c: F.xxhash64("node", b, c).alias("node")
     hosts = large.join(crowd, "node").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)))
     hosts = hosts.select(group(block, F.col("c")), *carried, F.lit(1).alias("guest"))
-    guests = strays.join(crowd, "node").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    guests = strays.join(crowd, "node").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
     guests = guests.select(group(F.col("b"), F.pmod(F.xxhash64("node", "key"), F.col("crowds"))), *carried, F.lit(3).alias("guest"))
     return plain.unionByName(hosts).unionByName(guests)
 
@@ -382,7 +385,7 @@ def near_components(documents, words=5, similarity=0.75, id_col="doc_id", text_c
 
     # one row for each document: at most one node for each path
     nodes = nodes_to_compare(reps).groupBy("key").agg(F.collect_list(F.struct("path", "node", "blocks")).alias("nodes"))
-    met = F.transform(F.filter("nodes", lambda n: n["blocks"] == 1), lambda n: F.struct(n["path"].alias("path"), n["node"].bitwiseAND(0x7FFFFFFF).cast("int").alias("name")))
+    met = F.transform("nodes", lambda n: F.struct(n["path"].alias("path"), n["node"].bitwiseAND(0x7FFFFFFF).cast("int").alias("name")))
     nodes = nodes.withColumn("met", met).join(reps.select("key", "n_shingles", "sketch"), "key")
     nodes = A.stored(nodes.select("key", "n_shingles", "sketch", "met", F.inline("nodes")), "path-nodes")
     block = F.when(F.col("blocks") > 1, F.xxhash64("node", F.pmod(F.xxhash64("key", "node"), F.col("blocks")))).otherwise(F.col("node"))
