@@ -13,6 +13,11 @@ def rates(rows, labels):
     return hit, false, held
 
 
+def fitted(rows, labels):
+    ends = np.cumsum([0, *map(len, rows)])
+    return T.fit(np.array([t for r in rows for t in r], np.int32), ends, labels)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -36,11 +41,35 @@ def test_pairs_are_learned():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         rows.append([1] * a + [2] * b + list(set(rng.integers(10, 40, 5).tolist())))
         labels.append(int(a and b))
-    m = T.fit(rows, labels)
+    m = fitted(rows, labels)
     s = m.scores(np.array([1, 2, 1, 2]), np.array([0, 1, 2, 2]), 4)
     assert s[2] > 0.8 and s[0] < 0.3 and s[1] < 0.3 and s[3] < 0.3
 
 
+def test_scores_are_the_plain_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    buckets = np.unique(rng.integers(0, 500, 80))
+    m = T.Machine(buckets, -0.3, rng.normal(size=len(buckets)), rng.normal(0, 0.3, (len(buckets), T.RANK)))
+    rows = [np.unique(rng.integers(0, 500, rng.integers(0, 40))) for _ in range(50)]
+    want = []
+    for r in rows:
+        at = [int(np.flatnonzero(buckets == b)[0]) for b in r if b in buckets]
+        z = m.bias + sum(m.w[a] for a in at) + sum(m.v[a] @ m.v[b] for k, a in enumerate(at) for b in at[:k])
+        want.append(1 / (1 + np.exp(-z)))
+    got = m.scores(np.concatenate(rows), np.repeat(np.arange(50), [len(r) for r in rows]), 50)
+    assert np.allclose(got, want)
+
+
+def test_sample_is_bounded_in_terms(spark):
+    """Rows after the one that reaches the bound are not learned from."""
+    import pyarrow as pa
+
+    lists = [list(range(i, i + 50)) for i in range(0, 3000, 30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k % 2 for k in range(10)], pa.int32()), pa.array(lists[i : i + 10], pa.list_(pa.int32()))], names=["label", "terms"]) for i in range(0, 100, 10)]
+    used = lambda most: max(b.column("bucket").to_numpy().max() for b in T.fit_sample(most)(iter(batches)))
+    assert used(10**9) == 3019 and used(501) == lists[10][-1] and used(500) == lists[9][-1]
+
+
 def test_edges(table):
     rows = [(i, ("you idiot " if i % 3 == 0 else "a fine day ") + "word " * (i % 7)) for i in range(300)]
     docs = table(rows + [(900, None), (901, ""), (None, "idiot"), (5, "other row of id 5")])
@@ -74,7 +103,7 @@ def test_rare_terms_are_learned():
     noise = lambda: list(set(rng.integers(100, 300, 8).tolist()))
     # a tenth is toxic, told by one of 40 terms of 5 rows each
     rows = [[i // 10 % 40] * (i % 10 == 0) + noise() for i in range(2000)]
-    m = T.fit(rows, [int(i % 10 == 0) for i in range(2000)])
+    m = fitted(rows, [int(i % 10 == 0) for i in range(2000)])
     assert len(m.buckets) == len({b for r in rows for b in r})
     median = {}
     for toxic in (True, False):
