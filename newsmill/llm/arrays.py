@@ -170,6 +170,13 @@ def keyed_texts(documents, id_col="doc_id", text_col="text"):
     return documents.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
+def masked(documents):
+    """The rows under names that no helper column has, the new name of each column, and
+    the way back to the old ones."""
+    names = {c: f"d{k}" for k, c in enumerate(documents.columns)}
+    return documents.toDF(*names.values()), names, lambda df: df.select(*names.values()).toDF(*names)
+
+
 def stored(df, label):
     """Cut the lineage: write to the shared folder and read back. Survives the
     loss of executors, unlike a cache."""

@@ -14,7 +14,7 @@ Only DataFrame functions; every size is summed per block before sources meet.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from newsmill.llm.arrays import stored
+from newsmill.llm.arrays import masked, stored
 
 BLOCKS = 256
 WEIGHTS = (5, 2, 1)
@@ -218,12 +218,13 @@ def mix_files(documents, path, **options):
     out.repartition("_shard").sortWithinPartitions("_shard", "_turn").write.partitionBy("_shard").parquet(path)
 
 
-def draw(documents, shards=SHARDS, seed=0, **options):
-    """The mix with the documents' columns only: a row per copy, shard after shard, each
-    in its shuffled order. Rows without words weigh nothing and stay once, in a shard
-    by their hash."""
-    rows = placed_rows(documents, shards=shards, seed=seed, **options)
+def draw(documents, shards=SHARDS, seed=0, id_col="doc_id", text_col="text", source_col="source", **options):
+    """The mix with the documents' columns only, whatever their names: a row per copy,
+    shard after shard, each in its shuffled order. Rows without words weigh nothing and
+    stay once, in a shard by their hash."""
+    rows, name, back = masked(documents)
+    rows = placed_rows(rows, shards=shards, seed=seed, id_col=name[id_col], text_col=name[text_col], source_col=name[source_col], **options)
     anywhere = F.pmod(F.shiftrightunsigned("_key", 40), F.lit(1 << max(shards - 1, 0).bit_length()))
     alone = F.array(F.struct(F.lit(1).cast("long").alias("_copy"), anywhere.alias("_shard")))
     copies = copies_of(rows, F.when(F.col("_size") == 0, alone).otherwise(F.col("_placed")), seed)
-    return copies.orderBy("_shard", "_turn").select(*documents.columns)
+    return back(copies.orderBy("_shard", "_turn"))

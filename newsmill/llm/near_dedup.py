@@ -420,12 +420,15 @@ def near_dedup(documents, words=5, similarity=0.75, id_col="doc_id", text_col="t
 
 def keep_one(documents, words=5, similarity=0.75, id_col="doc_id", text_col="text"):
     """The documents, all columns, with one row of each component: the one with the
-    smallest id; of rows that share it, the first by key. Rows without words all stay."""
-    found = near_components(documents, words, similarity, id_col, text_col)
+    smallest id; of rows that share it, the first by key. Rows without words all stay.
+    Columns of any name are kept as they are."""
+    rows, name, back = A.masked(documents)
+    id_col, text_col = name[id_col], name[text_col]
+    found = near_components(rows, words, similarity, id_col, text_col)
     kept = found.where("kept").select(F.col("key").alias("_key"), "component_id", "n_shingles")
     first = kept.where("n_shingles > 0").groupBy("component_id").agg(F.min("_key").alias("_key"))
     stay = first.select("_key", F.lit(True).alias("_one")).unionByName(kept.where("n_shingles = 0").select("_key", F.lit(False).alias("_one")).distinct())
     key = F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))
-    rows = documents.withColumn("_key", key).join(stay, "_key")
+    rows = rows.withColumn("_key", key).join(stay, "_key")
     many = rows.where("_one").dropDuplicates(["_key"])
-    return many.unionByName(rows.where("NOT _one")).select(*documents.columns)
+    return back(many.unionByName(rows.where("NOT _one")))

@@ -353,10 +353,13 @@ def kept_text(text, spans, length):
 def without_repeats(documents, length=200, hot_runs=2000, id_col="doc_id", text_col="text", size_col="n_chars"):
     """The documents, all columns, without bytes of strings of ``length`` bytes that
     also start elsewhere; ``size_col``, where present, follows the text. A text that
-    keeps everything is unchanged, null included."""
-    spans = repeated_spans(documents, length, hot_runs, id_col, text_col)
+    keeps everything is unchanged, null included. Columns of any name are kept."""
+    rows, name, back = A.masked(documents)
+    id_col, text_col, size_col = name[id_col], name[text_col], name.get(size_col)
+    spans = repeated_spans(rows, length, hot_runs, id_col, text_col)
     key = F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))
-    rows = documents.withColumn("_key", key).join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").drop("_key")
+    columns_kept, schema = rows.columns, rows.schema
+    rows = rows.withColumn("_key", key).join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").drop("_key")
 
     def run(batches):
         for batch in batches:
@@ -367,14 +370,13 @@ def without_repeats(documents, length=200, hot_runs=2000, id_col="doc_id", text_
                 for k in hit:
                     new[k] = kept_text(new[k].encode("utf-8"), lists[k], length)
                 texts = pa.array(new, texts.type)
-            columns = [texts if c == text_col else batch.column(c) for c in documents_columns]
-            if hit and size_col in documents_columns:
-                at = documents_columns.index(size_col)
+            columns = [texts if c == text_col else batch.column(c) for c in columns_kept]
+            if hit and size_col:
+                at = columns_kept.index(size_col)
                 sizes = columns[at].to_pylist()
                 for k in hit:
                     sizes[k] = len(new[k])
                 columns[at] = pa.array(sizes, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=documents_columns)
+            yield pa.RecordBatch.from_arrays(columns, names=columns_kept)
 
-    documents_columns = documents.columns
-    return rows.mapInArrow(run, documents.schema)
+    return back(rows.mapInArrow(run, schema))

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from newsmill.llm.mixing import mix_report
@@ -13,6 +14,7 @@ from test_packing import check as check_packing
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CLASHING = ["key", "spans", "root", "d0", "d1", *(f"_{c}" for c in "key one size source block part copy copies placed shard turn place spans target".split())]
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +26,7 @@ def steps(spark, tmp_path_factory):
              (900003, None, None, None, None), (900004, "", "en", "src1", 0), (None, "no id here", None, None, None),
              (900005, "own words " + long[:600], "en", "src2", 610)]
     frame, out = docs.unionByName(spark.createDataFrame(extra, docs.schema)), []
+    frame = frame.withColumns({c: F.concat(F.lit(c), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
     for name, stage in C.STAGES:
         path = str(tmp_path_factory.mktemp("pipeline") / name)
         result = stage(spark, frame, SF)
@@ -34,13 +37,20 @@ def steps(spark, tmp_path_factory):
     return {name: (before, after) for name, before, after in out}
 
 
+def test_columns_with_clashing_names_are_kept(steps):
+    for name, (before, after) in list(steps.items())[:-1]:
+        assert after.columns == before.columns, name
+        wrong = [F.col(c) != F.concat(F.lit(c), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING]
+        assert after.where(F.greatest(*wrong)).count() == 0, name
+
+
 def rows(df):
     return [tuple(r) for r in df.select(*COLUMNS).collect()]
 
 
 def test_columns(steps):
     for name, (_, after) in steps.items():
-        assert name == "best_fit_packing" or after.columns == COLUMNS
+        assert name == "best_fit_packing" or after.columns == COLUMNS + CLASHING
 
 
 def test_toxic_documents_go(spark, steps):
