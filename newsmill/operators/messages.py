@@ -1,8 +1,12 @@
 """Article -> chat message, payload, delivery outcome, idempotent sink."""
 
+import os
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsmill.functions.text import col, is_blank, strip
+from newsmill.sources import ledger
 
 # --- fixed values: message layout -------------------------------------------
 PIN, NOTE, LINK = "\U0001F4CC *", "*\n\n\U0001F4DD ", "\n\n\U0001F517 link："
@@ -58,11 +62,14 @@ def undelivered(df, delivered=None):
     keyed = with_message_key(df)
     rest = [c for c in keyed.columns if c != "message_key"]
     once = keyed.groupBy("message_key").agg(F.min(F.struct(*rest)).alias("m")).select("message_key", "m.*")
-    if delivered is None:
-        return once
+    return once if delivered is None else once.join(final(delivered), "message_key", "left_anti")
+
+
+def final(delivered):
+    """Keys that need no more sending."""
     if "delivery" in delivered.columns:
         delivered = delivered.where("delivery IN ('ok', 'fatal')")
-    return once.join(delivered.select("message_key"), "message_key", "left_anti")
+    return delivered.select("message_key")
 
 
 def outcomes(sent):
@@ -74,31 +81,33 @@ def outcomes(sent):
     return sent.groupBy("message_key").agg(F.min_by(F.struct(*rest), rank).alias("m")).select("message_key", "m.*")
 
 
-def _exists(spark, path):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def message_sink(df, path, batch_id=None, sender=None):
     """Append messages without a final delivery; once all have one, running it again
-    writes nothing. Returns one row per message. A retryable failure is sent again, so
-    delivery is at least once.
-
-    ``sender`` is an optional mapInPandas function that sends and returns the
-    rows with a ``delivery`` column; the schema is the input plus that column.
-    With a ``batch_id`` the batch has its own folder and is overwritten on
-    replay, so a restarted stream leaves each message once.
+    writes nothing. Returns one row per message on record. A retryable failure is sent
+    again, so delivery is at least once.
+
+    The record is a ledger (``sources.ledger``) by message key: a call reads of it what
+    its own keys may meet, and adds its rows in one commit. ``sender`` is an optional
+    mapInPandas function that sends and returns the rows with a ``delivery`` column; the
+    schema is the input plus that column. A batch with a ``batch_id`` replaces what it
+    wrote before, so a restarted stream leaves each message once.
     """
     spark = df.sparkSession
-    target = path if batch_id is None else f"{path}/batch_id={batch_id}"
-    done = None
-    if _exists(spark, path):
-        done = spark.read.parquet(path)
-        if batch_id is not None and "batch_id" in done.columns:
-            done = done.where(F.col("batch_id") != batch_id)
-    new = undelivered(df, done)
+    path = absolute(path)
+    new = undelivered(df)
+    fields = [*new.schema.fields, T.StructField("delivery", T.StringType())] if sender is not None else new.schema.fields
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    new = new.join(final(ledger.look_up(new, path, "message_key", schema, batch_id)), "message_key", "left_anti")
     if sender is not None:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields)
-        new = new.mapInPandas(sender, f"{fields}, delivery string")
-    new.write.mode("append" if batch_id is None else "overwrite").parquet(target)
-    return outcomes(spark.read.parquet(path))
+        new = new.mapInPandas(sender, schema)
+    ledger.append(new, path, "message_key", batch_id)
+    return on_record(spark, path, schema)
+
+
+def on_record(spark, path, schema):
+    """One row per message that a sink has on record."""
+    return outcomes(ledger.rows(spark, absolute(path), schema))
+
+
+def absolute(path):
+    return path if "://" in path or path.startswith(("/", "file:")) else os.path.abspath(path)

@@ -69,10 +69,11 @@ def payloads(conversations):
 
 
 def mails(documents):
-    """A mail per document; its articles cycle through the document's sentences."""
+    """A mail per document with all its sentences, the last one finished or not, as
+    articles; up to six more begin again with the first."""
     i = F.col("doc_id")
-    found = F.regexp_extract_all("text", F.lit(dims.SENTENCE), 0)
     title = lambda s: F.trim(F.regexp_replace(s, rf"{SPACE}+", " "))
+    found = F.filter(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]*"), 0), lambda s: title(s) != "")
     seed = lambda s, k: F.struct(
         title(s).alias("title"),
         F.concat(F.lit("https://medium.com/@"), F.col("source"), F.lit("/doc"), i, F.lit("-"), k).alias("url"),
@@ -82,10 +83,10 @@ def mails(documents):
     shaped = documents.select(
         i.alias("email_id"),
         let(found, lambda f: F.when(F.size(f) > 0, F.transform(f, seed)).otherwise(spare)).alias("seeds"),
-        (i % 7 + 1).cast("int").alias("n_articles"), cycle(VARIANTS, i).alias("variant"),
+        F.greatest(F.size(found), F.lit(1)).alias("sentences"), cycle(VARIANTS, i).alias("variant"),
         cycle(["quoted-printable", "base64", "7bit"], F.floor(i / 6)).alias("encoding"),
     )
-    return newsletter_emails(shaped)
+    return newsletter_emails(shaped.withColumn("n_articles", (F.col("sentences") + F.col("email_id") % 7).cast("int")))
 
 
 def host_anchors(pages):

@@ -11,7 +11,7 @@ from newsmill.plans import flow
 from newsmill.session import run_dir, ship_package
 from newsmill.sources import events as ev
 from newsmill.sources import mime, pages as pg, payloads
-from newsmill.streaming import jobs
+from newsmill.streaming import jobs, notified
 
 QUERIES = {}
 
@@ -100,6 +100,23 @@ def stream_ingest(spark, sf_dir):
     return out.select("doc_id", "path", F.md5("text").alias("digest"), "reject_reason")
 
 
+@query("documents")
+def stream_objects(documents):
+    """Objects stored and notified in two rounds, the second one naming those of the
+    first again; the stream runs after each."""
+    spark = documents.sparkSession
+    records = ev.event_records(b.notifications(documents)).withColumnRenamed("event_id", "doc_id")
+    objects = records.join(b.raw_objects(documents), "doc_id")
+    root, log, out = (run_dir(spark, name) for name in ("store", "log", "taken"))
+    first = notified.store_objects(objects.where(b.every(2, "doc_id")), root)
+    notified.announce(first, log)
+    notified.ingest_notified(spark, log, root, out)
+    second = notified.store_objects(objects.where(~b.every(2, "doc_id")), root)
+    notified.announce(second.unionByName(spark.read.parquet(f"{log}/{0:012d}")), log)
+    taken = notified.ingest_notified(spark, log, root, out)
+    return taken.select("bucket", "key", F.length("text").alias("n"), F.md5("text").alias("digest"), "reject_reason")
+
+
 @stream_query
 def stream_dedup(spark, sf_dir):
     source = jobs.table_stream(spark, sf_dir, "events.parquet")
@@ -213,7 +230,7 @@ def section_links(documents):
 @query("documents")
 def link_title(documents):
     own = F.when(b.every(2, "doc_id"), "Read more").otherwise(F.col("text"))
-    up = F.concat(own, F.lit("\n by someone else entirely\n"), F.substr("text", F.lit(30)))
+    up = F.concat(own, F.lit("\n by someone else entirely\n"), "text")
     heads = [F.when(b.every(3, "doc_id"), "A heading above"), F.when(b.every(2, "doc_id"), "Another heading")]
     rows = documents.select("doc_id", own.alias("own"), F.when(b.every(5, "doc_id"), up).otherwise("short").alias("up"),
                             heads[0].alias("h1"), heads[1].alias("h2"))
@@ -374,6 +391,18 @@ def message_sink(documents):
     return messages.message_sink(good, folder).select("message_key", "url", F.md5("message").alias("digest"))
 
 
+@stream_query
+def stream_messages(spark, sf_dir):
+    """The same messages as a stream, delivered twice over by two runs."""
+    source = jobs.table_stream(spark, sf_dir, "documents.parquet")
+    good = messages.article_message(message_inputs(source)).where("message IS NOT NULL").select("url", "message")
+    folder = run_dir(spark, "messages")
+    for run in range(2):
+        jobs.stream_messages(good, f"{folder}/delivered", f"{folder}/state-{run}")
+    sent = messages.on_record(spark, f"{folder}/delivered", "message_key string, url string, message string")
+    return sent.select("message_key", "url", F.md5("message").alias("digest"))
+
+
 # --- runs ------------------------------------------------------------------------------------
 
 def run_items(documents):

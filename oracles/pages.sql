@@ -127,7 +127,7 @@ regexp_replace(x, '^[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x0b\x{1c}-\x{1f}\x{85}
 
 -- name: link_title
 WITH d AS (
-  SELECT doc_id, own, CASE WHEN doc_id % 5 = 0 THEN own || chr(10) || ' by someone else entirely' || chr(10) || substr(text, 30) ELSE 'short' END AS up,
+  SELECT doc_id, own, CASE WHEN doc_id % 5 = 0 THEN own || chr(10) || ' by someone else entirely' || chr(10) || text ELSE 'short' END AS up,
     CASE WHEN doc_id % 3 = 0 THEN 'A heading above' END AS h1, CASE WHEN doc_id % 2 = 0 THEN 'Another heading' END AS h2
   FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'Read more' ELSE text END AS own FROM documents)),
 g AS (SELECT *, CASE WHEN length(own) > 15 AND NOT regexp_matches(own, '(?i)^(read\s+more|continue\s+reading|view\s+story|medium\.com)$') THEN own ELSE '' END AS general_title FROM d)

@@ -48,6 +48,14 @@ SELECT doc_id, source || '/' || doc_id AS path, md5(text) AS digest,
   CASE WHEN NOT regexp_matches(text, '[^\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]') THEN 'blank' END AS reject_reason
 FROM documents
 
+-- name: stream_objects
+WITH n AS ({{notifications}}),
+r AS (SELECT event_id, source AS bucket, 'folder/' || event_id || ' ' || lang || ' ' || i || '.html' AS key FROM n, unnest(range(last + 1)) AS u(i) WHERE reason IS NULL),
+t AS (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN '  ' || chr(10) ELSE text END AS t FROM documents)
+SELECT bucket, key, length(t)::INTEGER AS n, md5(t) AS digest,
+  CASE WHEN NOT regexp_matches(t, '[^\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]') THEN 'blank' END AS reject_reason
+FROM r JOIN t ON doc_id = event_id
+
 -- name: stream_dedup
 SELECT event_id, user_id, event_type FROM events
 
@@ -61,13 +69,14 @@ q AS (
 SELECT conv_id, turn, md5(content) AS digest, reason AS reject_reason FROM q
 
 -- part: seeds
-SELECT doc_id AS email_id, source, doc_id % 6 AS kind,
-  ['articles','sections','none','malformed','long_title','unicode'][doc_id % 6 + 1] AS variant,
-  ['quoted-printable','base64','7bit'][(doc_id // 6) % 3 + 1] AS encoding,
-  CASE WHEN doc_id % 6 IN (2, 3) THEN 0 ELSE doc_id % 7 + 1 END AS n_articles,
-  list_transform(CASE WHEN len(s) > 0 THEN s ELSE ['A document without a full sentence.'] END,
-    lambda x: trim(regexp_replace(x, '[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))) AS seeds
-FROM (SELECT *, regexp_extract_all(text, '[^.!?]+[.!?]+') AS s FROM documents)
+SELECT *, CASE WHEN kind IN (2, 3) THEN 0 ELSE len(seeds) + email_id % 7 END AS n_articles
+FROM (
+  SELECT doc_id AS email_id, source, doc_id % 6 AS kind,
+    ['articles','sections','none','malformed','long_title','unicode'][doc_id % 6 + 1] AS variant,
+    ['quoted-printable','base64','7bit'][(doc_id // 6) % 3 + 1] AS encoding,
+    CASE WHEN len(s) > 0 THEN s ELSE ['A document without a full sentence.'] END AS seeds
+  FROM (SELECT *, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'),
+    lambda x: trim(regexp_replace(x, '[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents))
 
 -- part: mail_articles
 SELECT email_id, source, kind, variant, n_articles, i,

@@ -57,6 +57,9 @@ SELECT page_id, status, CASE WHEN status = 200 THEN 'ok' WHEN status IS NULL OR
 -- name: message_sink
 SELECT DISTINCT sha256(url || message) AS message_key, url, md5(message) AS digest FROM ({{made_messages}}) WHERE message IS NOT NULL
 
+-- name: stream_messages
+SELECT DISTINCT sha256(url || message) AS message_key, url, md5(message) AS digest FROM ({{made_messages}}) WHERE message IS NOT NULL
+
 -- name: run_outcome
 WITH i AS (SELECT source AS run_id, doc_id % 3 <> 0 AND source <> 'src3' AS f, doc_id % 4 <> 0 AS s, doc_id % 5 <> 0 AS d FROM documents),
 c AS (SELECT run_id, count(*) AS total_links, count(*) FILTER (WHERE f) AS fetched, count(*) FILTER (WHERE f AND s) AS summarised, count(*) FILTER (WHERE f AND s AND d) AS delivered FROM i GROUP BY run_id),

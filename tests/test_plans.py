@@ -6,7 +6,7 @@ import pytest
 
 from newsmill.plans.catalog import QUERIES
 
-STREAMS = {"stream_ingest", "stream_dedup", "stream_rate_windows", "message_sink"}
+STREAMS = {"stream_ingest", "stream_dedup", "stream_rate_windows", "message_sink", "stream_objects", "stream_messages"}
 PYTHON = {
     "mime_html_part", "html_nodes", "page_title", "page_content", "page_content_once", "page_article", "anchors", "section_links",
     "section_union_fallback", "article_flow", "article_flow_runs",
