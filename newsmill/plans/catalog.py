@@ -383,6 +383,23 @@ def delivery_class(pages):
     return messages.delivery_records(messages.delivery_class(answered(pages)))
 
 
+@query("pages")
+def webhook_rule(pages):
+    """Addresses that a message may be sent to."""
+    url = F.when(~b.every(7, "page_id"), F.col("url"))
+    return pages.select("page_id", messages.webhook_allowed(url, "https://").alias("allowed"))
+
+
+@query("documents")
+def article_input(documents):
+    """Articles as events, bare or wrapped, some without a member."""
+    i = F.col("doc_id")
+    members = F.struct(F.concat(F.lit("https://example.org/"), i).alias("url"), F.when(~b.every(3, "doc_id"), F.col("source")).alias("title"), F.col("text").alias("summary"))
+    doc = F.when(b.every(5, "doc_id"), F.to_json(F.struct(members.alias("article")))).when(b.every(7, "doc_id"), "[1]").otherwise(F.to_json(members))
+    out = messages.article_input(documents.select("doc_id", doc.alias("event_json")))
+    return out.select("doc_id", "url", "title", F.md5("summary").alias("digest"))
+
+
 @query("documents")
 def message_sink(documents):
     good = messages.article_message(message_inputs(documents)).where("message IS NOT NULL").select("url", "message")
@@ -509,6 +526,13 @@ def alert_format(events):
     return logs.alert_format(b.errors(events)).select("event_id", F.length("alert_text").alias("n"), F.md5("alert_text").alias("digest"))
 
 
+@query("events")
+def alert_payload(events):
+    """The chat message of every alert, with its text."""
+    alerts = logs.alert_format(logs.alert_feed(b.errors(events)))
+    return logs.alert_payload(alerts, "newsmill").select("event_id", "alert_severity", "payload")
+
+
 @query("events")
 def alert_suggestions(events):
     return logs.alert_suggestions(b.errors(events)).select("event_id", "suggestion")
@@ -532,6 +556,16 @@ def metrics_last(events):
     return logs.metrics_last(marks.select("run_id", "name", "value", "ts", "seq"))
 
 
+@query("events")
+def metrics_merge(events):
+    """Each event's metrics over those of a run, the event's own winning."""
+    base = F.create_map(F.lit("type"), "event_type", F.lit("user"), F.col("user_id").cast("string"))
+    own = F.when(b.every(3, "event_id"), F.create_map(F.lit("user"), F.lit("own"), F.lit("extra"), F.col("event_id").cast("string")))
+    maps = events.select("event_id", base.alias("base"), F.coalesce(own, F.create_map().cast("map<string,string>")).alias("own"))
+    entries = F.array_sort(F.map_entries(logs.merge_metrics("base", "own")))
+    return maps.select("event_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("merged"))
+
+
 @query("events")
 def error_rates(events):
     rows = logs.error_category(b.errors(events))
@@ -631,6 +665,16 @@ def rate_windows(events):
     return out.select(epoch("period_start").alias("period_start"), "n", r("per_second").alias("per_second"), "met_target")
 
 
+@query("events")
+def rate_profiles(events):
+    """Every load profile: windows of its length against its rate."""
+    out = None
+    for k, (seconds, rate) in enumerate(dims.RATE_PROFILES):
+        rows = perf.rate_windows(b.timed(events), period=f"{seconds} seconds", target_per_second=rate).withColumn("profile", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("profile", epoch("period_start").alias("period_start"), "n", r("per_second").alias("per_second"), "met_target")
+
+
 @stream_query
 def stream_rate_windows(spark, sf_dir):
     source = jobs.table_stream(spark, sf_dir, "events.parquet")

@@ -45,7 +45,7 @@ SELECT *, CASE category WHEN 'input_validation' THEN 'Check input data format an
 -- name: alert_suggestions
 SELECT event_id, suggestion FROM ({{suggestions}})
 
--- name: alert_format
+-- part: alert_texts
 WITH x AS (SELECT *, repeat('ab', (event_id % 80)::INTEGER) AS note FROM ({{suggestions}})),
 t AS (SELECT event_id, concat_ws(chr(10), '*Severity:* ' || severity, '*Message:* event ' || event_type,
   '*Error Type:* ' || error_type, CASE WHEN error_type IS NOT NULL THEN '*Error Details:* ' || error_message END,
@@ -54,7 +54,18 @@ t AS (SELECT event_id, concat_ws(chr(10), '*Severity:* ' || severity, '*Message:
   '*Timestamp:* ' || iso, '*Key Details:* Function Name: ' || event_type || ', Request Id: req-' || user_id,
   '*Additional Context:* Note: ' || CASE WHEN length(note) > 100 THEN left(note, 97) || '...' ELSE note END,
   CASE WHEN category IS NOT NULL THEN '*Suggested Actions:* ' || suggestion END) AS s FROM x)
-SELECT event_id, length(s)::INTEGER AS n, md5(s) AS digest FROM t
+SELECT event_id, s FROM t
+
+-- name: alert_format
+SELECT event_id, length(s)::INTEGER AS n, md5(s) AS digest FROM ({{alert_texts}})
+
+-- name: alert_payload
+WITH a AS (SELECT event_id, ts, CASE WHEN level = 'CRITICAL' THEN 'CRITICAL' ELSE severity END AS v FROM ({{errors}})
+  WHERE (level = 'CRITICAL' AND event_id % 4 <> 0) OR (level <> 'CRITICAL' AND event_id % 6 = 0))
+SELECT event_id, v AS alert_severity, '{"text":"' || CASE v WHEN 'CRITICAL' THEN '🚨' WHEN 'WARNING' THEN '⚡' ELSE '⚠️' END || ' ' || v || ' Alert - newsmill","attachments":[{"color":"'
+  || CASE v WHEN 'CRITICAL' THEN 'danger' WHEN 'WARNING' THEN 'good' ELSE 'warning' END || '","fields":[{"title":"Error Details","value":' || to_json(s)::VARCHAR
+  || ',"short":false}],"footer":"newsmill Admin Notifications","ts":' || floor(epoch(ts))::BIGINT || '}]}' AS payload
+FROM a JOIN ({{alert_texts}}) USING (event_id)
 
 -- part: marks
 SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS run_id, event_type AS name, ts, event_id AS seq, value, event_id FROM events
@@ -75,6 +86,9 @@ FROM p JOIN ({{days}}) USING (run_id) WHERE c IS NOT NULL
 -- name: metrics_last
 SELECT run_id, name, arg_max(value, (ts, seq)) AS value FROM ({{marks}}) GROUP BY run_id, name
 
+-- name: metrics_merge
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'extra=' || event_id || ';type=' || event_type || ';user=own' ELSE 'type=' || event_type || ';user=' || user_id END AS merged FROM events
+
 -- name: error_rates
 WITH c AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS period_start, error_category, count(*) AS n_errors FROM ({{categories}}) WHERE error_category IS NOT NULL GROUP BY ALL)
 SELECT *, round(n_errors / sum(n_errors) OVER (PARTITION BY period_start), 6) AS share FROM c

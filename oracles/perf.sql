@@ -83,6 +83,10 @@ SELECT test, total_uploads, ok_uploads, upload_errors, ok_runs, round(e, 6) AS e
 -- name: rate_windows
 SELECT epoch(date_trunc('hour', ts))::BIGINT AS period_start, count(*) AS n, round(count(*) / 3600, 6) AS per_second, count(*) / 3600 >= 0.004 AS met_target FROM events GROUP BY 1
 
+-- name: rate_profiles
+SELECT profile::INTEGER AS profile, (floor(epoch(ts))::BIGINT // s) * s AS period_start, count(*) AS n, round(count(*) / s::DOUBLE, 6) AS per_second, count(*) / s::DOUBLE >= rate AS met_target
+FROM events, (VALUES (0, 60::BIGINT, 2.0), (1, 30::BIGINT, 5.0), (2, 45::BIGINT, 3.0)) AS p(profile, s, rate) GROUP BY profile, s, rate, 2
+
 -- name: stream_rate_windows
 SELECT epoch(date_trunc('hour', ts))::BIGINT AS period_start, count(*) AS n FROM events GROUP BY 1
 

@@ -54,6 +54,14 @@ SELECT doc_id, '{"summary":"note ' || doc_id || ' ' || source || ' 🔗："}' AS
 SELECT page_id, status, CASE WHEN status = 200 THEN 'ok' WHEN status IS NULL OR status = 429 OR status >= 500 THEN 'retryable' ELSE 'fatal' END AS delivery,
   CASE WHEN status = 200 THEN 'ok' ELSE 'summary_success_slack_failed' END AS item_status FROM ({{statuses}})
 
+-- name: webhook_rule
+SELECT page_id, page_id % 7 <> 0 AND url IS NOT NULL AND starts_with(url, 'https://') AS allowed FROM pages
+
+-- name: article_input
+SELECT doc_id, CASE WHEN bare THEN '' ELSE 'https://example.org/' || doc_id END AS url, CASE WHEN bare OR doc_id % 3 = 0 THEN '' ELSE source END AS title,
+  md5(CASE WHEN bare THEN '' ELSE coalesce(text, '') END) AS digest
+FROM (SELECT *, doc_id % 5 <> 0 AND doc_id % 7 = 0 AS bare FROM documents)
+
 -- name: message_sink
 SELECT DISTINCT sha256(url || message) AS message_key, url, md5(message) AS digest FROM ({{made_messages}}) WHERE message IS NOT NULL
 
