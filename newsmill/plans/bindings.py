@@ -73,20 +73,18 @@ def mails(documents):
     articles; up to six more begin again with the first."""
     i = F.col("doc_id")
     title = lambda s: F.trim(F.regexp_replace(s, rf"{SPACE}+", " "))
-    found = F.filter(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]*"), 0), lambda s: title(s) != "")
     seed = lambda s, k: F.struct(
-        title(s).alias("title"),
-        F.concat(F.lit("https://medium.com/@"), F.col("source"), F.lit("/doc"), i, F.lit("-"), k).alias("url"),
-        title(s).alias("content"), F.concat(F.lit("Writer "), F.col("source")).alias("author"),
+        s.alias("title"), F.concat(F.lit("https://medium.com/@"), F.col("source"), F.lit("/doc"), i, F.lit("-"), k).alias("url"),
+        s.alias("content"), F.concat(F.lit("Writer "), F.col("source")).alias("author"),
     )
-    spare = F.array(seed(F.lit("A document without a full sentence."), F.lit(0)))
+    found = F.filter(F.transform(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]*"), 0), title), lambda s: s != "")
+    spare = F.array(F.lit("A document without a full sentence."))
+    sentences = let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(spare))
     shaped = documents.select(
-        i.alias("email_id"),
-        let(found, lambda f: F.when(F.size(f) > 0, F.transform(f, seed)).otherwise(spare)).alias("seeds"),
-        F.greatest(F.size(found), F.lit(1)).alias("sentences"), cycle(VARIANTS, i).alias("variant"),
+        i.alias("email_id"), let(sentences, lambda f: F.transform(f, seed)).alias("seeds"), cycle(VARIANTS, i).alias("variant"),
         cycle(["quoted-printable", "base64", "7bit"], F.floor(i / 6)).alias("encoding"),
     )
-    return newsletter_emails(shaped.withColumn("n_articles", (F.col("sentences") + F.col("email_id") % 7).cast("int")))
+    return newsletter_emails(shaped.withColumn("n_articles", (F.size("seeds") + F.col("email_id") % 7).cast("int")))
 
 
 def host_anchors(pages):
