@@ -118,3 +118,16 @@ def test_general_fallback(spark):
 def test_no_links(spark):
     assert found(spark, mail("<p>No articles today!</p>")) == []
     assert found(spark, None) == []
+
+
+def test_mails_hold_whole_texts(spark):
+    from newsmill.plans import bindings
+
+    texts = [". ".join(f"Sentence {i} of {n}" for i in range(n)) + " and no full stop" for n in (1, 40, 200)] + ["?!", ""]
+    docs = spark.createDataFrame([(6 * k, t, "src", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars int")
+    mails = {r.email_id: r for r in bindings.mails(docs).collect()}
+    for k, n in enumerate((1, 40, 200)):
+        found = mails[6 * k]
+        assert found.n_articles >= n and f"Sentence {n - 1} of {n} and no full stop" in found.html
+        assert all(f"Sentence {i} of {n}" in found.html for i in range(n))
+    assert "A document without a full sentence." in mails[24].html
