@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsmill import dims
 from newsmill.functions.frames import join_on
-from newsmill.functions.text import col, ratio, strip
+from newsmill.functions.text import SPACE, col, ratio
 from newsmill.operators.quantiles import exact_quantiles
 
 
@@ -239,17 +239,25 @@ def suite_report(df, suite="suite", category="category", ok="success", seconds="
     )
 
 
-def test_log_counts(df, output="output", strict=False):
-    """Counts from the first summary line of a test run's output.
+def _full_line(l):
+    return l.contains("passed") & (l.contains("failed") | l.contains("error") | l.contains("skipped"))
+
+
+def summary_line(output="output"):
+    """First line that names passed tests and others, or ends with "passed"."""
+    ends = rf"passed{SPACE}*\z"
+    lines = F.filter(F.split(col(output), "\n"), lambda l: l.contains("passed"))
+    return F.try_element_at(F.filter(lines, lambda l: _full_line(l) | l.rlike(ends)), F.lit(1))
+
+
+def test_log_counts(df, output="output", strict=False, line=None):
+    """Counts from the first summary line of a test run's output; ``line`` names a
+    column that holds this line already.
 
     ``strict`` keeps the whole-token rule, under which ``5 passed,`` with its
     comma is not counted.
     """
-    lines = F.split(col(output), "\n")
-    full = lambda l: l.contains("passed") & (l.contains("failed") | l.contains("error") | l.contains("skipped"))
-    simple = lambda l: strip(l).endswith("passed")
-    line = F.try_element_at(F.filter(lines, lambda l: full(l) | simple(l)), F.lit(1))
-    rows = df.withColumn("_line", line)
+    rows = df.withColumn("_line", summary_line(output) if line is None else col(line))
 
     def count(word):
         after = r"(?=\s|$)" if strict else r"\b"
@@ -260,7 +268,7 @@ def test_log_counts(df, output="output", strict=False):
     names = ["passed", "failed", "skipped", "error"]
     rows = rows.withColumns({f"tests_{n}": count(n) for n in names})
     # a bare "n passed" line says that nothing failed
-    only = simple(F.col("_line")) & ~full(F.col("_line"))
+    only = ~_full_line(F.col("_line"))
     rows = rows.withColumn("tests_failed", F.when(only & F.col("tests_passed").isNotNull(), F.lit(0)).otherwise(F.col("tests_failed")))
     total = F.col("tests_passed")
     for n in names[1:]:

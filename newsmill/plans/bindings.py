@@ -91,6 +91,15 @@ def host_anchors(pages):
     return anchors_native(pages.withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)), keep=("page_id", "host"))
 
 
+def host_rules(pages):
+    """Rules from the pages' own addresses: hosts with "www." or "-" are skipped by name,
+    and every host has a pattern that accepts its numbered pages with a query."""
+    host = pages.select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host")).where("host != ''").distinct()
+    skip = host.where(F.col("host").startswith("www.") | F.col("host").contains("-")).select(F.lit("skip").alias("kind"), F.concat(F.lit("//"), F.upper("host"), F.lit("/")).alias("name"))
+    accept = host.select(F.lit("accept").alias("kind"), F.concat("host", F.lit(r"/[a-z]{2}/\d+\?")).alias("name"))
+    return skip.unionByName(accept).select("kind", F.col("name").alias("rule"), F.regexp_replace("name", r"(?<!\\)\.", r"\\.").alias("pattern"))
+
+
 def timed(events):
     """Events with real timestamps, a level 1..5 and a stop time."""
     ts = F.col("ts").cast("timestamp")

@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from newsmill import dims
 from newsmill.functions.text import clean_text, ratio, title_words
 from newsmill.functions.urls import canonical_url, host_of
-from newsmill.operators import articles, lifecycle, links, logs, messages, perf, retries, runs, summaries
+from newsmill.operators import articles, lifecycle, links, logs, messages, perf, retries, rules, runs, structure, summaries
 from newsmill.plans import bindings as b
 from newsmill.plans import flow
 from newsmill.session import run_dir, ship_package
 from newsmill.sources import events as ev
 from newsmill.sources import mime, pages as pg, payloads
-from newsmill.streaming import jobs, notified
+from newsmill.streaming import jobs, monitor, notified
 
 QUERIES = {}
 
@@ -146,6 +146,9 @@ def mime_html_part(documents):
 
 # --- pages ----------------------------------------------------------------------
 
+NODE_ANCESTORS = ["html", "head", "body", "nav", "ul", "li", "article", "div", "footer", "p"]
+
+
 @query("pages")
 def html_nodes(pages):
     nodes = pg.html_nodes(pages, tags=["p", "a", "li", "h1"])
@@ -154,6 +157,12 @@ def html_nodes(pages):
     return nodes.groupBy("page_id").agg(*[count(t) for t in ("p", "a", "li", "h1")], heading)
 
 
+@query("pages")
+def node_pairs(pages):
+    nodes = pg.html_nodes(pages.select("page_id", "html"))
+    return structure.descendants(nodes, NODE_ANCESTORS, ["p", "a", "li", "h1", "b"], presorted=True)
+
+
 @query("pages")
 def strip_boilerplate(pages):
     out = articles.strip_boilerplate("html")
@@ -208,6 +217,17 @@ def link_filter(pages):
     return links.link_filter(pages, skip=PAGE_SKIP, accept=PAGE_ACCEPT).select("page_id", "url")
 
 
+@query("pages")
+def link_rules(pages):
+    """A rule table as large as the pages have hosts: names of sites, and one pattern each."""
+    return rules.link_rules(pages, b.host_rules(pages))
+
+
+@query("pages")
+def link_filter_by_table(pages):
+    return rules.link_filter_by_table(pages, b.host_rules(pages))
+
+
 @query("pages")
 def url_canonicalize(pages):
     bare = F.substring_index("url", "#", 1)
@@ -621,6 +641,14 @@ def execution_monitor(events):
     return rounded(out, *[c for c in out.columns if c.endswith("_seconds") or c == "success_rate"])
 
 
+@stream_query
+def stream_execution_monitor(spark, sf_dir):
+    """Each state of an execution in three polls that overlap."""
+    polls = b.executions(jobs.table_stream(spark, sf_dir, "events.parquet")).withColumn("poll", F.explode(F.array(*map(F.lit, range(3))))).drop("poll")
+    out = monitor.stream_execution_monitor(polls, "2024-01-10 00:00:00", ["test"])
+    return rounded(out, "mean_seconds", "min_seconds", "max_seconds", "stdev_seconds", "median_seconds", "success_rate")
+
+
 @query("events")
 def execution_monitor_overall(events):
     out = perf.execution_monitor(b.executions(events), "2024-01-10 00:00:00", [])
@@ -723,10 +751,10 @@ def test_log_counts(lineitem):
     n = lambda c: F.col(c).cast("int").cast("string")
     full = F.concat(n("l_quantity"), F.lit(" passed, "), n("l_linenumber"), F.lit(" failed, "), F.col("l_suppkey") % 7, F.lit(" skipped in 1.5s"))
     line = F.when(b.every(3, "l_partkey"), full).when(b.every(3, "l_partkey", 1), F.concat(n("l_quantity"), F.lit(" passed"), b.cycle(["", "\r", "\t "], F.col("l_suppkey")))).otherwise("no summary")
-    rows = lineitem.select(F.concat(F.lit("collected\n"), line, F.lit("\ndone")).alias("output"))
+    rows = lineitem.select(perf.summary_line(F.concat(F.lit("collected\n"), line, F.lit("\ndone"))).alias("line"))
     kinds = ["tests_passed", "tests_failed", "tests_skipped", "tests_run"]
     named = lambda df, mode: df.withColumnsRenamed({k: f"{mode}_{k}" for k in [*kinds, "tests_error"]})
-    both = named(perf.test_log_counts(named(perf.test_log_counts(rows), "tolerant"), strict=True), "strict")
+    both = named(perf.test_log_counts(named(perf.test_log_counts(rows, line="line"), "tolerant"), line="line", strict=True), "strict")
     modes = ["tolerant", "strict"]
     sums = both.agg(*[F.sum(f"{m}_{k}").alias(f"{m}_{k}") for m in modes for k in kinds])
     return sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), *[F.col(f"{m}_{k}").alias(k) for k in kinds]) for m in modes])))

@@ -7,6 +7,21 @@ SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n_p, len(regexp_extract_
   (SELECT {{text_of}} FROM (SELECT trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS x)) AS heading
 FROM pages
 
+-- part: all_tokens
+SELECT page_id, i, regexp_extract(tok, '^</?([a-z0-9]+)', 1) AS tag, tok NOT LIKE '</%' AS opens
+FROM (SELECT page_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS tok FROM (
+  SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(script|style)>).*?</', '\1</', 'g'), '</?[a-z][^>]*>') AS t FROM pages))
+
+-- name: node_pairs
+WITH t AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, tag ORDER BY i) AS depth,
+    sum(opens::INTEGER) OVER (PARTITION BY page_id ORDER BY i) - 1 AS node_id FROM ({{all_tokens}})),
+own AS (SELECT o.page_id, o.i, o.tag, o.node_id, coalesce(min(c.i), 1000000000) AS e FROM t o
+  LEFT JOIN t c ON c.page_id = o.page_id AND c.tag = o.tag AND NOT c.opens AND c.i > o.i AND c.depth < o.depth
+  WHERE o.opens AND o.tag IN ('html', 'head', 'body', 'nav', 'ul', 'li', 'article', 'div', 'footer', 'p') GROUP BY ALL),
+a AS (SELECT o.page_id, o.i, o.tag, o.node_id, min(w.e) AS e FROM own o JOIN own w ON w.page_id = o.page_id AND w.i <= o.i AND w.e > o.i GROUP BY ALL)
+SELECT a.page_id, a.node_id::INTEGER AS ancestor_id, a.tag AS ancestor_tag, d.node_id::INTEGER AS node_id, d.tag AS tag
+FROM a JOIN t d ON d.page_id = a.page_id AND d.opens AND d.i > a.i AND d.i < a.e AND d.tag IN ('p', 'a', 'li', 'h1', 'b')
+
 -- name: strip_boilerplate
 WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
   '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?is)<nav\b.*?</nav>', '', 'g'),
@@ -93,6 +108,21 @@ WHERE rn = 1
 SELECT page_id, url FROM pages
 WHERE NOT regexp_matches(url, '(?i)cheap-pills|spam-farm|\.html$') AND regexp_matches(url, '(?i)/[a-z]{2}/\d+')
 
+-- part: host_rules
+SELECT 'skip' AS kind, '//' || upper(host) || '/' AS rule, host FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)
+WHERE host <> '' AND (starts_with(host, 'www.') OR contains(host, '-'))
+UNION ALL SELECT 'accept', host || '/[a-z]{2}/\d+\?', host FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) WHERE host <> ''
+
+-- part: ruled
+SELECT page_id, url, (SELECT min(rule) FROM r WHERE kind = 'skip' AND contains(lower(url), '//' || lower(host) || '/')) AS skip_rule,
+  (SELECT min(rule) FROM r WHERE kind = 'accept' AND regexp_matches(url, '(?i)' || replace(host, '.', '\.') || '/[a-z]{2}/\d+\?')) AS accept_rule FROM pages
+
+-- name: link_rules
+WITH r AS ({{host_rules}}) {{ruled}}
+
+-- name: link_filter_by_table
+WITH r AS ({{host_rules}}) SELECT page_id, url FROM ({{ruled}}) WHERE skip_rule IS NULL AND accept_rule IS NOT NULL
+
 -- part: canonical
 SELECT k, head || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url FROM (
   SELECT k, head, array_to_string(list_transform(list_filter(range(1, len(ks) + 1), lambda i: list_position(ks, ks[i]) = i),
