@@ -3,7 +3,8 @@
 A page is cut into text blocks at block-level tags. A block is told by its word count
 and link density, those of its two neighbours, whether it stands in an article or in a
 part of a page that is no article by its tag, role or class, and whether it is a
-heading. A decision tree, grown here from the labelled blocks below, says which blocks
+heading. A class, id or role tells nothing of a container that holds most of a page's
+words outside links while no article stands beside it: that is a wrapper of the page. A decision tree, grown here from the labelled blocks below, says which blocks
 are kept. One pass over each page, no shuffle.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from newsmill.llm import arrays as A
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:[!?/][^>]*>|[a-zA-Z/!?][^<>]*\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:[!?/][^>]*>|[a-zA-Z/!?][^<>]*\Z)", re.S | re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -24,7 +25,10 @@ OUTSIDE = set("nav footer aside form menu dialog head".split())
 ARTICLE = set("article main".split())
 HEADINGS = {f"h{i}" for i in range(1, 7)}
 # parts of class, id and role names that tell what a container is for
-HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|subscribe|newsletter|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|related|recommend\w*|share|sharing|social|footer|foot|header|masthead|comments?|replies|respond|disqus|pagination|pager|toolbar|navigation|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|subscribe|newsletter|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|related|recommend\w*|share|sharing|social|footer|foot|header|masthead|comments?|replies|respond|disqus|pagination|pager|toolbar|navigation|complementary|contentinfo|search)(?=$|[\s_-])", re.I)
+
+# of these, what is never a wrapper of the whole page
+READERS = re.compile(r"comment|repl|respond|disqus", re.I)
 
 # labelled blocks: words, link density, the same of the block before and after,
 # in an article, in another part, heading -> main text
@@ -130,20 +134,33 @@ def decide(tree, x):
     return out
 
 
-def aside(name, attributes):
-    if name in OUTSIDE:
-        return True
+def hinted(name, attributes):
+    """What a container's class, id or role says: 0 nothing, 1 no article, 2 comments."""
     if name in ("body", "html") or name in ARTICLE or "=" not in attributes:
-        return False
-    return any(HINTS.search(v.strip("\"'")) for v in NAMED.findall(attributes))
+        return 0
+    hints = [h for v in NAMED.findall(attributes) for h in HINTS.findall(v.strip("\"'"))]
+    return 2 if any(map(READERS.search, hints)) else 1 if hints else 0
+
+
+def wrappers(found, around):
+    """Hinted containers that wrap the page: more than half of its words outside links,
+    and no block in an article beside them."""
+    free = [b[1] - b[2] for b in found]
+    held, articles = {}, {}
+    for words, block, inside in zip(free, found, around):
+        for c in inside:
+            held[c] = held.get(c, 0) + words
+            articles[c] = articles.get(c, 0) + block[3]
+    all_articles = sum(b[3] for b in found)
+    return {c for c, n in held.items() if 2 * n > sum(free) and articles[c] == all_articles}
 
 
 def text_blocks(page):
     """[(text, words, words in links, in an article, in another part, heading)]."""
-    found, parts, link_words = [], [], 0
-    # open elements: (name, in an article, in another part, heading)
-    stack, state = [], (False, False, False)
-    links, at = 0, 0
+    found, around, parts, link_words = [], [], [], 0
+    # open elements: (name, in an article, in another part, heading, hinted containers)
+    stack, state = [], (False, False, False, ())
+    links, at, containers = 0, 0, 0
 
     def text(raw):
         nonlocal link_words
@@ -157,7 +174,8 @@ def text_blocks(page):
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
-                found.append((" ".join(words), len(words), min(link_words, len(words)), *state))
+                found.append((" ".join(words), len(words), min(link_words, len(words)), *state[:3]))
+                around.append(state[3])
         parts, link_words = [], 0
 
     for m in TOKEN.finditer(page):
@@ -184,15 +202,21 @@ def text_blocks(page):
         elif name not in VOID and not m[4].endswith("/"):
             if stack and stack[-1][0] == "p":
                 stack.pop()  # a block ends an open paragraph
-            before = stack[-1][1:] if stack else (False, False, False)
+            before = stack[-1][1:] if stack else (False, False, False, ())
             inside = before[0] or name in ARTICLE
             page_header = name == "header" and not inside
-            other = (before[1] and name not in ARTICLE) or page_header or aside(name, m[4])
-            stack.append((name, inside, other, before[2] or name in HEADINGS))
-        state = stack[-1][1:] if stack else (False, False, False)
+            hint = hinted(name, m[4])
+            other = (before[1] and name not in ARTICLE) or page_header or name in OUTSIDE or hint == 2
+            outer = () if name in ARTICLE else before[3]
+            if hint == 1:
+                containers += 1
+                outer = (*outer, containers)
+            stack.append((name, inside, other, before[2] or name in HEADINGS, outer))
+        state = stack[-1][1:] if stack else (False, False, False, ())
     text(page[at:])
     close()
-    return found
+    plain = wrappers(found, around)
+    return [(*b[:4], b[4] or any(c not in plain for c in inside), b[5]) for b, inside in zip(found, around)]
 
 
 def features(blocks):

@@ -34,6 +34,28 @@ def test_page_without_landmarks():
     assert text(page).splitlines() == ["Title here", long.strip(), long.strip()]
 
 
+PARAGRAPHS = ["This is the first of two long paragraphs " + "of an article " * 12, "And the second one goes on for as long " + "as the first did " * 10]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+WANT = "\n".join(p.strip() for p in PARAGRAPHS)
+
+
+def test_self_closed_svg_holds_nothing():
+    assert text(f"<body><div><svg class='a>b'/>{BODY}</div></body>") == WANT
+    assert text(f"<body><div><svg viewBox=1><text>no</text></svg>{BODY}</div></body>") == WANT
+
+
+def test_hint_on_a_wrapper_of_the_page():
+    for named in ('class="page has-sidebar side"', 'id="search-results"', "role=search", 'class="side-by-side"'):
+        assert text(f"<body><div {named}><ul class=menu><li><a href=1>Home</a></li></ul><div>{BODY}</div></div></body>") == WANT
+
+
+def test_hint_beside_an_article_or_on_comments():
+    assert text(f"<body><article><p>A short one.</p></article><div class=sidebar>{BODY}</div></body>") == "A short one."
+    assert text(f"<body><div><p>{'word ' * 30}</p></div><div id=comments>{BODY * 3}</div></body>") == ("word " * 30).strip()
+    assert H.hinted("div", 'class="sidebar comments"') == 2 and H.hinted("div", "class=outside") == 0
+    assert text(f"<body><div>{BODY}</div><div class=promo><p>{'Buy this now or never. ' * 4}</p></div></body>") == WANT
+
+
 def test_given_pages(spark):
     """Brute force for pages of this make: what stands in the article element."""
     df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
