@@ -60,14 +60,15 @@ def execution_changes(polls, id="execution_id", status="status", order="seq", lo
             state.remove()
             return
         seen, final = state.get if state.exists else (None, False)
-        best = None
+        best, news = None, seen
         for frame in frames:
-            row = frame.loc[[frame[order].idxmax()]]
-            if best is None or row[order].iloc[0] > best[order].iloc[0]:
-                best = row
-        if seen is None or best[order].iloc[0] > seen:
-            seen, final = int(best[order].iloc[0]), bool(best[status].iloc[0] != RUNNING)
-            state.update((seen, final))
+            row = frame if len(frame) == 1 else frame.loc[[frame[order].idxmax()]]
+            at = int(row[order].iloc[0])
+            if news is None or at > news:
+                best, news = row, at
+        if best is not None:
+            final = bool(best[status].iloc[0] != RUNNING)
+            state.update((news, final))
             yield best[columns]
         if final:  # set anew at each poll: a timer does not outlive a call
             state.setTimeoutDuration(max(1, int(look_back * 1000)))
