@@ -29,7 +29,11 @@ def next_in_order(df, keys, ts, tie, bucket_days=1):
 def retention_plan(df, as_of, key="key", version="version", ts="modified_ts"):
     """Adds ``is_current``, ``next_ts`` and ``action``: a current version older than
     30 days expires; a noncurrent one is deleted 7 days after it was replaced."""
-    rows = next_in_order(df, [key], ts, version)
+    return plan_actions(next_in_order(df, [key], ts, version), as_of, ts)
+
+
+def plan_actions(rows, as_of, ts="modified_ts"):
+    """``is_current`` and ``action`` of versions that know their ``next_ts``."""
     now = F.lit(as_of).cast("timestamp")
     age = lambda t: (F.unix_micros(now) - F.unix_micros(t.cast("timestamp"))) / F.lit(86400.0 * 1e6)
     current = F.col("next_ts").isNull()

@@ -100,6 +100,15 @@ def execution_monitor(df, since, by, id="execution_id", status="status", start="
     return out.withColumn("success_rate", ratio("succeeded", "total"))
 
 
+def instants(df, by, start, stop, bucket_seconds):
+    """Net change of open intervals per group and instant, with the instant's bucket."""
+    at = lambda c, d: F.struct(F.unix_micros(col(c)).alias("t"), F.lit(d).alias("d"))
+    edges = F.explode(F.array(at(start, 1), at(stop, -1))).alias("e")
+    points = df.where(col(start).isNotNull()).select(*by, edges).where("e.t IS NOT NULL")
+    points = points.groupBy(*by, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"))
+    return points.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_seconds * 1000000)).cast("long"))
+
+
 def max_concurrent(df, by=(), start="start_ts", stop="stop_ts", bucket_seconds=60):
     """Exact peak number of half-open intervals open at once, per group.
 
@@ -110,11 +119,7 @@ def max_concurrent(df, by=(), start="start_ts", stop="stop_ts", bucket_seconds=6
     buckets.
     """
     by = list(by)
-    at = lambda c, d: F.struct(F.unix_micros(col(c)).alias("t"), F.lit(d).alias("d"))
-    edges = F.explode(F.array(at(start, 1), at(stop, -1))).alias("e")
-    points = df.where(col(start).isNotNull()).select(*by, edges).where("e.t IS NOT NULL")
-    points = points.groupBy(*by, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"))
-    points = points.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_seconds * 1000000)).cast("long"))
+    points = instants(df, by, start, stop, bucket_seconds)
     buckets = points.groupBy(*by, "bucket").agg(F.sum("d").alias("bd"))
     earlier = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     opening = buckets.select(*by, "bucket", F.coalesce(F.sum("bd").over(earlier), F.lit(0)).alias("opening"))

@@ -7,6 +7,56 @@ from newsmill.functions.frames import join_on
 from newsmill.functions.text import col
 
 ACCURACY = 10000
+# cuts of the second narrowing: a slice is divided into about so many parts
+PARTS = 256
+
+
+def _ranks(positions):
+    return [f(p).cast("long") for p in positions for f in (F.floor, F.ceil)]
+
+
+def _any_inside(ranks, first, size):
+    wanted = F.lit(False)
+    for r in ranks:
+        wanted = wanted | ((r >= first) & (r < first + size))
+    return wanted
+
+
+def pick_ranks(counted, by, positions):
+    """One row per group: its columns and the value at each of ``{name: position}``, where
+    a position is a fraction between two ranks from 0 and the same in all rows of a group.
+
+    ``counted`` has distinct values ``_v`` and their counts ``_c`` in slices ``_b``, each
+    with the rank ``_before`` of its first value. A slice is cut once more: even cuts of
+    its distinct values, counts between the cuts, running totals over the few parts, and
+    only parts with a wanted rank are ranked. Equal values are one row, so a hot value
+    weighs nothing. A task ranks about one part in PARTS of a slice; the cuts decide how
+    little that is, never the result.
+    """
+    by = list(by)
+    slices = [*by, "_b"]
+    probes = [k / PARTS for k in range(1, PARTS)]
+    cuts = counted.groupBy(*slices).agg(F.percentile_approx("_v", probes, ACCURACY).alias("_cuts"))
+    parts = join_on(counted, cuts, slices).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    at = {name: f"_p_{name}" for name in positions}
+    firsts = [F.first(p).alias(at[name]) for name, p in positions.items()]
+    sizes = parts.groupBy(*slices, "_part").agg(F.sum("_c").alias("_size"), F.first("_before").alias("_lead"), *firsts)
+    running = F.sum("_size").over(W.partitionBy(*slices).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_first", F.col("_lead") + F.coalesce(running, F.lit(0)))
+    ranks = _ranks([F.col(c) for c in at.values()])
+    sizes = sizes.where(_any_inside(ranks, F.col("_first"), F.col("_size"))).select(*slices, "_part", "_first", *at.values())
+
+    upto = F.sum("_c").over(W.partitionBy(*slices, "_part").orderBy("_v")) + F.col("_first")
+    ranked = join_on(parts.select(*slices, "_part", "_v", "_c"), sizes, [*slices, "_part"]).withColumn("_upto", upto)
+    ranked = ranked.withColumn("_from", F.col("_upto") - F.col("_c"))
+    holding = lambda r: F.max(F.when((r >= F.col("_from")) & (r < F.col("_upto")), F.col("_v")))
+    picks, outs = [], []
+    for name, p in ((name, F.col(c)) for name, c in at.items()):
+        lo, hi = F.floor(p).cast("long"), F.ceil(p).cast("long")
+        picks += [holding(lo).alias(f"_lo_{name}"), holding(hi).alias(f"_hi_{name}"), F.max(p - F.floor(p)).alias(f"_f_{name}")]
+        a, z = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        outs.append(F.when(a == z, a).otherwise(a + (z - a) * F.col(f"_f_{name}")).alias(name))  # equal infinite ones too
+    return ranked.groupBy(*by).agg(*picks).select(*by, *outs)
 
 
 def exact_quantiles(df, by, value, quantiles):
@@ -15,7 +65,10 @@ def exact_quantiles(df, by, value, quantiles):
     The built-in exact percentile keeps a whole group's values in one task. Here
     a mergeable sketch proposes cut points just around each quantile, exact
     counts say between which cuts the wanted rank lies, and only those few
-    values are ranked. The sketch decides how little is ranked, never the result.
+    values are ranked, in parts (``pick_ranks``). The sketch decides how little is
+    ranked, never the result. A slice is about 4 in ACCURACY of a group's distinct
+    values and a part one in PARTS of that: of 10^12 distinct values of a group a task
+    ranks some 1.6 million, of 10^9 some 1,600.
     Equal values are counted first, so a hot value is one row.
     """
     by, v = list(by), col(value).cast("double")
@@ -29,22 +82,9 @@ def exact_quantiles(df, by, value, quantiles):
     placed = join_on(counted, cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
 
     # exact rank of the first value of every slice: a handful of rows per group
-    slices = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n"))
+    slices = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_all"))
     before = F.coalesce(F.sum("_size").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     slices = slices.withColumn("_before", before)
-    position = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
-    ranks = [f(p).cast("long") for p in position.values() for f in (F.floor, F.ceil)]
-    wanted = F.lit(False)
-    for r in ranks:
-        wanted = wanted | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))
-    wanted = slices.where(wanted).select(*by, "_b", "_before")
-
-    upto = F.sum("_c").over(W.partitionBy(*by, "_b").orderBy("_v")) + F.col("_before")
-    ranked = join_on(placed, wanted, [*by, "_b"]).withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
-    at = lambda r: F.max(F.when((r >= F.col("_from")) & (r < F.col("_upto")), F.col("_v")))
-    picks, outs = [], []
-    for name, p in position.items():
-        lo, hi = F.floor(p).cast("long"), F.ceil(p).cast("long")
-        picks += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(p - F.floor(p)).alias(f"_f_{name}")]
-        outs.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")).alias(name))
-    return ranked.groupBy(*by).agg(*picks).select(*by, *outs)
+    at = lambda n: {name: (F.col(n) - 1) * F.lit(float(q)) for name, q in quantiles.items()}
+    wanted = slices.where(_any_inside(_ranks(at("_all").values()), F.col("_before"), F.col("_size"))).select(*by, "_b", "_before")
+    return pick_ranks(join_on(placed, wanted, [*by, "_b"]), by, at("_n"))

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from newsmill import dims
 from newsmill.functions.text import clean_text, ratio, title_words
 from newsmill.functions.urls import canonical_url, host_of
-from newsmill.operators import articles, lifecycle, links, logs, messages, perf, retries, rules, runs, structure, summaries
+from newsmill.operators import articles, lifecycle, links, logs, messages, perf, retries, rules, runs, structure, summaries, toplists
 from newsmill.plans import bindings as b
 from newsmill.plans import flow
 from newsmill.session import run_dir, ship_package
 from newsmill.sources import events as ev
-from newsmill.sources import mime, pages as pg, payloads
+from newsmill.sources import concurrency, history, mime, pages as pg, payloads, versions as kept_versions
 from newsmill.streaming import jobs, monitor, notified
 
 QUERIES = {}
@@ -593,6 +593,15 @@ def error_rates(events):
     return out.select(epoch("period_start").alias("period_start"), "error_category", "n_errors", r("share").alias("share"))
 
 
+@query("events")
+def top_errors(events):
+    """The five most frequent messages of every day and category."""
+    rows = logs.error_category(b.errors(events)).where("error_category IS NOT NULL")
+    named = rows.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "error_category", F.col("event_type").alias("function"),
+                        F.concat(F.lit("user "), F.col("user_id") % 50, F.lit(": "), "error_message").alias("message"))
+    return toplists.top_items(named, ["day", "error_category"], ["function", "message"], 5)
+
+
 # --- analytics ---------------------------------------------------------------------------------
 
 def rounded(df, *names):
@@ -665,6 +674,16 @@ def max_concurrent_overall(events):
     return perf.max_concurrent(b.timed(events))
 
 
+@query("events")
+def concurrency_history(events):
+    """Peaks by day, from three batches that all touch the same days."""
+    rows = b.timed(events).select("event_id", "event_type", "start_ts", "stop_ts")
+    folder = run_dir(events.sparkSession, "concurrency")
+    for k in range(3):
+        concurrency.add(rows.where(b.every(3, "event_id", k)), folder, k, ["event_type"])
+    return concurrency.by_day(events.sparkSession, folder)
+
+
 @query("events")
 def concurrency_stats(events):
     return rounded(perf.concurrency_stats(b.executions(events), ["test"]), "efficiency", "mean_seconds", "duration_stddev")
@@ -777,6 +796,19 @@ def latency_percentiles_overall(events):
     return rounded(perf.latency_percentiles(events, [], "value"), "p50", "p90", "p95", "p99")
 
 
+@query("events")
+def latency_history(events):
+    """Percentiles of all days and of a week, from three batches of stored values."""
+    rows = events.select("event_id", "event_type", "ts", "value")
+    folder, points, out = run_dir(events.sparkSession, "latency"), {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, None
+    for k in range(3):
+        history.add(rows.where(b.every(3, "event_id", k)), folder, k, ["event_type"], "value")
+    for span, edges in {"all": (), "week": ("2024-01-08", "2024-01-15")}.items():
+        part = history.stored_quantiles(events.sparkSession, folder, points, *edges).withColumn("span", F.lit(span))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, *points)
+
+
 @query("lineitem")
 def price_percentiles(lineitem):
     return rounded(perf.latency_percentiles(lineitem, ["l_returnflag"], "l_extendedprice"), "p50", "p90", "p95", "p99")
@@ -799,6 +831,16 @@ def latest_version(orders):
     return lifecycle.latest_version(versions(orders)).select("key", "version", epoch("modified_ts").alias("modified_ts"))
 
 
+@query("orders")
+def version_history(orders):
+    """The retention plan after three batches of versions."""
+    folder = run_dir(orders.sparkSession, "versions")
+    for k in range(3):
+        kept_versions.add(versions(orders.where(b.every(3, "o_orderkey", k))), folder, k)
+    out = kept_versions.plan(orders.sparkSession, folder, "2001-06-01 00:00:00")
+    return out.select("key", "version", "is_current", epoch("next_ts").alias("next_ts"), "action")
+
+
 @query("part")
 def type_rollup(part):
     return lifecycle.type_rollup(part, "p_type", ("p_name", "p_partkey"))

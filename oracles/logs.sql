@@ -92,3 +92,8 @@ SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'extra=' || event_id || ';type=
 -- name: error_rates
 WITH c AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS period_start, error_category, count(*) AS n_errors FROM ({{categories}}) WHERE error_category IS NOT NULL GROUP BY ALL)
 SELECT *, round(n_errors / sum(n_errors) OVER (PARTITION BY period_start), 6) AS share FROM c
+
+-- name: top_errors
+WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, error_category, event_type AS function, 'user ' || user_id % 50 || ': ' || error_message AS message, count(*) AS n
+  FROM ({{categories}}) WHERE error_category IS NOT NULL GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY day, error_category ORDER BY n DESC, function, message)::INTEGER AS rank FROM c QUALIFY rank <= 5

@@ -60,6 +60,11 @@ SELECT event_type, max(r)::BIGINT AS max_concurrent FROM (SELECT event_type, sum
 -- name: max_concurrent_overall
 SELECT max(r)::BIGINT AS max_concurrent FROM (SELECT sum(d) OVER (ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT a AS t, 1 AS d FROM ({{timed}}) UNION ALL SELECT z, -1 FROM ({{timed}})))
 
+-- name: concurrency_history
+WITH c AS (SELECT event_type, t, sum(d) AS d FROM (SELECT event_type, a AS t, 1 AS d FROM ({{timed}}) UNION ALL SELECT event_type, z, -1 FROM ({{timed}})) GROUP BY event_type, t),
+r AS (SELECT event_type, make_timestamp(t)::DATE AS day, t, d, sum(d) OVER (PARTITION BY event_type ORDER BY t) AS r FROM c)
+SELECT event_type, day, arg_min(r - d, t)::BIGINT AS opening, greatest(0, arg_min(r - d, t), max(r))::BIGINT AS max_concurrent FROM r GROUP BY event_type, day
+
 -- name: concurrency_stats
 WITH f AS ({{final_executions}}),
 p AS (SELECT test, max(r)::BIGINT AS max_concurrent FROM (SELECT test, sum(d) OVER (PARTITION BY test ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS r
@@ -145,6 +150,21 @@ SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.
 -- name: price_percentiles
 SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY l_returnflag
 
+-- name: latency_history
+{{span_all}} UNION ALL {{span_week}}
+
+-- part: span_all
+SELECT 'all' AS span, event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type
+
+-- part: span_week
+SELECT 'week' AS span, event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
+FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' GROUP BY event_type
+
+-- name: version_history
+WITH v AS (SELECT o_custkey AS key, o_orderkey AS version, o_orderdate AS m, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders)
+SELECT key, version, nx IS NULL AS is_current, epoch(nx)::BIGINT AS next_ts,
+  CASE WHEN nx IS NULL AND m < TIMESTAMP '2001-06-01' - INTERVAL 30 DAY THEN 'expire' WHEN nx < TIMESTAMP '2001-06-01' - INTERVAL 7 DAY THEN 'delete' ELSE 'keep' END AS action FROM v
+
 -- name: retention_plan
 WITH v AS (SELECT o_custkey AS key, o_orderkey AS version, o_orderdate AS m, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders)
 SELECT key, version, nx IS NULL AS is_current, epoch(nx)::BIGINT AS next_ts,
