@@ -290,10 +290,11 @@ def report_rows(summary, test="test", level="level", figures=("success_rate", "t
     return summary.groupBy(test).agg(top).select(test, "t.*")
 
 
-def latency_percentiles(df, by, seconds="seconds", exact=True):
-    """p50, p90, p95, p99 per group; ``exact=False`` uses the mergeable sketch."""
+def latency_percentiles(df, by, seconds="seconds", exact=True, parts=1):
+    """p50, p90, p95, p99 per group; ``exact=False`` uses the mergeable sketch, ``parts``
+    is for groups of over 10^9 values (``exact_quantiles``)."""
     points = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     if exact:
-        return exact_quantiles(df, by, seconds, points)
+        return exact_quantiles(df, by, seconds, points, parts)
     sketch = F.percentile_approx(seconds, list(points.values()), 10000).alias("p")
     return df.groupBy(*by).agg(sketch).select(*by, *[F.col("p")[i].alias(n) for i, n in enumerate(points)])

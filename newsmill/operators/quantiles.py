@@ -7,7 +7,7 @@ from newsmill.functions.frames import join_on
 from newsmill.functions.text import col
 
 ACCURACY = 10000
-# cuts of the second narrowing: a slice is divided into about so many parts
+# the second narrowing divides a slice into about so many parts
 PARTS = 256
 
 
@@ -22,7 +22,7 @@ def _any_inside(ranks, first, size):
     return wanted
 
 
-def pick_ranks(counted, by, positions):
+def pick_ranks(counted, by, positions, parts=PARTS):
     """One row per group: its columns and the value at each of ``{name: position}``, where
     a position is a fraction between two ranks from 0 and the same in all rows of a group.
 
@@ -30,25 +30,28 @@ def pick_ranks(counted, by, positions):
     with the rank ``_before`` of its first value. A slice is cut once more: even cuts of
     its distinct values, counts between the cuts, running totals over the few parts, and
     only parts with a wanted rank are ranked. Equal values are one row, so a hot value
-    weighs nothing. A task ranks about one part in PARTS of a slice; the cuts decide how
-    little that is, never the result.
+    weighs nothing. A task ranks about one in ``parts`` of a slice, with 1 the slice as it
+    is; the cuts decide how little that is, never the result.
     """
     by = list(by)
     slices = [*by, "_b"]
-    probes = [k / PARTS for k in range(1, PARTS)]
-    cuts = counted.groupBy(*slices).agg(F.percentile_approx("_v", probes, ACCURACY).alias("_cuts"))
-    parts = join_on(counted, cuts, slices).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     at = {name: f"_p_{name}" for name in positions}
-    firsts = [F.first(p).alias(at[name]) for name, p in positions.items()]
-    sizes = parts.groupBy(*slices, "_part").agg(F.sum("_c").alias("_size"), F.first("_before").alias("_lead"), *firsts)
-    running = F.sum("_size").over(W.partitionBy(*slices).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.withColumn("_first", F.col("_lead") + F.coalesce(running, F.lit(0)))
-    ranks = _ranks([F.col(c) for c in at.values()])
-    sizes = sizes.where(_any_inside(ranks, F.col("_first"), F.col("_size"))).select(*slices, "_part", "_first", *at.values())
+    if parts == 1:
+        ranked = counted.select(*slices, F.lit(0).alias("_part"), "_v", "_c", F.col("_before").alias("_first"), *[p.alias(at[name]) for name, p in positions.items()])
+    else:
+        probes = [k / parts for k in range(1, parts)]
+        cuts = counted.groupBy(*slices).agg(F.percentile_approx("_v", probes, ACCURACY).alias("_cuts"))
+        placed = join_on(counted, cuts, slices).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        firsts = [F.first(p).alias(at[name]) for name, p in positions.items()]
+        sizes = placed.groupBy(*slices, "_part").agg(F.sum("_c").alias("_size"), F.first("_before").alias("_lead"), *firsts)
+        running = F.sum("_size").over(W.partitionBy(*slices).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+        sizes = sizes.withColumn("_first", F.col("_lead") + F.coalesce(running, F.lit(0)))
+        ranks = _ranks([F.col(c) for c in at.values()])
+        sizes = sizes.where(_any_inside(ranks, F.col("_first"), F.col("_size"))).select(*slices, "_part", "_first", *at.values())
+        ranked = join_on(placed.select(*slices, "_part", "_v", "_c"), sizes, [*slices, "_part"])
 
     upto = F.sum("_c").over(W.partitionBy(*slices, "_part").orderBy("_v")) + F.col("_first")
-    ranked = join_on(parts.select(*slices, "_part", "_v", "_c"), sizes, [*slices, "_part"]).withColumn("_upto", upto)
-    ranked = ranked.withColumn("_from", F.col("_upto") - F.col("_c"))
+    ranked = ranked.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
     holding = lambda r: F.max(F.when((r >= F.col("_from")) & (r < F.col("_upto")), F.col("_v")))
     picks, outs = [], []
     for name, p in ((name, F.col(c)) for name, c in at.items()):
@@ -59,16 +62,16 @@ def pick_ranks(counted, by, positions):
     return ranked.groupBy(*by).agg(*picks).select(*by, *outs)
 
 
-def exact_quantiles(df, by, value, quantiles):
+def exact_quantiles(df, by, value, quantiles, parts=1):
     """One row per group: group columns and one double per ``{name: q}``.
 
     The built-in exact percentile keeps a whole group's values in one task. Here
     a mergeable sketch proposes cut points just around each quantile, exact
     counts say between which cuts the wanted rank lies, and only those few
-    values are ranked, in parts (``pick_ranks``). The sketch decides how little is
-    ranked, never the result. A slice is about 4 in ACCURACY of a group's distinct
-    values and a part one in PARTS of that: of 10^12 distinct values of a group a task
-    ranks some 1.6 million, of 10^9 some 1,600.
+    values are ranked. The sketch decides how little is ranked, never the result. A slice
+    is about 4 in ACCURACY of a group's distinct values: 400,000 of 10^9. For groups
+    beyond that give ``parts=PARTS``, which cuts each slice once more (``pick_ranks``) for
+    some more stages: of 10^12 a task then ranks 1.6 million.
     Equal values are counted first, so a hot value is one row.
     """
     by, v = list(by), col(value).cast("double")
@@ -87,4 +90,4 @@ def exact_quantiles(df, by, value, quantiles):
     slices = slices.withColumn("_before", before)
     at = lambda n: {name: (F.col(n) - 1) * F.lit(float(q)) for name, q in quantiles.items()}
     wanted = slices.where(_any_inside(_ranks(at("_all").values()), F.col("_before"), F.col("_size"))).select(*by, "_b", "_before")
-    return pick_ranks(join_on(placed, wanted, [*by, "_b"]), by, at("_n"))
+    return pick_ranks(join_on(placed, wanted, [*by, "_b"]), by, at("_n"), parts)

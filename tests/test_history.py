@@ -117,4 +117,5 @@ def test_parts_of_a_slice(spark):
     counted = counted.join(n, counted.g.eqNullSafe(n.g)).drop(n.g).withColumns({"_b": F.lit(0), "_before": F.lit(0)})
     got = pick_ranks(counted, ["g"], {k: (F.col("n") - 1) * q for k, q in POINTS.items()})
     same(result(got), plain(df))
-    same(result(exact_quantiles(df, ["g"], "x", POINTS)), plain(df))
+    for parts in (1, 7):
+        same(result(exact_quantiles(df, ["g"], "x", POINTS, parts)), plain(df))
