@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsmill.functions.frames import join_on
-from newsmill.session import ship_package
+from newsmill.session import run_dir, ship_package
 
 # counters of a group in a task, and of all its groups before it hands on what it has
 COUNTERS, HELD = 1000, 1 << 20
@@ -72,12 +72,15 @@ def _digest(columns):
 
 def top_items(df, by, item, k, counters=COUNTERS, held=HELD):
     """Per group of ``by`` its ``k`` most frequent values of ``item`` columns: group, item,
-    ``n`` and ``rank`` from 1; ties in order of the item. Nulls are values like others."""
+    ``n`` and ``rank`` from 1; ties in order of the item. Nulls are values like others.
+    The summaries are written to the shared folder when this is called."""
     by, item = list(by), list(item)
     ship_package(df.sparkSession)
     rows = df.select(*by, *item, _digest(by).alias("_g"), _digest(item).alias("_i"))
     parts = rows.select("_g", "_i").mapInArrow(summarize(counters, held), SUMMARY)
-    summed = parts.groupBy("_g", "_i").agg(F.sum("_low").alias("_low"), F.sum("_lost").alias("_lost"))
+    path = run_dir(df.sparkSession, "top-items")  # a table, so that the pass runs once
+    parts.groupBy("_g", "_i").agg(F.sum("_low").alias("_low"), F.sum("_lost").alias("_lost")).write.parquet(path)
+    summed = df.sparkSession.read.schema(SUMMARY).parquet(path)
     lost = summed.where("_i IS NULL").select("_g", "_lost")
     proposed = summed.where("_i IS NOT NULL").select("_g", "_i", "_low")
     ranked = proposed.withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy(F.desc("_low"))))
