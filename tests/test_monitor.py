@@ -63,3 +63,36 @@ def test_the_setting_is_put_back(spark):
     with monitor.setting(spark, key, "false"):
         assert spark.conf.get(key) == "false"
     assert spark.conf.get(key) == before
+
+
+def changes(spark, src, out, look_back, buckets):
+    """What each batch passes on, and the state that stays: {id: (last state, may end)}."""
+    stream = jobs.table_stream(spark, src, "*.parquet", 1)
+    with monitor.setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"):
+        news = monitor.execution_changes(stream, look_back=look_back, buckets=buckets)
+        passed = jobs.land_batches(news, out, "monitor", lambda rows: rows).collect()
+    held = spark.read.format("statestore").option("joinSide", "none").load(f"{out}/_state_monitor").select("value.groupState.*").collect()
+    return passed, [dict(zip(h.ids, zip(h.seen, h.until))) for h in held]
+
+
+def test_many_executions_share_few_states(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    far = 2**60  # a double would lose its last digits
+    write(spark, src, [(far + i, *r) for i, *r in states(400)] + [(None, "t0", T0, 1, "RUNNING", None)])
+    passed, held = changes(spark, src, out, 10, 3)
+    assert {(r.execution_id, r.seq) for r in passed} == {(far + i, 1 + (i % 4 > 0)) for i in range(400)} | {(None, 1)}
+    assert len(held) == 3 and sum(map(len, held)) == 401
+    assert all((until > 0) == (at == 2) for h in held for at, until in h.values())
+    # a state that was seen passes no more, a later one does
+    write(spark, src, [(far + i, f"t{i % 3}", T0, 1, "RUNNING", None) for i in range(8)] + [(far, "t0", T0, 3, "ABORTED", T0)])
+    again, _ = changes(spark, src, out, 10, 3)
+    assert [(r.execution_id, r.seq) for r in again if r not in passed] == [(far, 3)] and len(again) == len(passed) + 1
+
+
+def test_a_shared_state_drops_what_has_ended(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(spark, src, states(40))
+    assert sum(map(len, changes(spark, src, out, 0, 3)[1])) == 40
+    write(spark, src, [(100, "t0", T0, 1, "RUNNING", None)])
+    _, held = changes(spark, src, out, 0, 3)
+    assert sorted(i for h in held for i in h) == sorted(f"={i}" for i in [*range(0, 40, 4), 100])
