@@ -27,3 +27,11 @@ def join_on(left, right, keys, how="inner"):
     renamed = right.select(*[F.col(k).alias(other(k)) for k in keys], *[c for c in right.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(other(k))) for k in keys])
     return left.join(renamed, same, how).drop(*[other(k) for k in keys])
+
+
+def spread(df):
+    """The rows dealt evenly over a few tasks for each core, for costly work on rows whose
+    file has few splits. Dealt in turn, not by a key, so repeated keys do not gather."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)

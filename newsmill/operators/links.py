@@ -233,9 +233,12 @@ def section_array(attribution="innermost"):
             for name, rank, pattern in dims.SECTIONS
         ]
     )
-    present = F.filter(containers, lambda s: s["c"].isNotNull())
-    links = lambda blocks: F.flatten(F.transform(present, lambda s: _links_in(nodes, texts, s, blocks, attribution)))
-    return let(_all_blocks(nodes, texts, attribution), links)
+
+    def links(present):  # blocks are looked at only where there is a section
+        found = lambda blocks: F.flatten(F.transform(present, lambda s: _links_in(nodes, texts, s, blocks, attribution)))
+        return F.when(F.size(present) > 0, let(_all_blocks(nodes, texts, attribution), found)).otherwise(F.from_json(F.lit("[]"), LINK_TYPE))
+
+    return let(F.filter(containers, lambda s: s["c"].isNotNull()), links)
 
 
 def general_array():
@@ -253,9 +256,9 @@ def general_array():
 
 def _first_per_url(links):
     """Keep the first link of every URL of one mail, found among sorted neighbours."""
-    ordered = F.array_sort(F.transform(links, lambda r, i: F.struct(r["url"].alias("url"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(links, lambda r, i: F.struct(r["url"].alias("url"), i.alias("i"))))
     firsts = let(ordered, lambda o: F.filter(o, lambda s, j: (j == 0) | (F.get(o, j - 1)["url"] != s["url"])))
-    return F.transform(F.array_sort(F.transform(firsts, lambda s: s["i"])), lambda i: F.get(links, i))
+    return F.transform(F.sort_array(F.transform(firsts, lambda s: s["i"])), lambda i: F.get(links, i))
 
 
 def section_links(df, html="html", keep=("email_id",), attribution="innermost"):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
+from newsmill.functions.frames import spread
 from newsmill.functions.text import SPACE, let
 from newsmill.operators.links import anchors_native
 from newsmill.sources.newsletters import VARIANTS, newsletter_emails
@@ -70,8 +71,9 @@ def payloads(conversations):
 
 def mails(documents):
     """A mail per document with all its sentences, the last one finished or not, as
-    articles; up to six more begin again with the first."""
-    i = F.col("doc_id")
+    articles; up to six more begin again with the first. A mail is far longer and dearer
+    than its document, so the documents are spread first."""
+    documents, i = spread(documents.select("doc_id", "text", "source")), F.col("doc_id")
     title = lambda s: F.trim(F.regexp_replace(s, rf"{SPACE}+", " "))
     seed = lambda s, k: F.struct(
         s.alias("title"), F.concat(F.lit("https://medium.com/@"), F.col("source"), F.lit("/doc"), i, F.lit("-"), k).alias("url"),

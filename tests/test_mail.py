@@ -3,6 +3,7 @@ import quopri
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from newsmill.operators import links
 from newsmill.sources.mime import html_part
@@ -131,3 +132,12 @@ def test_mails_hold_whole_texts(spark):
         assert found.n_articles >= n and f"Sentence {n - 1} of {n} and no full stop" in found.html
         assert all(f"Sentence {i} of {n}" in found.html for i in range(n))
     assert "A document without a full sentence." in mails[24].html
+
+
+def test_mails_of_a_file_with_one_split_are_spread(spark):
+    from newsmill.plans import bindings
+
+    docs = spark.createDataFrame([(i % 3, f"One sentence of {i}. Another one.", "s") for i in range(500)], "doc_id long, text string, source string").coalesce(1)
+    n = spark.sparkContext.defaultParallelism
+    tasks = bindings.mails(docs).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= n and max(t["count"] for t in tasks) <= 2 * 500 / n

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,3 +133,26 @@ def test_refused_markup_is_an_empty_page(spark):
 def test_deep_trees_stay_linear():
     nodes, texts = pages.read_tree("<p>x" * 40000)
     assert len(nodes) == len(texts) == 40000 and nodes[0]["end_id"] == 39999
+
+
+def parsed(html):
+    reader = pages._TreeReader()
+    reader.feed(html)
+    reader.finish()
+    for node in reader.nodes:
+        node["attrs"] = list(node["attrs"].items())
+    return reader.nodes, [{"text": t, "parent_id": p, "boiler": b} for t, p, b in reader.texts]
+
+
+PIECES = ["<p>", "</p>", '<div class="a b">', "</div>", "<br>", "<title>", "</title>", "x &amp; y", "&#x27;", "&lt", "& ", "\n", '<a href="u" id="1">', "</a>",
+          "<A>", "<br/>", " < ", "<!-- c -->", "<script>", "</script>", "<template>", "</template>", "<textarea>", "</textarea>", "<a href='x'>", '<a href="&amp;">', "<p", ">"]
+
+
+@pytest.mark.parametrize("kinds", [14, len(PIECES)])
+def test_plain_markup_reads_as_the_parser_reads_it(kinds):
+    rnd, plain = random.Random(kinds), 0
+    for _ in range(3000):
+        html = "".join(rnd.choices(PIECES[:kinds], k=rnd.randint(0, 8)))
+        plain += pages.read_plain(html) is not None
+        assert pages.read_tree(html) == parsed(html), html
+    assert plain > 300
