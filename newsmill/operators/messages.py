@@ -2,6 +2,7 @@
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,13 +95,16 @@ def message_sink(df, path, batch_id=None, sender=None):
     """
     spark = df.sparkSession
     path = absolute(path)
-    new = undelivered(df)
-    fields = [*new.schema.fields, T.StructField("delivery", T.StringType())] if sender is not None else new.schema.fields
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    new = new.join(final(ledger.look_up(new, path, "message_key", schema, batch_id)), "message_key", "left_anti")
-    if sender is not None:
-        new = new.mapInPandas(sender, schema)
-    ledger.append(new, path, "message_key", batch_id)
+    once = undelivered(df).persist(StorageLevel.DISK_ONLY)  # the look-up and the write both read it
+    try:
+        fields = [*once.schema.fields, T.StructField("delivery", T.StringType())] if sender is not None else once.schema.fields
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+        new = once.join(final(ledger.look_up(once, path, "message_key", schema, batch_id)), "message_key", "left_anti")
+        if sender is not None:
+            new = new.mapInPandas(sender, schema)
+        ledger.append(new, path, "message_key", batch_id)
+    finally:
+        once.unpersist()
     return on_record(spark, path, schema)
 
 

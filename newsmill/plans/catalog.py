@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsmill import dims
+from newsmill.functions.frames import spread
 from newsmill.functions.text import clean_text, ratio, title_words
 from newsmill.functions.urls import canonical_url, host_of
 from newsmill.operators import articles, lifecycle, links, logs, messages, perf, retries, rules, runs, structure, summaries, toplists
@@ -380,7 +381,7 @@ def slim_projection(documents):
 # --- messages ----------------------------------------------------------------------------
 
 def message_inputs(documents):
-    return documents.select(
+    return spread(documents.select("doc_id", "source", "text")).select(
         "doc_id", F.when(b.every(9, "doc_id"), "  ").otherwise(F.concat(F.lit("  "), "source", F.lit(" *"), "doc_id", F.lit("*\n"))).alias("title"),
         F.when(b.every(6, "doc_id"), F.lit(None)).otherwise(F.concat(F.lit("\t"), "text")).alias("summary"),
         F.when(b.every(5, "doc_id"), "").otherwise(F.concat(F.lit("https://example.org/"), F.col("doc_id") % 50)).alias("url"),

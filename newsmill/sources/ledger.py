@@ -146,7 +146,10 @@ def read(spark, path, files, schema):
 def look_up(df, path, key, schema, batch=None):
     """Rows of the ledger that share a key with ``df``, but for those of one batch."""
     spark = df.sparkSession
-    files = touched(without_batch(manifest(spark, path), batch), df.select(key), key)
+    files = without_batch(manifest(spark, path), batch)
+    if files.isEmpty():  # nothing to look up; ``df`` is not worked out
+        return spark.createDataFrame([], schema)
+    files = touched(files, df.select(key), key)
     return read(spark, path, files, schema).join(df.select(key).distinct(), key, "left_semi")
 
 

@@ -78,3 +78,18 @@ def test_sink_after_a_killed_write(spark, tmp_path, batch_id):
     assert messages.message_sink(df, path, batch_id).count() == 2
     assert messages.message_sink(df, path, batch_id).count() == 2
     assert sorted(r.url for r in messages.message_sink(df, path, 5).collect()) == ["u1", "u2"]
+
+
+def test_a_call_of_the_sink_works_its_messages_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"u{i}", f"m{i}") for i in range(20)], "url string, message string")
+    for call in (1, 2):
+        counted = rows.mapInArrow(count, rows.schema)
+        assert messages.message_sink(counted, str(tmp_path / "sent")).count() == 20
+        assert seen.value == 20 * call
