@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 SCHEMA = "content_type string, encoding string, html string"
+# messages decoded at a time; a batch may hold thousands, each several times its text
+BLOCK = 64
 
 
 def _decode(payload, encoding):
@@ -45,19 +47,26 @@ def html_part(raw):
         return "unparsed", "", raw
 
 
+def decoder(keep):
+    """Arrow pass: batches of the ``keep`` columns and the raw message -> decoded ones."""
+    names = [*keep, "content_type", "encoding", "html"]
+
+    def decode(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(start, BLOCK)
+                table = [html_part(x) for x in batch.column(len(keep)).to_pylist()]
+                out = [pa.array([row[i] for row in table], pa.string()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], names=names)
+
+    return decode
+
+
 def mime_html_part(df, raw="raw", keep=("email_id",)):
     """One output row per message: the ``keep`` columns, content_type, encoding, html.
 
-    A narrow map over Arrow batches: no shuffle, one message in memory at a time.
+    A narrow map over Arrow batches: no shuffle, ``BLOCK`` messages decoded at a time.
     """
     narrow = df.select(*keep, F.col(raw).alias("_raw"))
-    names = ["content_type", "encoding", "html"]
-
-    def decode(batches):
-        for batch in batches:
-            table = [html_part(x) for x in batch.column(len(keep)).to_pylist()]
-            out = [pa.array([row[i] for row in table], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], names=[*keep, *names])
-
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(decode, f"{kept}, {SCHEMA}")
+    return narrow.mapInArrow(decoder(keep), f"{kept}, {SCHEMA}")

@@ -1,6 +1,7 @@
 import base64
 import quopri
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -141,3 +142,13 @@ def test_mails_of_a_file_with_one_split_are_spread(spark):
     n = spark.sparkContext.defaultParallelism
     tasks = bindings.mails(docs).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) >= n and max(t["count"] for t in tasks) <= 2 * 500 / n
+
+
+def test_a_batch_is_decoded_in_blocks():
+    from newsmill.sources import mime
+
+    n = 3 * mime.BLOCK + 5
+    batch = pa.RecordBatch.from_pydict({"email_id": list(range(n)), "_raw": [f"Content-Type: text/html\r\n\r\n<p>{i}</p>" for i in range(n)]})
+    out = list(mime.decoder(("email_id",))(iter([batch])))
+    assert [b.num_rows for b in out] == [mime.BLOCK] * 3 + [5]
+    assert [r for b in out for r in zip(b["email_id"].to_pylist(), b["html"].to_pylist())] == [(i, f"<p>{i}</p>") for i in range(n)]
