@@ -6,7 +6,8 @@ selected minwise tokens: a node looks at ``BRANCHES`` of the functions, and a
 document goes to one child for each, named by its token there; two sets meet in a
 child with a chance equal to their similarity. A node with one document is dropped,
 one of at most ``SMALL`` is compared in full, a larger one branches on, down to ``DEPTH``
-or until it keeps ``DENSE`` of its parent's documents, which then are near copies.
+or until it keeps ``DENSE`` of its parent's documents, or one of its children would keep
+as much of it: these then are near copies.
 Branching goes on where documents share but a passage: they part at every level, while
 a pair at 0.75 stays together on 1.5 paths of 2 at each, so depth costs no recall. Trees are independent; ``TREES`` of them miss a pair at 0.75 with a chance
 of (1 - 0.75)^(2 * 10), about 1e-12, where nodes get small at once, and of about 1e-8
@@ -35,6 +36,8 @@ TOKENS, PATH_TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 256, 64, 10, 2, 6, 2
 CROWD = 4096
 # a node with this share of its parent's documents holds near copies; more levels would not part them
 DENSE = 0.8
+# one document of this many of a large node shows whether its children would be dense
+SHOWN = 16
 # a sketch has 4 bits of each token; of 256 a pair at 0.75 shares 196 +- 7, fewer than
 # this with a chance of 4e-9 if tokens are independent, a pair at 0.8 with one of 4e-15
 LIKELY = 155
@@ -56,6 +59,7 @@ def choices(seed=11):
 
 
 CHOICE = choices()
+CHILDREN = "node long, path long, key long, parent long"
 SETS = "key long, n_shingles long, s1 long, s2 long, mins binary, sketch binary"
 
 
@@ -325,23 +329,38 @@ def confirmed(pairs, sets, similarity):
     return pairs.select("x", "y").join(left, "x").join(right, "y").mapInArrow(confirm(similarity), "x long, y long")
 
 
+def dense_below(rows, reps, level):
+    """(node, dense) of nodes whose largest child would keep DENSE of them, judged by a
+    part of their documents. Such a node branches no more and is compared in blocks, so
+    the estimate decides how its pairs are found, never which are links."""
+    part = rows.where(F.pmod(F.xxhash64("key", "node"), F.lit(SHOWN)) == 0).select("node", "path", "key")
+    shown = part.groupBy("node").agg(F.count(F.lit(1)).alias("shown"))
+    part = part.join(shown, "node").join(reps.select("key", "mins"), "key")
+    # the part's node goes along in the place of the parent's size
+    below = part.select("node", "path", "key", "mins", F.col("node").alias("n")).mapInArrow(descend(level), CHILDREN)
+    most = below.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
+    return most.withColumnRenamed("parent", "node").join(shown, "node").select("node", (F.col("c") >= DENSE * F.col("shown")).alias("dense"))
+
+
 def nodes_to_compare(reps):
     """(node, path, key, blocks): nodes with two documents or more; ``blocks`` above 1
     says that the node is large and branches no more."""
-    schema = "node long, path long, key long, parent long"
-    found, rows = [], reps.select("key", "mins").mapInArrow(descend(0), schema)
+    found, rows = [], reps.select("key", "mins").mapInArrow(descend(0), CHILDREN)
     for level in range(1, DEPTH + 1):
         rows = A.stored(rows, "paths")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = A.stored(rows.join(sizes, "node"), "paths")
         large = F.col("n") > SMALL
         stop = F.lit(True) if level == DEPTH else F.coalesce(F.col("n") >= DENSE * F.col("parent"), F.lit(False))
+        if level < DEPTH:
+            rows = rows.join(dense_below(rows.where(large & ~stop), reps, level), "node", "left")
+            stop = stop | F.coalesce("dense", F.lit(False))
         blocks = F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("long").alias("blocks")
         found.append(rows.where(~large | stop).select("node", "path", "key", blocks))
         rows = rows.where(large & ~stop)
         if level == DEPTH or rows.isEmpty():
             break
-        rows = rows.join(reps.select("key", "mins"), "key").select("node", "path", "key", "mins", "n").mapInArrow(descend(level), schema)
+        rows = rows.join(reps.select("key", "mins"), "key").select("node", "path", "key", "mins", "n").mapInArrow(descend(level), CHILDREN)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -117,3 +117,18 @@ def test_sketch_bound_loses_no_link():
     group, key, size = np.zeros(2, np.int64), np.arange(2), np.full(2, 100)
     found = list(N.likely_pairs(group, key, size, sketch, 0.75, lambda i, j: np.ones(len(i), bool)))
     assert [(a.tolist(), b.tolist(), n.tolist()) for a, b, n in found] == [([0], [1], [160])]
+
+
+def test_near_copies_do_not_branch(spark, monkeypatch):
+    """A large node of near copies is compared where it is: more levels would only repeat its rows."""
+    monkeypatch.setattr(N, "SMALL", 64)
+    rnd = np.random.Generator(np.random.PCG64(1))
+    base, rows = rnd.integers(1, 2**32, N.PATH_TOKENS, dtype=np.uint32), []
+    for key in range(600):
+        mins = base.copy()
+        mins[rnd.integers(0, N.PATH_TOKENS, 1)] = key
+        rows.append((key, bytearray(mins.tobytes())))
+    nodes = N.nodes_to_compare(spark.createDataFrame(rows, "key long, mins binary")).collect()
+    large = [n for n in nodes if n.blocks > 1]
+    assert len({n.node for n in large}) == N.TREES * N.BRANCHES
+    assert {n.path % N.CHOICE.shape[1] for n in large} <= set(range(1, N.BRANCHES + 1))
