@@ -4,6 +4,7 @@ Texts are handled as one byte array per block of a few megabytes, so memory does
 not follow the batch size; a document is never cut between blocks.
 """
 
+import os
 import uuid
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from newsmill.session import shared_dir, ship_package
 
 U = np.uint64
+TASK_ROWS = 1 << 16
 _seeded = np.random.Generator(np.random.PCG64(20240601))
 BYTE_CODES = _seeded.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 STEP = U(0x9E3779B97F4A7C15)
@@ -177,15 +179,29 @@ def masked(documents):
     return documents.toDF(*names.values()), names, lambda df: df.select(*names.values()).toDF(*names)
 
 
-def stored(df, label):
+def stored(df, label, rows=None):
     """Cut the lineage: write to the shared folder and read back. Survives the
-    loss of executors, unlike a cache."""
+    loss of executors, unlike a cache. Where the caller knows how many ``rows`` there
+    are at most, the last step has a task for each ``TASK_ROWS`` of them, or one for each
+    core, instead of many with next to nothing to write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables):
+    """Delete tables of ``stored`` that nothing reads any more. What was made from them
+    has to be stored by then."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ready(spark):
     """What every operator with a Python step needs first."""
     ship_package(spark)

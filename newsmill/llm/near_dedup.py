@@ -36,6 +36,8 @@ TOKENS, PATH_TOKENS, TREES, BRANCHES, DEPTH, SMALL, BLOCK = 256, 64, 10, 2, 6, 2
 CROWD = 4096
 # a node with this share of its parent's documents holds near copies; more levels would not part them
 DENSE = 0.8
+# a full set counts as this many rows where tasks are sized
+SET_ROWS = 8
 # one document of this many of a large node shows whether its children would be dense
 SHOWN = 16
 # a sketch has 4 bits of each token; of 256 a pair at 0.75 shares 196 +- 7, fewer than
@@ -269,17 +271,19 @@ def links_of_node(tokens, root, guest, similarity):
 
 
 def decide(similarity):
-    """Confirmed links between the components of each group, on the full sets."""
+    """Confirmed links between the components of each group, on the full sets, as links of
+    the components' roots."""
 
     def run(batches):
         for table in whole_groups(batches, "node"):
-            group, key, root = (table.column(c).to_numpy() for c in ("node", "key", "root"))
+            group, named = (table.column(c).to_numpy() for c in ("node", "root"))
             guest, tokens = table.column("guest").to_numpy().astype(np.int8), table.column("tokens")
             cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                found = list(links_of_node(tokens.slice(a, b - a).to_pylist(), root[a:b], guest[a:b], similarity))
+                found = list(links_of_node(tokens.slice(a, b - a).to_pylist(), named[a:b], guest[a:b], similarity))
                 i, j = np.array(found, np.int64).reshape(-1, 2).T + a
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(key[i], key[j])), pa.array(np.minimum(key[i], key[j]))], names=["x", "y"])
+                x, y = named[i], named[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
 
     return run
 
@@ -334,37 +338,49 @@ def dense_below(rows, reps, level):
     part of their documents. Such a node branches no more and is compared in blocks, so
     the estimate decides how its pairs are found, never which are links."""
     part = rows.where(F.pmod(F.xxhash64("key", "node"), F.lit(SHOWN)) == 0).select("node", "path", "key")
-    shown = part.groupBy("node").agg(F.count(F.lit(1)).alias("shown"))
-    part = part.join(shown, "node").join(reps.select("key", "mins"), "key")
+    part = part.join(reps.select("key", "mins"), "key")
     # the part's node goes along in the place of the parent's size
     below = part.select("node", "path", "key", "mins", F.col("node").alias("n")).mapInArrow(descend(level), CHILDREN)
-    most = below.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
-    return most.withColumnRenamed("parent", "node").join(shown, "node").select("node", (F.col("c") >= DENSE * F.col("shown")).alias("dense"))
+    below = below.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("c"))
+    # each document of the part is in one child for each branch
+    dense = F.max("c") * BRANCHES >= DENSE * F.sum("c")
+    return below.groupBy("parent").agg(dense.alias("dense")).withColumnRenamed("parent", "node")
 
 
 def nodes_to_compare(reps):
-    """(node, path, key, blocks): nodes with two documents or more; ``blocks`` above 1
-    says that the node is large and branches no more."""
-    found, rows = [], reps.select("key", "mins").mapInArrow(descend(0), CHILDREN)
+    return found_nodes(reps)[0]
+
+
+def found_nodes(reps):
+    """(node, path, key, blocks), and the stored tables it reads: nodes with two documents or more; ``blocks`` above 1
+    says that the node is large and branches no more. Each step is stored once, and what
+    is read no more is deleted."""
+    found, used, rows = [], [], reps.select("key", "mins").mapInArrow(descend(0), CHILDREN)
+    n_rows = TREES * BRANCHES * reps.count()
     for level in range(1, DEPTH + 1):
-        rows = A.stored(rows, "paths")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = A.stored(rows.join(sizes, "node"), "paths")
+        paths = A.stored(rows, "paths", n_rows)
+        sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = A.stored(paths.join(sizes, "node"), "paths", n_rows)
+        A.dropped(paths)
+        used.append(rows)
         large = F.col("n") > SMALL
         stop = F.lit(True) if level == DEPTH else F.coalesce(F.col("n") >= DENSE * F.col("parent"), F.lit(False))
-        if level < DEPTH:
-            rows = rows.join(dense_below(rows.where(large & ~stop), reps, level), "node", "left")
+        n_rows = BRANCHES * rows.where(large & ~stop).count()
+        if n_rows:
+            dense = A.stored(dense_below(rows.where(large & ~stop), reps, level).where("dense"), "dense-nodes", n_rows // SMALL)
+            used.append(dense)
+            rows = rows.join(dense, "node", "left")
             stop = stop | F.coalesce("dense", F.lit(False))
         blocks = F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("long").alias("blocks")
         found.append(rows.where(~large | stop).select("node", "path", "key", blocks))
         rows = rows.where(large & ~stop)
-        if level == DEPTH or rows.isEmpty():
+        if not n_rows or rows.isEmpty():
             break
         rows = rows.join(reps.select("key", "mins"), "key").select("node", "path", "key", "mins", "n").mapInArrow(descend(level), CHILDREN)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out, used
 
 
 def visits(nodes):
@@ -397,32 +413,44 @@ def near_components(documents, words=5, similarity=0.75, id_col="doc_id", text_c
     """
     A.ready(documents.sparkSession)
     docs = A.keyed_texts(documents, id_col, text_col)
-    described = A.stored(docs.select("key", "text").mapInArrow(describe_sets(words), SETS).join(docs.select("key", "doc_id").distinct(), "key"), "shingle-sets")
+    sets = A.stored(docs.select("key", "text").mapInArrow(describe_sets(words), SETS).join(docs.select("key", "doc_id").distinct(), "key"), "shingle-sets")
     same = ["n_shingles", "s1", "s2"]
-    reps = described.where("n_shingles > 0").groupBy(*same).agg(F.min_by(F.struct("key", "mins", "sketch"), "key").alias("r"), F.min("doc_id").alias("low"))
-    reps = A.stored(reps.select(*same, "low", "r.*"), "set-classes")
+    reps = sets.where("n_shingles > 0").groupBy(*same).agg(F.min_by(F.struct("key", "mins", "sketch"), "key").alias("r"), F.min("doc_id").alias("low"))
+    n_sets = sets.count()
+    reps = A.stored(reps.select(*same, "low", "r.*"), "set-classes", n_sets)
+    # what the result needs stays, without tokens; all else goes when it is no longer read
+    described = A.stored(sets.select("key", "doc_id", *same), "set-names", n_sets)
+    A.dropped(sets)
+    n_reps = reps.count()
 
     # one row for each document: at most one node for each path
-    nodes = nodes_to_compare(reps).groupBy("key").agg(F.collect_list(F.struct("path", "node", "blocks")).alias("nodes"))
+    nodes, used = found_nodes(reps)
+    nodes = nodes.groupBy("key").agg(F.collect_list(F.struct("path", "node", "blocks")).alias("nodes"))
     met = F.transform("nodes", lambda n: F.struct(n["path"].alias("path"), n["node"].bitwiseAND(0x7FFFFFFF).cast("int").alias("name")))
     nodes = nodes.withColumn("met", met).join(reps.select("key", "n_shingles", "sketch"), "key")
-    nodes = A.stored(nodes.select("key", "n_shingles", "sketch", "met", F.inline("nodes")), "path-nodes")
+    nodes = A.stored(nodes.select("key", "n_shingles", "sketch", "met", F.inline("nodes")), "path-nodes", TREES * BRANCHES * n_reps)
+    A.dropped(*used)
+    classes = A.stored(reps.select(*same, "low", "key"), "class-names", n_reps)
+    A.dropped(reps)
     block = F.when(F.col("blocks") > 1, F.xxhash64("node", F.pmod(F.xxhash64("key", "node"), F.col("blocks")))).otherwise(F.col("node"))
     first = nodes.select(block.alias("node"), "key", "n_shingles", "sketch").repartition("node").sortWithinPartitions("node")
-    first = A.stored(first.mapInArrow(likeliest(similarity), "x long, y long, same long").groupBy("x").agg(F.max_by("y", F.struct("same", "y")).alias("y")), "likeliest")
+    first = A.stored(first.mapInArrow(likeliest(similarity), "x long, y long, same long").groupBy("x").agg(F.max_by("y", F.struct("same", "y")).alias("y")), "likeliest", n_reps)
     involved = nodes.select("key").distinct()
-    linked = A.stored(docs.select("key", "text").join(involved, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(full_sets(words), "key long, tokens binary"), "full-sets")
-    links = A.stored(confirmed(first, linked, similarity), "confirmed")
+    linked = A.stored(docs.select("key", "text").join(involved, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(full_sets(words), "key long, tokens binary"), "full-sets", SET_ROWS * n_reps)
+    links = A.stored(confirmed(first, linked, similarity), "confirmed", SET_ROWS * n_reps)
     roots = components(links)
 
     named = nodes.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     again = visits(named).repartition("node").sortWithinPartitions("node").mapInArrow(undecided(similarity), "node long, key long, root long, guest int")
     again = again.join(linked, "key").repartition("node").sortWithinPartitions("node")
     more = A.stored(again.mapInArrow(decide(similarity), "x long, y long"), "confirmed")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    A.dropped(nodes, first, linked, links)
+    if not more.isEmpty():  # links of components, each named by its root
+        higher = components(more).select(F.col("v").alias("root"), F.col("root").alias("top"))
+        below = roots.join(higher, "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+        roots = below.unionByName(higher.select(F.col("root").alias("v"), F.col("top").alias("root")))
 
-    classes = reps.select(*same, "low", "key").join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    classes = classes.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = classes.join(lowest, "root").select(*same, "component_id")
     out = described.select("key", "doc_id", *same).join(classes, same, "left")

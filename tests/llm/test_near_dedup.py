@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 
 from newsmill.llm import near_dedup as N
+from newsmill.session import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -132,3 +134,27 @@ def test_near_copies_do_not_branch(spark, monkeypatch):
     large = [n for n in nodes if n.blocks > 1]
     assert len({n.node for n in large}) == N.TREES * N.BRANCHES
     assert {n.path % N.CHOICE.shape[1] for n in large} <= set(range(1, N.BRANCHES + 1))
+
+
+def test_steps_are_stored_once_and_deleted(spark, table):
+    """Of the tables of the descent and of the full sets nothing is left in the shared folder;
+    what is left holds no tokens, and the result is read from it."""
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = corpus(3)
+    found = N.near_dedup(table(rows))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert not left & {"paths", "dense-nodes", "path-nodes", "shingle-sets", "set-classes", "full-sets", "likeliest"}
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows)
+
+
+def test_large_levels_are_decided_once(spark, monkeypatch):
+    """Whether nodes are dense is worked out once a level, not for each reader of the level."""
+    monkeypatch.setattr(N, "SMALL", 8)
+    seen, dense = [], N.dense_below
+    monkeypatch.setattr(N, "dense_below", lambda rows, reps, level: seen.append(level) or dense(rows, reps, level))
+    rnd = np.random.Generator(np.random.PCG64(2))
+    rows = [(k, bytearray(rnd.integers(1, 3, N.PATH_TOKENS, dtype=np.uint32).tobytes())) for k in range(200)]
+    nodes = N.nodes_to_compare(spark.createDataFrame(rows, "key long, mins binary"))
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) > 1 and "Aggregate" not in plan and "MapInArrow" not in plan
