@@ -56,6 +56,8 @@ SECTIONS = [
     ("highlights", 0, r"(?i)today'?s\s+highlights?"),
     ("following", 1, r"(?i)from\s+your\s+following"),
 ]
+# a heading of a section holds one of these, in any case
+SECTION_WORDS = ("highlight", "following")
 SECTION_ANCESTORS = ["div", "section", "article", "table", "td"]
 SECTION_BLOCKS = ["div", "td", "tr"]
 NOT_A_TITLE = r"(?i)^(read\s+more|continue\s+reading|view\s+story|medium\.com)$"

@@ -267,8 +267,9 @@ def section_links(df, html="html", keep=("email_id",), attribution="innermost"):
     Each link belongs to its innermost block (``outermost`` gives every link of
     a container the container's first author). One narrow pass per mail, in which
     headings and author are found once per block, so time grows with the mail's size.
+    A mail without the words of a section's heading is not parsed.
     """
-    tree = html_tree(df, html, keep)
+    tree = html_tree(df, html, keep, dims.SECTION_WORDS)
     return explode_rows(tree, keep, section_array(attribution)).select(*keep, "r.*")
 
 

@@ -1,12 +1,15 @@
 import base64
 import quopri
+from html.entities import html5
 
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from newsmill import dims
 from newsmill.operators import links
+from newsmill.sources import pages
 from newsmill.sources.mime import html_part
 
 BODY = "<html><body>café = <a href='x'>y</a></body></html>"
@@ -152,3 +155,20 @@ def test_a_batch_is_decoded_in_blocks():
     out = list(mime.decoder(("email_id",))(iter([batch])))
     assert [b.num_rows for b in out] == [mime.BLOCK] * 3 + [5]
     assert [r for b in out for r in zip(b["email_id"].to_pylist(), b["html"].to_pylist())] == [(i, f"<p>{i}</p>") for i in range(n)]
+
+
+def test_mails_without_sections_are_not_parsed(spark, tmp_path):
+    """Only mails that may have a section reach the parser; no link is lost by it."""
+    link = f"<div><a href='{U}1'>The first long story title</a></div>"
+    heads = ["Today's highlights", "FROM your\nFollowing", "Today's high&#108;ights", "Today's high</>lights", "Today&#x27;s highlight", "Nothing of that kind", "from your followin"]
+    df = spark.createDataFrame([(i, f"<div>{h}</div>{link}") for i, h in enumerate(heads)] + [(90, None), (91, "")], "email_id int, html string")
+    parsed = pages.html_tree(df, "html", ("email_id",), dims.SECTION_WORDS).select("email_id").collect()
+    assert sorted(r[0] for r in parsed) == [0, 1, 2, 3, 4]
+    assert sorted(r.email_id for r in links.section_links(df).collect()) == [0, 1, 2, 3, 4]
+    words = {name: [w for w in dims.SECTION_WORDS if w in pattern] for name, _, pattern in dims.SECTIONS}
+    assert all(words.values())
+
+
+def test_no_named_reference_spells_a_section_word():
+    assert [k for k, v in html5.items() if any(c.isascii() and c.isalpha() for c in v)] == ["fjlig;"]
+    assert not any("fj" in w for w in dims.SECTION_WORDS) and all(html5.values())
