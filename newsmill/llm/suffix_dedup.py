@@ -276,6 +276,7 @@ def repeated_spans(documents, length=200, hot_runs=2000, id_col="doc_id", text_c
     listed = runs.drop("own").join(often, "m").groupBy("key").agg(F.collect_set(F.struct("a", "n", "m", "hot")).alias("runs"))
     pieces = docs.select("key", "text").join(listed, "key").mapInArrow(cut_pieces(length), PIECES)
     pieces = A.stored(pieces.withColumn("t", F.unhex(F.md5("piece"))), "repeat-pieces")
+    A.dropped(runs)
     cool = pieces.where("NOT hot").selectExpr("m AS g", "m", "t", "0L AS at", "n", "0L AS c", "key", "a", "piece")
     popular = pieces.where("hot")
     once = popular.groupBy("m", "t", "n", "piece").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "a")).alias("first"))

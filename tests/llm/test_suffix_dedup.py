@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
 
 import numpy as np
 import pytest
 
 from newsmill.llm import suffix_dedup as S
+from newsmill.session import shared_dir
 
 
 def brute(rows, length):
@@ -57,3 +59,14 @@ def test_suffix_array():
     for n in [1, 2, 3, 4, 5, 10, 50, 300]:
         s = np.append(rnd.integers(1, 4, n), 9)
         assert S.suffix_array(s).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+
+
+def test_runs_are_deleted_once_pieces_are_cut(spark, table):
+    """The runs of all minima are read no more when the pieces are stored, and are gone then."""
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    passage = " ".join(f"word{i}" for i in range(60))
+    spans = S.repeated_spans(table([(1, "a " + passage), (2, "b " + passage), (3, "short")]))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "repeat-runs" not in left and "repeat-pieces" in left
+    assert spans.count() == 2
